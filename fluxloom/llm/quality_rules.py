@@ -65,9 +65,9 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hosts = ws.save(counted.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f")), "hosts")
     # rates' mean m and variance v over hosts; a beta with these has strength m (1 - m) / v - 1
     moments = hosts.agg(F.avg(F.col("f") / F.col("n")).alias("m"), F.var_pop(F.col("f") / F.col("n")).alias("v"))
-    strength = f"least({PRIOR[1]}D, greatest({PRIOR[0]}D, if(v > 0, m * (1 - m) / v - 1, {PRIOR[1]}D)))"
-    # one row of moments for each host: a join on a constant, that row is broadcast
-    rates = hosts.withColumn("one", F.lit(1)).join(F.broadcast(moments.selectExpr("1 AS one", "m", f"{strength} AS k")), "one").selectExpr("host", "(f + m * k) / (n + k) AS host_rate")
+    mean, variance = moments.first()
+    strength = min(PRIOR[1], max(PRIOR[0], mean * (1 - mean) / variance - 1 if variance else PRIOR[1])) if mean is not None else PRIOR[1]
+    rates = hosts.select("host", ((F.col("f") + (mean or 0.0) * strength) / (F.col("n") + strength)).alias("host_rate"))
     rates = ws.save(rates, "rates")
     return counted.join(rates, "host").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("host_rate") <= max_rate)).alias("kept"), "host", "host_rate")
 
