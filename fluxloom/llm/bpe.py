@@ -25,7 +25,7 @@ _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _NUMBER = "0-9²³¹¼½¾"
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 _FAR = re.compile("[^\x00-įı-ſ]")
-CACHED_WORDS = 600_000
+CACHED_WORDS = 450_000
 
 
 def byte_letters() -> list[str]:

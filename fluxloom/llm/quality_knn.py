@@ -48,7 +48,7 @@ def _shape_of(word: str) -> int:
 
 class _Shapes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = shape = _shape_of(word)
         return shape

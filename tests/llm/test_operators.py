@@ -1,0 +1,366 @@
+"""Each operator against a plain version on small tables that hold the awkward cases."""
+
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+import public_tokenizers
+from fluxloom.llm import bpe, exact_dedup, html_text, packing, quality_knn, quality_rules, secrets, simhash, token_counts, warc
+from fluxloom.llm.queries import oracle_sql, queries
+
+WORD = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, at long, row long, h string, level int"
+TOKEN = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def documents():
+    rng = random.Random(4)
+    words = ["the", "Straße", "of", "été", "Token", "x" * 30, "and", "İstanbul", "don't", "3.14"]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long = prose(9000)
+    texts = [None, "", "  \n\t", "A", "a", "É", "é", prose(50), long, long.upper(), long + " end", "same text", "Same Text", "same text", TOKEN, f"x {TOKEN} y.", "<|endoftext|> x"]
+    texts += [prose(rng.randint(1, 60)) for _ in range(25)]
+    copy = prose(300).split()
+    texts += [" ".join(copy), " ".join(copy[:150] + ["zzz"] + copy[151:])]
+    texts += ["ab\nab\ncd\n \nab", "one two three four five six one two three four five"]
+    rows = [(k, t, "en", f"src{k % 3}" if k % 5 else None, 0, "n", 1, 2, "h", 3) for k, t in enumerate(texts)]
+    return rows + [rows[11], (None, "null id", None, None, None, None, None, None, None, None), (7, "another text with the id 7", None, "src1", None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(documents(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.mark.parametrize("kw", [{}, {"block_bytes": 16}, {"block_bytes": 8, "routing_bits": 5}])
+def test_exact_dedup(docs, kw):
+    groups = collections.defaultdict(list)
+    for r in documents():
+        groups[lower(r[1] or "")].append(-1 if r[0] is None else r[0])
+    got = exact_dedup.exact_dedup(docs, **kw).collect()
+    assert len(got) == len(documents())
+    want = sorted((i, max(g), len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.keep_id is None else r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    assert sum(r.kept for r in got) == len(groups)
+
+
+def test_drop_copies(docs, none):
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns
+    texts = [lower(r.text or "") for r in left.collect()]
+    assert len(texts) == len(set(texts)) == len({lower(r[1] or "") for r in documents()})
+    assert exact_dedup.exact_dedup(none).count() == exact_dedup.drop_copies(none).count() == 0
+
+
+def test_bpe_equals_library(docs, none):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD)
+    want = []
+    for r in documents():
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids
+        raw = np.array(ids, "<u4").tobytes()
+        want.append((-1 if r[0] is None else r[0], len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    got = bpe.bpe_round_trip(docs, WORD).collect()
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == sorted(want)
+    assert bpe.bpe_round_trip(none, WORD).count() == 0
+    assert bpe.decode_ids(bpe.bpe_ids(docs.filter("doc_id = 3"), WORD), WORD).first()[1] == "a</w>"
+
+
+def test_bpe_any_text():
+    from tokenizers import Tokenizer
+
+    library, own, rng = Tokenizer.from_file(WORD), bpe.WordBpe(WORD, cached_words=20), random.Random(2)
+    texts = ["".join(chr(rng.choice([rng.randrange(0x180), rng.randrange(0x3000), rng.randrange(32, 127), 0x1F600])) for _ in range(rng.randrange(30))) for _ in range(600)]
+    for text, ids in zip(texts, own.encode_all(texts)):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == np.frombuffer(own.encode(text), "<u4").tolist() == want
+        assert own.decode(ids).decode() == library.decode(want, skip_special_tokens=False)
+
+
+def test_packing(docs, none):
+    for length, grain in ((4096, 8), (64, 4)):
+        got = packing.pack(docs, WORD, length=length, grain=grain).collect()
+        own = bpe.encoder(WORD)
+        want = collections.Counter()
+        for r in documents():
+            ids = own.encode(r[1] or "") + (2).to_bytes(4, "little")
+            for s in range(0, len(ids) // 4, length):
+                piece = ids[4 * s : 4 * (s + length)]
+                want[r[0], s, len(piece) // 4, zlib.crc32(piece), len(ids) // 4] += 1
+        assert collections.Counter(tuple(r[:5]) for r in got) == want
+        sequences = collections.defaultdict(list)
+        for r in got:
+            sequences[r.sequence_id].append((r.offset, r.length))
+        for pieces in sequences.values():
+            end = 0
+            for offset, n in sorted(pieces):
+                assert offset == end
+                end += n
+            assert end <= length
+    assert packing.pack(none, WORD).count() == 0
+
+
+def test_cutting_stock():
+    rng = np.random.default_rng(1)
+    sizes = np.unique(rng.integers(1, 25, 30))  # small ones, which can fill sequences nearly whole
+    counts = rng.integers(1, 500, len(sizes))
+    used = packing.cutting_stock(sizes, counts, 64)
+    assert (sum(p * n for p, n in used) == counts).all()
+    assert all((p * sizes).sum() <= 64 for p, _ in used)
+    assert sum(n for _, n in used) <= np.ceil((sizes * counts).sum() / 64 * 1.03) + 2
+
+
+def plain_fingerprint(text):
+    words = lower(text).encode().split()
+    shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def linked(fps, threshold=2):
+    root = {f: f for f in fps}
+    while True:
+        new = {f: min(root[g] for g in fps if bin(f ^ g).count("1") <= threshold) for f in fps}
+        if new == root:
+            return root
+        root = new
+
+
+@pytest.mark.parametrize("held", [4096, 1])
+def test_simhash(docs, none, held):
+    fps = [(r[0], plain_fingerprint(r[1] or "")) for r in documents()]
+    root = linked({f for _, f in fps})
+    smallest = {}
+    for i, f in fps:
+        if i is not None:
+            smallest[root[f]] = min(smallest.get(root[f], i), i)
+    got = simhash.near_duplicates(docs, homes_held=held).collect()
+    assert collections.Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == collections.Counter((i, f"{f:016x}", smallest.get(root[f])) for i, f in fps)
+    assert simhash.near_duplicates(none).count() == simhash.one_of_each(none).count() == 0
+
+
+def test_links_join_all_near_fingerprints(spark):
+    from fluxloom.llm.common import Workspace
+
+    rng = random.Random(3)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    for f in list(fps):
+        for _ in range(12):
+            f ^= 1 << rng.randrange(64)
+            f ^= 1 << rng.randrange(64)
+            fps.add(f)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    table = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    want = linked(fps)
+    for held in (4096, 3):
+        ws = Workspace(spark, "test")
+        found = {r.node: r.root for r in simhash.components(ws, simhash.links(ws, table, 2, held)).collect()}
+        groups = lambda pairs: sorted(map(sorted, _grouped(pairs)))
+        assert groups((signed(f), signed(g)) for f, g in want.items()) == groups((signed(f), found.get(signed(f), signed(f))) for f in fps)
+
+
+def _grouped(pairs):
+    out = collections.defaultdict(list)
+    for a, b in pairs:
+        out[b].append(a)
+    return out.values()
+
+
+def test_golay_covers():
+    starts, _ = simhash.error_patterns(5)
+    assert (np.diff(starts[0]) == 1).all()
+
+
+def test_rules(docs, none):
+    got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.host_rules(docs).collect()}
+    want = set()
+    for r in documents():
+        t = r[1] or ""
+        w = [x.decode() for x in t.encode().split()]
+        windows = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        again = {p for k in range(len(w) - 4) if windows[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+        lines = [x for x in t.split("\n") if x.encode().split()]
+        n = len(w)
+        want.add((r[0], n, sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(again), n < 10 or 100 * len(again) > 20 * n))
+    assert got == want
+    assert quality_rules.host_rules(none).count() == 0
+
+
+def test_bad_host_loses_all(spark):
+    rows = [(k, "too short", "bad", 0) for k in range(50)] + [(50, " ".join(map(str, range(20))), "bad", 0)] + [(k, " ".join(map(str, range(k, k + 20))), "good", 0) for k in range(100, 160)]
+    kept = {r.doc_id for r in quality_rules.host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string, host long")).filter("kept").collect()}
+    assert kept == set(range(100, 160))
+
+
+def test_secrets(docs, none):
+    found = secrets.find_secrets(docs).collect()
+    by_id = {r[0]: r[1] for r in documents()}
+    assert sorted(r.doc_id for r in found) == [14, 15]
+    for r in found:
+        value = by_id[r.doc_id][r.start : r.start + r.length]
+        assert value in TOKEN and hashlib.sha256(value.encode()).hexdigest() == r.secret_sha256
+    masked = {(r.doc_id, r.text) for r in secrets.mask_secrets(docs).collect()}
+    assert masked == {(i, t.replace("04dbebab91ab85687d33eeaaf9ac699e1188f962", "[SECRET]") if t else t) for i, t, *_ in documents()}
+    assert secrets.mask_secrets(docs).columns == docs.columns
+    assert secrets.find_secrets(none).count() == secrets.mask_secrets(none).count() == 0
+
+
+def test_forest_tells_findings_apart(spark):
+    found = secrets.labelled_findings(400, seed=99)
+    rows = spark.createDataFrame(found, "c string, b string, a string, p string, y int")
+    scored = rows.selectExpr("y", f"{secrets.score_sql(spark, 'c', 'b', 'a', 'p')} AS s").collect()
+    assert np.mean([(r.s >= 0.5) == bool(r.y) for r in scored]) > 0.97
+
+
+def test_quality(spark, docs, none, sf):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    voter = quality_knn.fit(d, labels)
+    scored = {r.doc_id: r for r in quality_knn.score(d, voter).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for i, r in scored.items())
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    assert np.mean([scored[i].predicted == q for i, q in known.items()]) > 0.9
+    assert quality_knn.score(docs, voter).count() == len(documents()) and quality_knn.score(none, voter).count() == 0
+    kept = quality_knn.score(docs, voter, keep=True)
+    assert kept.schema == docs.schema
+    empty = quality_knn.fit(none, labels.limit(0))
+    assert {r.score for r in quality_knn.score(docs, empty).collect()} == {0.5}
+
+
+def test_votes_are_exact():
+    rng = np.random.default_rng(0)
+    counts, labels = rng.random((300, quality_knn.TERMS)).astype(np.float32), rng.integers(0, 2, 300)
+    voter = quality_knn.Voter(counts, labels)
+    ask = rng.random((20, quality_knn.TERMS)).astype(np.float32)
+    unit = voter._unit(voter._weighted(ask) @ voter.basis)
+    for got, x in zip(voter.scores(ask), unit):
+        cosine = voter.vectors @ x
+        near = np.argsort(-cosine)[: voter.neighbours]
+        w = np.exp(quality_knn.SHARPNESS * (cosine[near] - 1)) + 1e-9
+        assert got == pytest.approx((w * labels[near]).sum() / w.sum(), abs=1e-4)
+
+
+def test_token_counts(docs, none):
+    encoding = token_counts.rank_encoder(RANKS, public_tokenizers.PATTERN)
+    want = collections.Counter((r[0], len(encoding.encode_ordinary(r[1] or ""))) for r in documents())
+    for kw in ({}, {"block_bytes": 32}, {"block_bytes": 2, "file_bytes": 400}):
+        rows = docs.filter("char_length(text) < 500 OR text IS NULL") if kw.get("block_bytes") == 2 else docs
+        got = collections.Counter(tuple(r) for r in token_counts.token_counts(rows, RANKS, public_tokenizers.PATTERN, **kw).collect())
+        assert got == (want if rows is docs else collections.Counter((r[0], len(encoding.encode_ordinary(r[1] or ""))) for r in documents() if len(r[1] or "") < 500))
+    assert token_counts.token_counts(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+PAGES = "page_id long, url string, html string, digest string, payload string, file string, offset long"
+
+
+def pages():
+    big = "<p>" + "ä" * 60 + "</p>"
+    rows = [(1, "http://a/1", big), (2, "http://a/2\r\nX: y", big), (3, None, None), (4, "u", ""), (5, "u", "<p>short</p>"), (6, "u", "<p>short</p>"), (7, "u", big + "\r\n\r\nWARC/1.1\r\n\r\n"), (1, "http://a/1", big), (None, "n", "x" * 99), (9, "u", "y" * 300_000), (8, "u", "y" * 300_000)]
+    return [(*r, "d", "p", "f", 3) for r in rows]
+
+
+def test_warc(spark):
+    table = spark.createDataFrame(pages(), PAGES).repartition(2)
+    got = collections.Counter(tuple(r) for r in warc.warc_round_trip(table).drop("url").collect())
+    first = {}
+    for r in pages():
+        h = (r[2] or "").encode()
+        if len(h) >= 100 and r[0] is not None:
+            first[h] = min(first.get(h, r[0]), r[0])
+    want = collections.Counter()
+    for r in pages():
+        h = (r[2] or "").encode()
+        again = h in first and first[h] != r[0]
+        want[r[0], len(h), hashlib.sha256(h).hexdigest(), "revisit" if again else "response", first[h] if again else None] += 1
+    assert got == want
+    assert warc.warc_round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_warc_reads_selected_records(spark):
+    index, folder = warc.archive(spark.createDataFrame(pages(), PAGES).coalesce(1))
+    got = warc.read_warc(index.filter("page_id = 5"), folder).collect()
+    assert [(r.page_id, bytes(r.payload)) for r in got] == [("5", b"<p>short</p>")]
+    assert warc.ranges([0, 10, 30, 900], [10, 10, 5, 50], most=100, gap=20) == [(0, 3, 0, 35), (3, 4, 900, 950)]
+
+
+def test_html_text(spark):
+    page = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu one</a></li><li><a href="/b">Menu two</a></li></ul></nav><div class="cookie-notice">We use cookies here.</div><article><h1>A title of it</h1><p><b>First  words &amp; more<br><p>Second\n paragraph of the text, longer than the others are, to be sure.</p><!-- x --><div class="ad">Buy now.</div></article><section id="comments"><div class="comment"><p>I do not agree with this.</p></div></section><footer>&copy; me</footer></body></html>'
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<p"), (4, "u", "<script>x"), (5, "u", page + " " * 100_000)]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "A title of it First words & more Second paragraph of the text, longer than the others are, to be sure."
+    assert got[1].text == got[5].text == want and got[1].n_chars == len(want)
+    assert (got[2].text, got[2].n_chars, got[3].text, got[4].text) == ("", 0, "", "")
+
+
+def test_labeller_on_fresh_pages():
+    rng, right, total = random.Random(77), 0, 0
+    for _ in range(80):
+        page, main = html_text.training_page(rng)
+        want = " ".join(b.text for b in html_text.blocks(page) if b.text in main)
+        right += html_text.main_text(html_text.trained(), [page])[0] == want
+        total += 1
+    assert right / total > 0.9
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    model = html_text.Labeller(size=5, hidden=3)
+    x, mask, y = rng.random((4, 2, 5)).astype(np.float32), np.ones((4, 2), bool), rng.integers(0, 2, (4, 2)).astype(np.float32)
+    mask[3, 1] = False
+    loss = lambda: -(np.log(np.where(y == 1, p := model.probabilities(x, mask).astype(float), 1 - p)) * mask).sum() / mask.sum()
+    for name, g in model.gradients(x, mask, y).items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        model.p[name][at] += 1e-2
+        up = loss()
+        model.p[name][at] -= 2e-2
+        down = loss()
+        model.p[name][at] += 1e-2
+        assert (up - down) / 2e-2 == pytest.approx(g[at], rel=0.05, abs=1e-3)
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_queries_equal_sql(against_sql, name):
+    against_sql(queries()[name], oracle_sql()[name])
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    score = {r.doc_id: r.score for r in quality_knn.score(docs, quality_knn.fit(docs, labels)).collect()}
+    left = {r.doc_id: r.text for r in docs.collect() if score[r.doc_id] >= 0.3}
+    last = {}
+    for i in sorted(left):
+        last[lower(left[i])] = i
+    left = {i: left[i] for i in last.values()}
+    fp = {i: plain_fingerprint(t) for i, t in left.items()}
+    root = linked(set(fp.values()))
+    keep = {}
+    for i in sorted(left):
+        keep.setdefault(root[fp[i]], i)
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in got} == set(keep.values())
+    own = bpe.encoder(WORD)
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(docs.filter(docs.doc_id.isin(list(keep.values())))).collect()}
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(own.encode(masked[i])) // 4 + 1 for i in keep.values()}
+    schema = docs.schema
+    step = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, sf)
+        assert step.schema.names == schema.names
