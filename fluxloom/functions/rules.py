@@ -28,7 +28,7 @@ def rule_matches(key: Column, pattern: str, but: str | None = None) -> Column:
 
 def regexp_filter(value: Column, pattern: str, replacement: str) -> Column:
     r"""All matches replaced; \0 to \9 in the replacement are groups, \\ a backslash."""
-    java = re.sub(r"\\(\\|\d)|\$", lambda m: r"\$" if m[0] == "$" else r"\\\\" if m[1] == "\\" else "$" + m[1], replacement)
+    java = re.sub(r"\\(\\|\d)|\$", lambda m: r"\$" if m[0] == "$" else r"\\" if m[1] == "\\" else "$" + m[1], replacement)
     return F.regexp_replace(value, pattern, java)
 
 

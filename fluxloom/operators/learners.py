@@ -61,9 +61,9 @@ class Classifier:
                 return
             gamma /= 4 * c * var
             self._add(sides, x, lambda label, f, v: gamma * cov(label, f) * v)
-            for label, sign in sides:
+            for label, _ in sides:
                 for f, v in x.items():
-                    self.cov[label][f] = 1 / (1 / cov(label, f) + sign * 2 * gamma * c * v * v)
+                    self.cov[label][f] = 1 / (1 / cov(label, f) + 2 * gamma * c * v * v)
             return
         if margin >= 1:
             return
