@@ -156,3 +156,39 @@ def neighbour_mean(neighbours: DataFrame, targets: DataFrame, weight: str = "uni
     exact = F.min("d").over(Window.partitionBy("query_id")) <= 2.220446049250313e-16
     near = near.withColumn("w", F.when(exact, F.when(F.col("d") <= 2.220446049250313e-16, 1.0).otherwise(0.0)).otherwise(1 / F.col("d")))
     return near.groupBy("query_id").agg((F.sum(F.col("w") * F.col("target")) / F.sum("w")).alias("estimate"))
+
+
+def nearest_of_all(points: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
+    """row_id, neighbour, distance: the k nearest other points of every point (row_id, x array<double>), exactly.
+
+    Points are dealt into blocks; each pair of blocks is one task of bounded size, a matrix product that keeps k a row, so
+    that what is shuffled is the points once for each block and k rows for each point and block, never all pairs.
+    """
+    n = points.count()
+    blocks = max(1, -(-n // block_rows))
+    kind = points.schema["row_id"].dataType.simpleString()
+    dealt = points.select("row_id", "x", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int").alias("own"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = dealt.select("row_id", "x", F.col("own").alias("a"), others.alias("b"))
+    right = dealt.select("row_id", "x", others.alias("a"), F.col("own").alias("b"))
+
+    def cell(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"row_id": [], "neighbour": [], "distance": []})
+        r = r.sort_values("row_id")
+        ids, y = r["row_id"].to_numpy(), np.stack(r["x"].to_numpy())
+        out = []
+        for at in range(0, len(q), 512):
+            part = q.iloc[at : at + 512]
+            own, x = part["row_id"].to_numpy(), np.stack(part["x"].to_numpy())
+            d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
+            d[own[:, None] == ids[None]] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(d, near, 1)
+            row, col = np.nonzero(np.isfinite(best))
+            out.append(pd.DataFrame({"row_id": own[row], "neighbour": ids[near[row, col]], "distance": np.sqrt(best[row, col])}))
+        return pd.concat(out)
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(cell, f"row_id {kind}, neighbour {kind}, distance double")
+    w = Window.partitionBy("row_id").orderBy("distance", "neighbour")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")

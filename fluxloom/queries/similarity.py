@@ -166,9 +166,8 @@ NEAR = f"WITH {V}, d AS (SELECT a.row_id, b.row_id AS nb, sqrt(greatest(0, list_
 
 
 def _lof(spark, d):
-    r = rows(spark, d)
-    scores = S.euclidean_scores(r, r)
-    pairs = scores.filter("row_id <> query_id").select(F.col("query_id").alias("row_id"), F.col("row_id").alias("neighbour"), (-F.col("score")).alias("distance"))
+    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"))
+    pairs = S.nearest_of_all(points, 10)
     kd = anomaly.k_distance(pairs, 10)
     return pairs, kd, anomaly.local_density(pairs, kd, 10)
 
