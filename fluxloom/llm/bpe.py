@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ class Recent(dict):
 class WordBpe:
     """Encoder and decoder for one vocabulary file. Ids are bytes of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS, by_library: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.path, model = path, spec["model"]
@@ -77,9 +78,26 @@ class WordBpe:
             self.strings[i] = s
         self.utf8 = [s.encode() for s in self.strings]
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache = Recent(lambda word: self.merge(word.encode()), cached_words)
+        self.letters = letters
+        self.cache = Recent(self.merge_by_library if by_library else lambda word: self.merge(word.encode()), cached_words)
         self.cached = self.cache.__getitem__
-        self._library = self.ends = None
+        self._library = None
+
+    @property
+    def library(self):
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._model = self._library.model
+        return self._library
+
+    def merge_by_library(self, word: str) -> bytes:
+        """The ids of one word by the library's merges, for operators whose method isn't the encoding."""
+        if not (word.isascii() and word.isprintable()):
+            word = "".join([self.letters[b] for b in word.encode()])
+        self.library  # noqa: B018
+        return array("I", [t.id for t in self._model.tokenize(word)]).tobytes()
 
     def merge(self, word: bytes) -> bytes:
         """The ids of one word: the lowest rank first, of equal ranks the leftmost."""
@@ -111,11 +129,8 @@ class WordBpe:
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
     def _by_library(self, text: str) -> bytes:
-        if self._library is None:
-            from tokenizers import Tokenizer
-
-            self._library = Tokenizer.from_file(self.path)
-        words = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
+        library = self.library
+        words = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
         return b"".join([self.cached(bytes(map(self.byte_of.__getitem__, w)).decode()) for w, _ in words])
 
     def _plain(self, text: str) -> bytes:
@@ -129,49 +144,15 @@ class WordBpe:
         parts = self.special_at.split(text)
         return b"".join(self.special[p].to_bytes(4, "little") if k % 2 else self._plain(p) for k, p in enumerate(parts))
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """As encode() for each text, but words not met before are encoded by the library, many in one call."""
-        if len(self.cache) >= self.cache.most:
-            self.cache.old = dict(self.cache)
-            self.cache.clear()
-        out: list = []
-        new: set[str] = set()
-        for text in texts:
-            if "<|" in text or not text.isascii() and _FAR.search(text):
-                out.append(self.encode(text))
-                continue
-            words = _WORDS.findall(text.lower())
-            new.update(words)
-            out.append(words)
-        new.difference_update(self.cache, self.cache.old)
-        if new:
-            if self._library is None:
-                from tokenizers import Tokenizer
-
-                self._library = Tokenizer.from_file(self.path)
-            if self.ends is None:
-                self.ends = np.array([s.endswith("</w>") for s in self.strings])
-            words = sorted(new)
-            for k in range(0, len(words), 2000):
-                part = words[k : k + 2000]
-                ids = np.array(self._library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-                cuts = np.flatnonzero(self.ends[ids]) + 1
-                if len(cuts) == len(part):  # each word ends once
-                    raw, start = ids.tobytes(), 0
-                    for word, cut in zip(part, (4 * cuts).tolist(), strict=True):
-                        self.cache[word] = raw[start:cut]
-                        start = cut
-        return [x if isinstance(x, bytes) else b"".join(map(self.cached, x)) for x in out]
-
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the vocabulary's strings, which this file's decoder joins by one space."""
         return b" ".join(map(self.utf8.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> WordBpe:
-    """One per worker process, with its cache of words."""
-    return WordBpe(path)
+def encoder(path: str, by_library: bool = False) -> WordBpe:
+    """One per worker process, with its cache of words. ``by_library``: the library merges words not met before."""
+    return WordBpe(path, by_library=by_library)
 
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,8 +24,6 @@ from fluxloom.llm.common import Workspace, id_type, map_batches
 LENGTH = 4096
 GRAIN = 8
 END_ID = 2
-#: Documents encoded at once in a worker, in characters.
-AT_ONCE = 400_000
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, length: int, grain: int, end_id: int) -> DataFrame:
@@ -33,33 +31,20 @@ def token_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, length:
     end = int(end_id).to_bytes(4, "little")
 
     def make():
-        bpe = encoder(path)
+        bpe = encoder(path, by_library=True)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, starts, sizes, crcs, totals = [], [], [], [], []
-            texts, at, held = [], 0, 0
-
-            def flush() -> None:
-                nonlocal texts, at, held
-                for ids in bpe.encode_all(texts):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, length):
-                        size = min(length, n - start)
-                        rows.append(at)
-                        starts.append(start)
-                        sizes.append(size)
-                        crcs.append(zlib.crc32(memoryview(ids)[4 * start : 4 * (start + size)]))
-                        totals.append(n)
-                    at += 1
-                texts, held = [], 0
-
-            for text in batch.column(1):
-                texts.append(text.as_py() or "")
-                held += len(texts[-1])
-                if held >= AT_ONCE:
-                    flush()
-            flush()
+            for at, text in enumerate(batch.column(1)):
+                ids = bpe.encode(text.as_py() or "") + end
+                n = len(ids) // 4
+                for start in range(0, n, length):
+                    size = min(length, n - start)
+                    rows.append(at)
+                    starts.append(start)
+                    sizes.append(size)
+                    crcs.append(zlib.crc32(memoryview(ids)[4 * start : 4 * (start + size)]))
+                    totals.append(n)
             size = np.array(sizes, np.int64)
             return pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, sizes, crcs, totals)), pa.array((size + grain - 1) // grain, pa.int64())],
