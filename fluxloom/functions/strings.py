@@ -85,3 +85,54 @@ def suffix_array(texts: pd.Series) -> pd.Series:
 def contains_at(text: Column, pattern: str) -> Column:
     """0-based place of the first occurrence, -1 if none."""
     return F.instr(text, pattern) - 1
+
+
+def gamma_code(n: Column) -> Column:
+    """Elias' gamma code of n >= 1 as a string of 0 and 1."""
+    b = F.bin(n)
+    return F.when(n >= 1, F.concat(F.repeat(F.lit("0"), F.length(b) - 1), b))
+
+
+def delta_code(n: Column) -> Column:
+    """Elias' delta code of n >= 1: the gamma code of the length, then the bits below the leading one."""
+    b = F.bin(n)
+    return F.when(n >= 1, F.concat(gamma_code(F.length(b).cast("long")), F.substring(b, 2, 64)))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def lcp_array(texts: pd.Series, suffixes: pd.Series) -> pd.Series:
+    """Length of the prefix that each suffix, in order, shares with the one before; 0 for the first."""
+
+    def shared(t: str, order) -> list[int]:
+        n, out, h = len(t), [0] * len(t), 0
+        rank = np.empty(n, int)
+        rank[np.asarray(order, int)] = np.arange(n)
+        for i in range(n):
+            if rank[i] == 0:
+                h = 0
+                continue
+            j = int(order[rank[i] - 1])
+            while i + h < n and j + h < n and t[i + h] == t[j + h]:
+                h += 1
+            out[rank[i]] = h
+            h = max(0, h - 1)
+        return out
+
+    return pd.Series([shared(t or "", s) for t, s in zip(texts, suffixes)])
+
+
+def intern(df, column: str):
+    """column, id: dense ids from 0 in order of the values. Values are sorted by ranges; only one count a range is read."""
+    ranged = df.select(column).filter(F.col(column).isNotNull()).distinct().repartitionByRange(F.col(column)).sortWithinPartitions(column)
+    placed = ranged.withColumn("_n", F.monotonically_increasing_id())
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        placed = placed.checkpoint()
+    part = F.shiftright("_n", 33)
+    sizes = {r[0]: r[1] for r in placed.groupBy(part.alias("p")).count().collect()}
+    before, at = {}, 0
+    for p in sorted(sizes):
+        before[p], at = at, at + sizes[p]
+    if not before:
+        return placed.select(column, F.col("_n").alias("id"))
+    starts = F.create_map(*[v for p, n in before.items() for v in (F.lit(p), F.lit(n))])
+    return placed.select(column, (F.element_at(starts, part) + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("id"))

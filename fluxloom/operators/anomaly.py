@@ -37,3 +37,12 @@ def scores(query_pairs: DataFrame, kdist: DataFrame, lrd: DataFrame, k: int) ->
     mean = near.join(lrd.select(F.col("row_id").alias("neighbour"), F.col("lrd").alias("n_lrd")), "neighbour").groupBy("query_id").agg(F.avg("n_lrd").alias("mean"))
     lof = F.when((F.col("lrd") == INFINITY) & (F.col("mean") == INFINITY), 1.0).otherwise(F.col("mean") / F.col("lrd"))
     return own.join(mean, "query_id").select("query_id", lof.alias("lof"))
+
+
+def stored_scores(pairs: DataFrame, k: int) -> DataFrame:
+    """LOF of every stored row, which is no neighbour of itself; ``pairs`` (row_id, neighbour, distance) has each row with
+    itself too, which counts for its k-distance, and at least k + 1 of its nearest."""
+    kdist = k_distance(pairs, k)
+    others = pairs.filter("row_id <> neighbour")
+    lrd = local_density(pairs, kdist, k)
+    return scores(others.withColumnRenamed("row_id", "query_id"), kdist, lrd, k).withColumnRenamed("query_id", "row_id")

@@ -86,3 +86,19 @@ def thompson(arms: DataFrame, seed: int = 0) -> DataFrame:
         return pd.Series([np.random.default_rng([seed, k & 0x7FFFFFFF]).beta(a + 1, b - a + 1) for a, b, k in zip(w, n, key)])
 
     return _argmax(arms.withColumn("_v", draw("weight", F.col("trial_count").cast("double"), F.hash("player", "arm"))), "_v")
+
+
+def register_arms(table: DataFrame, arms: list[str]) -> DataFrame:
+    """Sums with a row of zeros for every player and arm without one."""
+    players = table.select("player").distinct().select("player", F.explode(F.array(*[F.lit(a) for a in arms])).alias("arm"))
+    new = players.join(table, ["player", "arm"], "left_anti")
+    return table.unionByName(new.select("player", "arm", F.lit(0).cast("long").alias("trial_count"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("expectation")))
+
+
+def delete_arm(table: DataFrame, arm: str) -> DataFrame:
+    """Sums without the arm; totals are sums of trials, so its trials are gone from them too."""
+    return table.filter(F.col("arm") != arm)
+
+
+def reset(table: DataFrame, player) -> DataFrame:
+    return table.filter(F.col("player") != F.lit(player))

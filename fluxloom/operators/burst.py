@@ -3,16 +3,84 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Keywords that one plan tests as literals; more are taken in parts of this size.
+PART = 500
+
+
 def batch_counts(documents: DataFrame, keywords: DataFrame, interval: float) -> DataFrame:
-    """keyword, batch, d (documents), r (documents that hold the keyword); keywords are a small table of settings."""
-    docs = documents.withColumn("batch", F.floor(F.col("pos") / interval)).withColumn("one", F.lit(1))
-    hits = docs.join(keywords.select("keyword").withColumn("one", F.lit(1)), "one")
-    return hits.groupBy("keyword", "batch").agg(F.count("*").alias("d"), F.sum(F.col("text").contains(F.col("keyword")).cast("long")).alias("r"))
+    """keyword, batch, d (documents), r (documents that hold the keyword), also for r = 0.
+
+    Only hits are shuffled, after a partial count, never documents times keywords. Keywords are settings and read to the driver.
+    """
+    batch = F.floor(F.col("pos") / interval).alias("batch")
+    words = sorted(r[0] for r in keywords.select("keyword").distinct().collect())
+    parts = []
+    for at in range(0, max(1, len(words)), PART):
+        every = F.array(*[F.lit(w) for w in words[at : at + PART]]).cast("array<string>")
+        held = F.filter(every, lambda w: F.coalesce(F.col("text").contains(w), F.lit(False)))
+        # the empty name stands for the document itself
+        named = documents.select(batch, F.explode(F.concat(F.array(F.struct(F.lit(True).alias("all"), F.lit("").alias("w"))), F.transform(held, lambda w: F.struct(F.lit(False).alias("all"), w.alias("w"))))).alias("h"))
+        counted = named.groupBy("batch", "h").agg(F.count("*").alias("n"))
+        of_batch = counted.groupBy("batch").agg(F.max(F.when(F.col("h.all"), F.col("n"))).alias("d"), F.map_from_entries(F.collect_list(F.when(~F.col("h.all"), F.struct("h.w", "n")))).alias("m"))
+        parts.append(of_batch.select(F.explode(every).alias("keyword"), "batch", "d", "m").select("keyword", "batch", "d", F.coalesce(F.element_at("m", F.col("keyword")), F.lit(0)).cast("long").alias("r")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def place(arrivals: DataFrame, interval: float, size: int) -> DataFrame:
+    """batch, cutoff, starts for documents (seq, pos) in order of seq: overlapping windows of ``size`` batches.
+
+    A window opens when a document lies at or over the end of the newest one, so that its batch is number size // 2 of the
+    new window. Documents before the newest window's start are late: those of a batch from seq ``cutoff`` on (null: none).
+    ``starts`` are the windows that hold the batch. One task folds one row for each occupied batch, not the documents.
+    """
+    if size < 2:
+        raise ValueError("window_batch_size must be at least 2")
+
+    def fold(batches):
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values("first", kind="stable")
+        starts, opened = [], []
+        for b, first in zip(pdf["batch"].tolist(), pdf["first"].tolist()):
+            if not starts or b >= starts[-1] + size:
+                starts.append(b - size // 2)
+                opened.append(first)
+        own = pdf["batch"].to_numpy()
+        after = np.searchsorted(starts, own, side="right")  # windows from here on begin after the batch
+        from_ = np.searchsorted(starts, own - size, side="right")
+        pdf["cutoff"] = pd.array([opened[k] if k < len(opened) else None for k in after], "Int64")
+        pdf["starts"] = [starts[lo:hi] for lo, hi in zip(from_, after)]
+        yield pdf[["batch", "cutoff", "starts"]]
+
+    firsts = arrivals.groupBy(F.floor(F.col("pos") / interval).alias("batch")).agg(F.min("seq").cast("long").alias("first"))
+    return firsts.coalesce(1).mapInPandas(fold, "batch long, cutoff long, starts array<long>")
+
+
+def on_time(documents: DataFrame, placed: DataFrame, interval: float) -> DataFrame:
+    """The documents that a window takes."""
+    late = placed.filter("cutoff IS NOT NULL").select("batch", "cutoff")
+    dated = documents.withColumn("batch", F.floor(F.col("pos") / interval))
+    return dated.join(late, "batch", "left").filter("cutoff IS NULL OR seq < cutoff").select(*documents.columns)
+
+
+def windowed(counts: DataFrame, placed: DataFrame) -> DataFrame:
+    """keyword, start, batch, d, r: the counts of each window's occupied batches."""
+    return counts.join(placed.select("batch", F.explode("starts").alias("start")), "batch").select("keyword", "start", "batch", "d", "r")
+
+
+def overlap(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
+    """a_start, b_start, begin, end: batches that windows (start) of two sets share; an equi-join on blocks of ``size``."""
+    block = lambda c: F.explode(F.sequence(F.floor(F.col(c) / size), F.floor((F.col(c) + size - 1) / size)))
+    left = a.select(F.col("start").alias("a_start")).distinct().withColumn("block", block("a_start"))
+    right = b.select(F.col("start").alias("b_start")).distinct().withColumn("block", block("b_start"))
+    near = left.join(right, "block").filter(F.abs(F.col("a_start") - F.col("b_start")) < size)
+    return near.select("a_start", "b_start", F.greatest("a_start", "b_start").alias("begin"), (F.least("a_start", "b_start") + size).alias("end")).distinct()
 
 
 def detect(d: list[float], r: list[float], scaling: float, gamma: float, reuse: list[float] = ()) -> list[float]:
@@ -60,6 +128,43 @@ def window_bursts(counts: DataFrame, settings: DataFrame) -> DataFrame:
     return counts.join(settings, "keyword").groupBy("keyword").applyInPandas(run, "keyword string, batch long, weight double")
 
 
+def results(windows: DataFrame, settings: DataFrame, size: int, reuse: int = 0) -> DataFrame:
+    """keyword, start, batch, d, r, weight of all ``size`` batches of each window, from windowed(). The first ``reuse``
+    batches at most that a window shares with the keyword's window before keep that window's weights."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out, before = [], {}
+        for start, own in pdf.groupby("start", sort=True):
+            at = np.arange(start, start + size)
+            full = own.set_index("batch")[["d", "r"]].reindex(at, fill_value=0)
+            kept = []
+            for b in at.tolist()[:reuse]:
+                if b not in before:
+                    break
+                kept.append(before[b])
+            weights = detect(full["d"].tolist(), full["r"].tolist(), float(pdf["scaling"].iloc[0]), float(pdf["gamma"].iloc[0]), kept)
+            before = dict(zip(at.tolist(), weights))
+            out.append(pd.DataFrame({"keyword": key[0], "start": start, "batch": at, "d": full["d"].to_numpy(), "r": full["r"].to_numpy(), "weight": weights}))
+        return pd.concat(out)
+
+    kind = "keyword string, start long, batch long, d long, r long, weight double"
+    # without reuse the windows are independent, so a keyword's windows need not share a task
+    keys = ["keyword"] if reuse else ["keyword", "start"]
+    return windows.join(settings, "keyword").groupBy(*keys).applyInPandas(run, kind)
+
+
+def bursted_at(found: DataFrame, batch: int) -> DataFrame:
+    """Keywords that burst at a batch, by the newest window that holds it."""
+    newest = found.filter(F.col("batch") == batch).groupBy("keyword").agg(F.max_by("weight", "start").alias("weight"))
+    return newest.filter("weight > 0").select("keyword")
+
+
+def merge_results(found: DataFrame) -> DataFrame:
+    """Of results of the same keyword and window (column shard tells them apart) the one with the most documents."""
+    most = found.groupBy("keyword", "start", "shard").agg(F.sum("d").alias("all")).groupBy("keyword", "start").agg(F.min_by("shard", F.struct(-F.col("all"), F.col("shard"))).alias("shard"))
+    return found.join(most, ["keyword", "start", "shard"], "left_semi").drop("shard")
+
+
 def bursted(weights: DataFrame) -> DataFrame:
     """Keywords whose last batch bursts."""
     return weights.groupBy("keyword").agg(F.max_by("weight", "batch").alias("last")).filter("last > 0").select("keyword")

@@ -122,3 +122,72 @@ def dbscan(points: DataFrame, eps: float, min_core_point: int, features: str = "
     border = pairs.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("cluster").alias("cluster"))
     sizes = border.groupBy("cluster").count().filter(F.col("count") >= min_core_point).select("cluster")
     return border.join(sizes, "cluster").select("id", "cluster")
+
+
+def members(points: DataFrame, centers: list[list[float]], point: list[float], features: str = "x") -> DataFrame:
+    """The points of the cluster whose center is nearest to a given point."""
+    gaps = [float(np.linalg.norm(np.subtract(c, point))) for c in centers]
+    if not gaps:
+        raise ValueError("clustering has not been performed")
+    return assign(points, centers, features).filter(F.col("center") == int(np.argmin(gaps)))
+
+
+def coreset(points: DataFrame, k: int, size: int, key: str, seed: int = 0, features: str = "x", weight: str = "weight") -> DataFrame:
+    """At most ``size`` weighted points that stand for all: odds are a point's share of the cost of k drawn centers and of
+    its cluster's weight, and what is drawn weighs the inverse of its odds, scaled to the same total.
+
+    The draw is a race of exponential times, a distributed top-N; no more than ``size`` points are returned as they are.
+    """
+    if size < k:
+        raise ValueError("compressed_bucket_size must be at least k")
+    if points.limit(size + 1).count() <= size:
+        return points
+    centers = first_centers(points, k, key, seed, features, weight)
+    own = assign(points, centers, features)
+    w = F.col(weight)
+    sums = own.groupBy("center").agg(F.sum(w).alias("_mass"), F.sum(w * F.col("distance") ** 2).alias("_cost")).collect()  # k rows
+    cost, total = sum(r["_cost"] for r in sums), sum(r["_mass"] for r in sums)
+    mass = F.element_at(F.create_map(*[v for r in sums for v in (F.lit(r["center"]), F.lit(float(r["_mass"])))]), F.col("center"))
+    share = w * (F.col("distance") ** 2 / cost if cost else F.lit(0.0)) + w / mass / len(sums)
+    draw = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)) + 1) / float(1 << 52)
+    drawn = own.withColumn("_odds", share / (2 if cost else 1)).orderBy(-F.log(draw) / F.col("_odds"), key).limit(size)
+    drawn = drawn.withColumn(weight, w / F.col("_odds"))
+    scale = drawn.agg(F.sum(weight)).first()[0]
+    return drawn.withColumn(weight, F.col(weight) * (total / scale)).select(*points.columns)
+
+
+class Coresets:
+    """Levels of coresets: a full bucket is compressed into level 0; a level of ``length`` coresets is compressed into one
+    of the next level, and what moves up loses weight by exp(-forgetting)."""
+
+    def __init__(self, k: int, key: str, size: int, length: int, forgetting: float = 0.0, threshold: float = 0.0, weight: str = "weight"):
+        if length < 2:
+            raise ValueError("bucket_length must be at least 2")
+        self.k, self.key, self.size, self.length, self.forgetting, self.threshold, self.weight = k, key, size, length, forgetting, threshold, weight
+        self.levels: list[list[DataFrame]] = []
+        self.revision = 0
+
+    def push(self, bucket: DataFrame) -> None:
+        self.revision += 1
+        self._add(0, coreset(bucket, self.k, self.size, self.key, self.revision, weight=self.weight))
+
+    def _add(self, level: int, made: DataFrame) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(made)
+        if len(self.levels[level]) == self.length:
+            every = self.levels[level][0]
+            for df in self.levels[level][1:]:
+                every = every.unionByName(df)
+            self.levels[level] = []
+            faded = every.withColumn(self.weight, F.col(self.weight) * float(np.exp(-self.forgetting)))
+            kept = faded.filter(F.col(self.weight) >= self.threshold)
+            self._add(level + 1, coreset(kept, self.k, self.size, self.key, self.revision, weight=self.weight))
+
+    def points(self) -> DataFrame | None:
+        """All levels' points, the newest last."""
+        held = [df for level in reversed(self.levels) for df in level]
+        out = None
+        for df in held:
+            out = df if out is None else out.unionByName(df)
+        return out

@@ -63,3 +63,76 @@ def landmark_distance(edges: DataFrame, landmark: int, max_hop: int) -> DataFram
     """id, to (hops to the landmark), from_ (hops from it): a path over the landmark is their sum, not always shortest."""
     away = distances(edges, landmark, max_hop).withColumnRenamed("hops", "from_")
     return distances(edges.selectExpr("dst AS src", "src AS dst"), landmark, max_hop).withColumnRenamed("hops", "to").join(away, "id", "full_outer")
+
+
+def create_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """New nodes are added; ids that exist already keep theirs."""
+    return nodes.unionByName(new.dropDuplicates(["id"]).join(nodes.select("id"), "id", "left_anti").select(*nodes.columns))
+
+
+def update(items: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """Properties of known nodes or edges are replaced as a whole; unknown ids raise."""
+    if not changes.join(items.select(key), key, "left_anti").isEmpty():
+        raise ValueError(f"unknown {key}")
+    p = changes.select(key, F.col("props").alias("_props"), F.lit(True).alias("_hit"))
+    return items.join(p, key, "left").withColumn("props", F.when(F.col("_hit"), F.col("_props")).otherwise(F.col("props"))).select(*items.columns)
+
+
+def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Nodes without the ids of ``gone``, which must be known and have no edges."""
+    if not gone.join(nodes.select("id"), "id", "left_anti").isEmpty():
+        raise ValueError("unknown id")
+    ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
+    if not gone.join(ends, "id", "left_semi").isEmpty():
+        raise ValueError("a node with edges cannot be removed")
+    return nodes.join(gone.select("id"), "id", "left_anti")
+
+
+def create_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
+    """New edges are added; each needs one known end at least."""
+    known = nodes.select("id")
+    lost = new.join(known, F.col("src") == F.col("id"), "left_anti").join(known, F.col("dst") == F.col("id"), "left_anti")
+    if not lost.isEmpty():
+        raise ValueError("an edge needs a known node")
+    return edges.unionByName(new.select(*edges.columns))
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, node_query: dict[str, str] | None = None, edge_query: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with the wanted properties, edges between such nodes only."""
+    held = nodes.filter(has_properties(F.col("props"), node_query)) if node_query else nodes
+    kept = edges.filter(has_properties(F.col("props"), edge_query)) if edge_query else edges
+    if node_query:
+        ids = held.select("id")
+        kept = kept.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
+    return held, kept
+
+
+class Presets:
+    """Registered pairs of node and edge queries; results are given for these alone."""
+
+    def __init__(self) -> None:
+        self._held: set = set()
+
+    @staticmethod
+    def _key(kind: str, node_query: dict, edge_query: dict) -> tuple:
+        return kind, tuple(sorted(node_query.items())), tuple(sorted(edge_query.items()))
+
+    def add(self, kind: str, node_query: dict, edge_query: dict) -> None:
+        if kind not in ("centrality", "shortest_path"):
+            raise ValueError(f"unknown kind of query {kind}")
+        self._held.add(self._key(kind, node_query, edge_query))
+
+    def remove(self, kind: str, node_query: dict, edge_query: dict) -> None:
+        self._held.discard(self._key(kind, node_query, edge_query))
+
+    def check(self, kind: str, node_query: dict, edge_query: dict) -> None:
+        if self._key(kind, node_query, edge_query) not in self._held:
+            raise KeyError("unknown query")
+
+
+def merge_graphs(master: DataFrame, *diffs: DataFrame) -> DataFrame:
+    """Nodes or edges (id first): those of later differences replace earlier ones."""
+    key = master.columns[0]
+    rest = master.columns[1:]
+    every = [df.select(*master.columns).withColumn("_turn", F.lit(k)) for k, df in enumerate((master, *diffs))]
+    return reduce(DataFrame.unionByName, every).groupBy(key).agg(F.max_by(F.struct(*rest), "_turn").alias("_r")).select(key, "_r.*")

@@ -6,6 +6,8 @@ aggregation, the top k of each query a ranked window that Spark limits before it
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,21 +89,57 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+@functools.lru_cache(65536)
 def _projection(feature: str, bits: int) -> np.ndarray:
     return np.random.default_rng(fnv1_64(feature) & 0xFFFFFFFF).standard_normal(bits).astype(np.float32)
 
 
+def by_row(rows: DataFrame, step, columns: str) -> DataFrame:
+    """Maps batches of whole rows: ``step(names, values, first)`` gets the features of many rows in line and where each row
+    begins, at most about 65,536 features (or one row) at a time, and gives a dict of columns."""
+
+    def run(batches):
+        for pdf in batches:
+            sizes = pdf["names"].str.len().to_numpy()
+            group = np.cumsum(sizes) // 65536
+            for lo, hi in zip(*_spans(group)):
+                part = pdf.iloc[lo:hi]
+                names, values = np.concatenate(part["names"].to_numpy()), np.concatenate(part["values"].to_numpy())
+                first = np.concatenate([[0], np.cumsum(sizes[lo:hi])[:-1]])
+                yield pd.DataFrame({"row_id": part["row_id"].to_numpy(), **step(names, values.astype(float), first)})
+
+    packed = rows.groupBy("row_id").agg(F.collect_list(F.struct("feature", F.col("value").cast("double").alias("value"))).alias("_f"))
+    packed = packed.select("row_id", F.col("_f.feature").alias("names"), F.col("_f.value").alias("values")).filter("size(names) > 0")
+    return packed.mapInPandas(run, f"row_id {rows.schema['row_id'].dataType.simpleString()}, {columns}")
+
+
+def _spans(group: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begins and ends of the runs of equal values."""
+    if not len(group):
+        return [], []
+    low = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1]).tolist()
+    return low, [*low[1:], len(group)]
+
+
+def project(names: np.ndarray, values: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """n random projections of each row; they depend on the features' names alone."""
+    found, which = np.unique(names.astype(str), return_inverse=True)
+    table = np.stack([_projection(f, n) for f in found.tolist()]).astype(float)
+    return np.add.reduceat(values[:, None] * table[which], first, axis=0)
+
+
+def words(signs: np.ndarray) -> list[list[int]]:
+    """Rows of booleans as lists of 64-bit words."""
+    return np.packbits(np.pad(signs, ((0, 0), (0, -signs.shape[1] % 64))), axis=1, bitorder="little").view("<i8").tolist()
+
+
 def lsh_signatures(rows: DataFrame, bits: int = 64) -> DataFrame:
     """row_id, bits (array of words) and norm: signs of random projections that depend on the feature's name alone."""
 
-    def sign(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(bits)
-        for f, v in zip(pdf["feature"], pdf["value"]):
-            total += v * _projection(f, bits)
-        packed = np.packbits(np.pad(total > 0, (0, -bits % 64)), bitorder="little").view("<i8")
-        return pd.DataFrame({"row_id": [key[0]], "bits": [packed.tolist()], "norm": [float(np.sqrt((pdf["value"] ** 2).sum()))]})
+    def sign(names, values, first):
+        return {"bits": words(project(names, values, first, bits) > 0), "norm": np.sqrt(np.add.reduceat(values**2, first))}
 
-    return rows.groupBy("row_id").applyInPandas(sign, f"row_id {rows.schema['row_id'].dataType.simpleString()}, bits array<bigint>, norm double")
+    return by_row(rows, sign, "bits array<bigint>, norm double")
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -114,15 +152,24 @@ def mix64(h: np.ndarray) -> np.ndarray:
 def minhash_signatures(rows: DataFrame, bits: int = 64) -> DataFrame:
     """row_id, bits: weighted minhash of one bit each; the feature with the least -ln(u) / value gives its lowest bit."""
 
-    def sign(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.array([fnv1_64(f) for f in pdf["feature"]], np.uint64)
+    def sign(names, values, first):
+        found, which = np.unique(names.astype(str), return_inverse=True)
+        h = np.array([fnv1_64(f) for f in found.tolist()], np.uint64)
         with np.errstate(over="ignore"):
             u = mix64(h[:, None] + np.arange(1, bits + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        keys = -np.log((u.astype(np.float64) + 1) / 2.0**64) / np.maximum(pdf["value"].to_numpy()[:, None], FLOOR)
-        bit = (h[keys.argmin(0)] & np.uint64(1)).astype(bool)
-        return pd.DataFrame({"row_id": [key[0]], "bits": [np.packbits(np.pad(bit, (0, -bits % 64)), bitorder="little").view("<i8").tolist()]})
+        keys = -np.log((u.astype(np.float64) + 1) / 2.0**64)[which] / np.maximum(values[:, None], FLOOR)
+        ends = [*first[1:].tolist(), len(values)]
+        bit = np.stack([h[which[lo:hi][keys[lo:hi].argmin(0)]] & np.uint64(1) for lo, hi in zip(first.tolist(), ends)])
+        return {"bits": words(bit.astype(bool))}
+
+    return by_row(rows, sign, "bits array<bigint>")
+
 
-    return rows.groupBy("row_id").applyInPandas(sign, f"row_id {rows.schema['row_id'].dataType.simpleString()}, bits array<bigint>")
+def angle_score(bits: int) -> Column:
+    """Minus the distance that the angle between signatures (bits, q_bits) and the norms (norm, q_norm) give."""
+    n, m, ham = F.col("norm"), F.col("q_norm"), hamming(F.col("bits"), F.col("q_bits"))
+    angle = F.greatest(F.lit(0.0), n * n + m * m - 2 * n * m * F.cos(np.pi * ham / bits))
+    return -F.when(ham == 0, F.abs(n - m)).otherwise(F.sqrt(angle))
 
 
 def signature_scores(table: DataFrame, queries: DataFrame, bits: int = 64, euclid: bool = False) -> DataFrame:
@@ -132,9 +179,7 @@ def signature_scores(table: DataFrame, queries: DataFrame, bits: int = 64, eucli
     pairs = table.withColumn("one", F.lit(1)).join(q.withColumn("one", F.lit(1)), "one").withColumn("ham", hamming(F.col("bits"), F.col("q_bits")))
     if not euclid:
         return pairs.select("query_id", "row_id", (1 - F.col("ham") / bits).alias("score"))
-    n, m = F.col("norm"), F.col("q_norm")
-    angle = F.greatest(F.lit(0.0), n * n + m * m - 2 * n * m * F.cos(np.pi * F.col("ham") / bits))
-    return pairs.select("query_id", "row_id", (-F.when(F.col("ham") == 0, F.abs(n - m)).otherwise(F.sqrt(angle))).alias("score"))
+    return pairs.select("query_id", "row_id", angle_score(bits).alias("score"))
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, known: DataFrame, alpha: float, kind: str = "cosine") -> DataFrame:

@@ -57,3 +57,24 @@ def status(**values: object) -> dict[str, str]:
 def top_results(results: DataFrame, key: str, start: str, most: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.col(start).desc())
     return results.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+
+
+def newer(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows (key, owner, clock, ...) that a peer lacks, which has seen each owner's rows up to ``clock``."""
+    s = seen.groupBy("owner").agg(F.max("clock").alias("_seen"))
+    return rows.join(s, "owner", "left").filter("_seen IS NULL OR clock > _seen").select(*rows.columns)
+
+
+def accept(mine: DataFrame, incoming: DataFrame, key: str = "key") -> DataFrame:
+    """Versioned rows after a push: an incoming row replaces one whose clock is not larger than its own."""
+    others = [c for c in mine.columns if c != key]
+    every = mine.withColumn("_in", F.lit(0)).unionByName(incoming.select(*mine.columns).withColumn("_in", F.lit(1)))
+    last = every.groupBy(key).agg(F.max_by(F.struct(*others), F.struct("clock", "_in")).alias("_r"))
+    return last.select(key, "_r.*").select(*mine.columns)
+
+
+def apply_difference(master: DataFrame, version: int, diff: DataFrame, diff_version: int, keys: list[str], values: list[str]) -> tuple[DataFrame, int, bool]:
+    """The master with a mixed difference added, its version and whether it was taken: one of another version is not."""
+    if diff_version != version:
+        return master, version, False
+    return add_up(master.select(*keys, *values).unionByName(diff.select(*keys, *values)), keys, values), version + 1, True
