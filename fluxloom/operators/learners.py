@@ -80,6 +80,11 @@ class Classifier:
             for f, v in x.items():
                 w[f] = w.get(f, 0.0) + sign * step(label, f, v)
 
+    def load(self, model: pd.DataFrame) -> None:
+        for f, label, v1, v2 in model[["feature", "label", "v1", "v2"]].itertuples(index=False):
+            self.w.setdefault(label, {})[f] = v1
+            self.cov[label][f] = v2
+
     def rows(self) -> pd.DataFrame:
         found = [(f, label, v, self.cov[label].get(f, 1.0)) for label, w in self.w.items() for f, v in w.items()]
         return pd.DataFrame(found, columns=["feature", "label", "v1", "v2"])
@@ -130,21 +135,31 @@ class Regression:
         for f, v in x.items():
             self.w[f] = self.w.get(f, 0.0) + step(f, v)
 
+    def load(self, model: pd.DataFrame) -> None:
+        self.w, self.cov = dict(zip(model["feature"], model["v1"])), dict(zip(model["feature"], model["v2"]))
+
     def rows(self) -> pd.DataFrame:
         return pd.DataFrame([(f, "+", v, self.cov.get(f, 1.0)) for f, v in self.w.items()], columns=["feature", "label", "v1", "v2"])
 
 
-def train(rows: DataFrame, make, shards: int = 1) -> DataFrame:
-    """The weight table from rows (seq, target, features: map of doubles), folded in order of seq within each shard."""
+def train(rows: DataFrame, make, shards: int = 1, start: DataFrame | None = None) -> DataFrame:
+    """The weight table from rows (seq, target, features: map of doubles), folded in order of seq within each shard.
+    With ``start`` each shard goes on from that weight table."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame, held: pd.DataFrame | None = None) -> pd.DataFrame:
         model = make()
+        if held is not None:
+            model.load(held)
         for target, features in pdf.sort_values("seq")[["target", "features"]].itertuples(index=False):
             model.train(target, dict(features))
         return model.rows()
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(shards)))
-    made = dealt.groupBy("shard").applyInPandas(lambda key, pdf: fold(pdf).assign(shard=key[0]), MODEL + ", shard long")
+    if start is None:
+        made = dealt.groupBy("shard").applyInPandas(lambda key, pdf: fold(pdf).assign(shard=key[0]), MODEL + ", shard long")
+    else:
+        copies = start.select("feature", "label", "v1", "v2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+        made = dealt.groupBy("shard").cogroup(copies.groupBy("shard")).applyInPandas(lambda key, pdf, held: fold(pdf, held).assign(shard=key[0]), MODEL + ", shard long")
     return mix(made, shards) if shards > 1 else made.drop("shard")
 
 

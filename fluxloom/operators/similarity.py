@@ -203,8 +203,9 @@ def neighbour_mean(neighbours: DataFrame, targets: DataFrame, weight: str = "uni
     return near.groupBy("query_id").agg((F.sum(F.col("w") * F.col("target")) / F.sum("w")).alias("estimate"))
 
 
-def nearest_of_all(points: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
-    """row_id, neighbour, distance: the k nearest other points of every point (row_id, x array<double>), exactly.
+def nearest_of_all(points: DataFrame, k: int, block_rows: int = 2048, queries: DataFrame | None = None) -> DataFrame:
+    """row_id, neighbour, distance: the k nearest other points of every point (row_id, x array<double>), exactly; or the k
+    nearest points of each of ``queries`` (row_id, x).
 
     Points are dealt into blocks; each pair of blocks is one task of bounded size, a matrix product that keeps k a row, so
     that what is shuffled is the points once for each block and k rows for each point and block, never all pairs.
@@ -214,9 +215,12 @@ def nearest_of_all(points: DataFrame, k: int, block_rows: int = 2048) -> DataFra
     kind = points.schema["row_id"].dataType.simpleString()
     dealt = points.select("row_id", "x", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int").alias("own"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.select("row_id", "x", F.col("own").alias("a"), others.alias("b"))
+    asked = dealt if queries is None else queries.select("row_id", "x", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int").alias("own"))
+    left = asked.select("row_id", "x", F.col("own").alias("a"), others.alias("b"))
     right = dealt.select("row_id", "x", others.alias("a"), F.col("own").alias("b"))
 
+    queries_are_points = queries is None
+
     def cell(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame({"row_id": [], "neighbour": [], "distance": []})
@@ -227,7 +231,8 @@ def nearest_of_all(points: DataFrame, k: int, block_rows: int = 2048) -> DataFra
             part = q.iloc[at : at + 512]
             own, x = part["row_id"].to_numpy(), np.stack(part["x"].to_numpy())
             d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
-            d[own[:, None] == ids[None]] = np.inf
+            if queries_are_points:
+                d[own[:, None] == ids[None]] = np.inf
             near = np.argsort(d, axis=1, kind="stable")[:, :k]
             best = np.take_along_axis(d, near, 1)
             row, col = np.nonzero(np.isfinite(best))

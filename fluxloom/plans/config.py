@@ -39,6 +39,7 @@ PARAMETERS: dict[str, dict[str, Param]] = {
     "stat": {"window_size": Param(128, at_least(1), "must be at least 1")},
     "graph": {"damping_factor": Param(0.9, lambda v: 0 < v < 1, "must be in (0, 1)"), "landmark_num": Param(5, at_least(0), "must not be negative")},
     "bandit": {"assume_unrewarded": Param(False), "epsilon": Param(0.1, lambda v: 0 <= v <= 1, "must be in [0, 1]"), "decreasing_rate": Param(0.5, lambda v: 0 < v < 1, "must be in (0, 1)"), "tau": Param(0.05, positive, "must be positive"), "gamma": Param(0.1, lambda v: 0 < v <= 1, "must be in (0, 1]"), "seed": Param(0)},
+    "weight": {},
     "unlearner": {"max_size": Param(1, positive, "must be positive"), "sticky_pattern": Param(None), "seed": Param(0)},
 }
 
