@@ -82,14 +82,29 @@ def candidates(indexed: DataFrame, asked: DataFrame) -> DataFrame:
     return queries.join(table, "b").select("query_id", "row_id").distinct()
 
 
-def neighbours(rows: DataFrame, queries: DataFrame, k: int, hashes: int = 4, tables: int = 4, width: float = 1.0, bits: int = 64, seed: int = 0, probes: int = 16) -> DataFrame:
+def exact_scores(rows: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """query_id, row_id, minus the distance of given pairs from their features."""
+    q = queries.select(F.col("row_id").alias("query_id"), "feature", F.col("value").alias("q"))
+    dots = pairs.join(q, "query_id").join(rows, ["row_id", "feature"]).groupBy("query_id", "row_id").agg(F.sum(F.col("value") * F.col("q")).alias("dot"))
+    qn = S.norms(queries).select(F.col("row_id").alias("query_id"), F.col("norm").alias("q_norm"))
+    every = pairs.join(dots, ["query_id", "row_id"], "left").join(S.norms(rows), "row_id").join(qn, "query_id")
+    n, m, dot = F.col("norm"), F.col("q_norm"), F.coalesce("dot", F.lit(0.0))
+    return every.select("query_id", "row_id", (-F.sqrt(F.greatest(F.lit(0.0), n * n + m * m - 2 * dot))).alias("score"))
+
+
+def neighbours(rows: DataFrame, queries: DataFrame, k: int, hashes: int = 4, tables: int = 4, width: float = 1.0, bits: int = 64, seed: int = 0, probes: int = 16, exact: bool = False) -> DataFrame:
     """query_id, row_id, score (minus the distance), rank. Queries that find fewer than k rows in their buckets are compared
-    with all rows' signatures instead, so none gets fewer than there are."""
+    with all rows instead, so none gets fewer than there are. Distances are those of the signatures, or with ``exact`` of
+    the rows themselves."""
     indexed, asked = index(rows, hashes, tables, width, bits, seed), index(queries, hashes, tables, width, bits, seed, probes)
     found = candidates(indexed, asked)
     enough = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+    found = found.join(enough, "query_id", "left_semi")
+    few = asked.join(enough, F.col("row_id") == F.col("query_id"), "left_anti")
+    if exact:
+        rest = S.euclidean_scores(rows, queries.join(few.select("row_id"), "row_id", "left_semi"))
+        return S.top_k(exact_scores(rows, queries, found).unionByName(rest), k)
     a = asked.select(F.col("row_id").alias("query_id"), F.col("bits").alias("q_bits"), F.col("norm").alias("q_norm"))
-    near = found.join(enough, "query_id", "left_semi").join(a, "query_id").join(indexed.select("row_id", "bits", "norm"), "row_id")
+    near = found.join(a, "query_id").join(indexed.select("row_id", "bits", "norm"), "row_id")
     near = near.select("query_id", "row_id", S.angle_score(bits).alias("score"))
-    few = asked.join(enough, F.col("row_id") == F.col("query_id"), "left_anti")
     return S.top_k(near.unionByName(S.signature_scores(indexed, few, bits, euclid=True)), k)

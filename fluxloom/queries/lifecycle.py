@@ -65,7 +65,7 @@ def t08(spark, d):
 
 @query("k08_bucket_neighbours")
 def k08(spark, d):
-    return lsh_index.neighbours(rows(spark, d), asked(spark, d), 10, hashes=2, tables=8, width=2.0)
+    return lsh_index.neighbours(rows(spark, d), asked(spark, d), 10, hashes=3, tables=8, width=2.0, exact=True)
 
 
 @query("r05_bucket_index")
