@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 SHORTEST = 16
 MASK = "[SECRET]"
 THRESHOLD = 0.5
-#: A run of at least SHORTEST key characters with a digit, not within a longer run.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{15,}"
+#: A run of at least SHORTEST key characters with a digit, not within a longer run; '=' only as padding at its end.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 SECRET_WORDS = "token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credentials?|auth|bearer|client[_-]?secret"
 PLAIN_WORDS = "sha1|sha256|sha|md5|commit|checksum|digest|revision|etag|uuid|guid|hash|version|isbn|order|invoice|phone|card|account|id|example|placeholder|dummy|sample"
 DICTIONARY = "example|sample|dummy|test|placeholder|changeme|your|here|this|that|with|from|value|none|null|true|false|user|name|file|page|home|data|image|version|release|index|config|default|article|product|category|january|february|april|august|september|october|november|december"
@@ -153,6 +153,11 @@ def _cut(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumn("_c", F.expr(f"regexp_extract_all(`{text_col}`, r'{CANDIDATE}', 0)")).withColumn("_s", F.expr(f"if(size(_c) > 0, split(`{text_col}`, r'{CANDIDATE}', -1), cast(null AS array<string>))"))
 
 
+def _before(c: str, s: str, i: str) -> str:
+    """SQL of the text before a candidate, the candidate before it included: that may be the name it is assigned to."""
+    return f"right(concat(if({i} > 0, {c}[{i} - 1], ''), {s}[{i}]), {NEAR + 16})"
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD, verdicts: bool = False) -> DataFrame:
     """One row per secret: doc_id, start (code points before it), length, secret_sha256, score. Clean rows have none.
 
@@ -161,7 +166,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"cast(`{text_col}` AS string) AS t", f"coalesce(cast(`{path_col}` AS string), '') AS path").filter(f"t rlike r'{CANDIDATE}'")
-    cut = _cut(rows.withColumn("row", F.monotonically_increasing_id()), "t").select("row", "doc_id", "path", F.posexplode(F.expr(f"transform(_c, (c, i) -> struct(c AS c, right(_s[i], {NEAR + 16}) AS b, left(_s[i + 1], 16) AS a, char_length(_s[i]) AS gap))")).alias("at", "f"))
+    cut = _cut(rows.withColumn("row", F.monotonically_increasing_id()), "t").select("row", "doc_id", "path", F.posexplode(F.expr(f"transform(_c, (c, i) -> struct(c AS c, {_before('_c', '_s', 'i')} AS b, left(_s[i + 1], 16) AS a, char_length(_s[i]) AS gap))")).alias("at", "f"))
     run = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = cut.withColumn("length", F.char_length("f.c")).withColumn("start", F.sum(F.col("f.gap") + F.col("length")).over(run) - F.col("length"))
     scored = spans.selectExpr("doc_id", "start", "cast(length AS bigint) AS length", "sha2(cast(f.c AS binary), 256) AS secret_sha256", f"{score_sql(spark, 'f.c', 'f.b', 'f.a', 'path')} AS score")
@@ -172,6 +177,6 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "sourc
     """``docs`` with secrets in the text replaced; rows, order of columns and other columns stay as they are."""
     spark = docs.sparkSession
     cut = _cut(docs.withColumn("_p", F.expr(f"coalesce(cast(`{path_col}` AS string), '')")), text_col)
-    piece = f"transform(_c, (c, i) -> concat(_s[i], if({score_sql(spark, 'c', '_s[i]', '_s[i + 1]', '_p')} >= {threshold}D, {_quoted(mask)}, c)))"
+    piece = f"transform(_c, (c, i) -> concat(_s[i], if({score_sql(spark, 'c', _before('_c', '_s', 'i'), '_s[i + 1]', '_p')} >= {threshold}D, {_quoted(mask)}, c)))"
     masked = f"if(size(_c) > 0, concat(array_join({piece}, ''), element_at(_s, -1)), `{text_col}`)"
     return cut.withColumn(text_col, F.expr(masked)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -228,6 +228,21 @@ def test_forest_tells_findings_apart(spark):
     assert np.mean([(r.s >= 0.5) == bool(r.y) for r in scored]) > 0.97
 
 
+def test_names_are_not_part_of_secrets(spark):
+    """Texts as they are scanned, with the name before the value and '=' between them."""
+    rng = random.Random(5)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    kinds = [lambda: ("API_TOKEN=", pick("0123456789abcdef", 40)), lambda: ("x?a=1&access_key=", pick(alnum, 32)), lambda: ("AWS_ACCESS_KEY_ID=", "AKIA" + pick(alnum[:26], 15) + "7"), lambda: ("PAYMENT_2_CLIENT_SECRET=", pick(alnum, 39) + "=")]
+    made = [(k, "of the " + name, value) for k in range(200) for name, value in [kinds[k % 4]()]]
+    texts = spark.createDataFrame([(k, before + value + "\nof the", "src") for k, before, value in made], "doc_id long, text string, source string")
+    found = {(r.doc_id, r.start, r.length) for r in secrets.find_secrets(texts).collect()}
+    for kind in range(4):
+        assert np.mean([(k, len(b), len(v)) in found for k, b, v in made if k % 4 == kind]) > 0.9
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(texts).collect()}
+    assert np.mean([masked[k] == f"{b}[SECRET]\nof the" for k, b, v in made]) > 0.9
+
+
 def test_quality(spark, docs, none, sf):
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     voter = quality_knn.fit(d, labels)
