@@ -1,6 +1,7 @@
 """Secret scans in DataFrame operations only, with a random forest that removes false positives.
 
-Candidates are runs of key characters that hold a digit. Their features (length, character transitions, dictionary coverage, path and neighbouring words) are SQL expressions. The forest is trained on
+Candidates are values assigned to a name with a secret word, of any length and characters, passwords in URLs, and elsewhere
+runs of key characters that hold a digit. Their features (length, character transitions, dictionary coverage, path and neighbouring words) are SQL expressions. The forest is trained on
 the driver from labelled findings that a seeded generator writes, whose features come from the same expressions, and is
 compiled into one SQL expression.
 """
@@ -19,15 +20,28 @@ from pyspark.sql.window import Window
 SHORTEST = 16
 MASK = "[SECRET]"
 THRESHOLD = 0.5
-#: A run of at least SHORTEST key characters with a digit, not within a longer run; '=' only as padding at its end.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 SECRET_WORDS = "token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credentials?|auth|bearer|client[_-]?secret"
 PLAIN_WORDS = "sha1|sha256|sha|md5|commit|checksum|digest|revision|etag|uuid|guid|hash|version|isbn|order|invoice|phone|card|account|id|example|placeholder|dummy|sample"
-DICTIONARY = "example|sample|dummy|test|placeholder|changeme|your|here|this|that|with|from|value|none|null|true|false|user|name|file|page|home|data|image|version|release|index|config|default|article|product|category|january|february|april|august|september|october|november|december"
+DICTIONARY = "example|sample|dummy|test|placeholder|changeme|your|here|this|that|with|from|value|none|null|nil|undefined|true|false|required|optional|string|redacted|hidden|forgot|reset|valid|user|name|file|page|home|data|image|version|release|index|config|default|article|product|category|january|february|april|august|september|october|november|december"
+#: A name with a secret word up to the value that it is assigned, its opening quote included; and a URL up to its password.
+ASSIGNED = rf"(?:(?i:{SECRET_WORDS})(?:[_-]?[0-9]{{1,4}}|[_-][A-Za-z0-9_-]{{1,16}})?\\?[\"'\]]?(?:\s{{0,4}}[:=]{{1,2}}>?|\s{{1,3}}is(?=\s))\s{{0,3}}|(?i:bearer)\s{{1,3}})\\?[\"'(]?"
+IN_URL = r"://[^\s/?#@:\"'<>]{0,64}:"
+#: A quoted value ends at its quote; another at white space, a quote, an angle or the next name, without a stop at its end.
+_VALUE = r"(?:(?<=\")[^\"\n]+(?=\")|(?<=')[^'\n]+(?=')|(?:(?![&;,][A-Za-z_][A-Za-z0-9_.-]{0,30}=)[^\s\"'<>`])+(?<![.,;)\]}\\]))"
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+#: An assigned value, a password in a URL, or a run of at least SHORTEST key characters with a digit, not within a longer
+#: run; '=' only as padding at a run's end.
+CANDIDATE = rf"(?:(?<=[:=>\s\"'(])(?<={ASSIGNED}){_VALUE}|(?<=:)(?<={IN_URL})[^\s/?#\"'<>]+(?=@)|{_RUN})"
+#: Texts without a match of this have no candidates; it is cheaper to look for.
+HINT = rf"(?:{ASSIGNED}|{IN_URL}[^\s/?#\"'<>]+@|{_RUN})"
 #: How far neighbouring words may lie, in characters.
 NEAR = 48
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def features(c: str, before: str, after: str, path: str) -> list[str]:
     """SQL of the features of a candidate, given SQL of it, of the text on either side and of the path."""
     low, left = f"lower({c})", f"lower(right({before}, {NEAR}))"
@@ -47,11 +61,17 @@ def features(c: str, before: str, after: str, path: str) -> list[str]:
         f"cast({left} rlike '(^|[^a-z])({PLAIN_WORDS})[^a-z]{{1,4}}$' AS double)",
         f"cast({left} rlike '[:=]\\\\s*[\"\\']?$' AS double)",
         f"cast(left({after}, 1) IN ('\"', '\\'') AS double)",
+        f"cast(right({before}, {NEAR * 2}) rlike {_quoted(IN_URL + '$')} AS double)",
+        f"cast({c} rlike '[a-z]' AS double) + cast({c} rlike '[A-Z]' AS double) + cast({c} rlike '[0-9]' AS double) + cast({c} rlike '[^A-Za-z0-9]' AS double)",
+        f"cast({c} rlike '^[A-Z]?[a-z]+$' AS double)",
+        f"cast({c} rlike '^[$][{{(]|^[{{][{{]|^[$][A-Z_]+$|^[*]+$|[A-Za-z_][(\\\\[]' AS double)",
+        f"cast({left} rlike '\\\\s(is|bearer)\\\\s+[\"\\']?$' AS double)",
+        f"cast(left({after}, 16) rlike '^[\"\\']?\\\\s*[:=]' AS double)",
         f"cast(lower({path}) rlike 'test|example|sample|mock|fixture|doc' AS double)",
     ]
 
 
-N_FEATURES = 15
+N_FEATURES = 21
 
 
 def labelled_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, str, str, str, int]]:
@@ -61,20 +81,47 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, str, str,
     hexes, alnum, b64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     word = lambda: pick("aeioutnrslhd", rng.randint(2, 9))
     prose = lambda: " ".join(word() for _ in range(rng.randint(1, 6)))
-    names = ["token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth", "client_secret", "credential", "private_key", "TOKEN", "API_KEY", "SECRET"]
+    names = ["token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth", "client_secret", "credential", "private_key", "TOKEN", "API_KEY", "SECRET", "access_key_id", "AWS_ACCESS_KEY_ID", "token_2"]
     plain = ["sha1", "commit", "md5", "checksum", "revision", "etag", "uuid", "hash", "id", "order", "phone", "version", "digest", "card"]
     paths = ["src", "web", "crawl", "main/app", "srv", "src7", "config", "tests/unit", "docs/guide", "examples"]
     rows = []
     for k in range(n):
         quote = rng.choice(['"', "'", ""])
         joint = rng.choice([" = ", "=", ": ", " := ", " => "])
-        if k % 2:
+        if k % 6 == 1:
+            word_like = lambda: rng.choice([word() + word() + pick(string.digits, rng.randint(1, 4)), word().capitalize() + pick(string.digits, 4) + pick("!?#$", 1), word() + word()])
+            signs = alnum + ".!@:#$%^&*-_~"
+            value = rng.choice([lambda: pick(alnum, rng.randint(6, 15)), lambda: pick(signs, rng.randint(6, 24)), lambda: pick(string.ascii_letters, rng.randint(8, 32)), lambda: pick(string.digits, rng.randint(4, 12)), word_like, word_like, lambda: pick(string.ascii_uppercase, rng.randint(3, 12)) + pick(string.ascii_lowercase, rng.randint(3, 16))])()
+            if rng.random() < 0.25:
+                value = "".join(ch for ch in value if ch not in "@:#") + pick(alnum, 3)
+                before, after = f"{prose()} {rng.choice(['postgres', 'https', 'redis', 'mysql', 'amqp'])}://{rng.choice(['', word()])}:", f"@{word()}/{word()}"
+            else:
+                plainly = value.islower() and value.isalpha()
+                before = f"{prose()} {rng.choice(names)}{rng.choice([joint, ' is ' if not plainly else joint])}{quote}"
+                after = quote + rng.choice([" ", "\n"]) + prose()
+            rows.append((value, before, after, rng.choice(paths[:7]), 1))
+        elif k % 6 == 4:
+            kind = rng.randrange(4)
+            if kind == 0:
+                value, before = rng.choice([word(), rng.choice(["the", "that", "this", "a", "not", "with", "your"])]), f"{prose()} {rng.choice(names + ['the secret', 'bearer'])}{rng.choice([' is ', ' is '])}"
+                before = before if rng.random() < 0.7 else f"{prose()} bearer "
+            elif kind == 1:
+                value = rng.choice(["required", "None", "null", "string", "optional", "true", "false", "redacted", "hidden", "undefined", "String", "REDACTED", "changeme", "example", "your-password-here", "YOUR_API_KEY_HERE", "example.com", "test-value"])
+                before = f"{prose()} {rng.choice(names)}{joint}{quote}"
+            elif kind == 2:
+                value = rng.choice(["${" + word().upper() + "_KEY", "os.environ[", f"get_{word()}(", f"{word()}.{word()}(", f"self.{word()}(", "$" + word().upper(), "{{ " + word(), "*" * rng.randint(4, 12), f"${{{word()}.{word()}", "get" + word().capitalize() + "(", "process.env[", f"config[{word()}"])
+                before = f"{prose()} {rng.choice(names)}{joint}"
+                quote = ""
+            else:
+                value, before = "-".join([word(), word()]), f"{prose()} the {rng.choice(names)} is "
+            rows.append((value, before, rng.choice([" ", ". ", quote + " "]) + prose(), rng.choice(paths), 0))
+        elif k % 2:
             value = rng.choice([lambda: pick(hexes, rng.choice([32, 40, 40, 64])), lambda: pick(hexes, 40).upper(), lambda: pick(alnum, rng.randint(20, 48)), lambda: pick(b64, rng.randint(24, 60)), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24)])()
             known = value.startswith(("AKIA", "ghp_", "sk_live", "xoxb"))
             before = f"{prose()} " if known and rng.random() < 0.3 else f"{prose()} {rng.choice(names)}{joint}{quote}"
             rows.append((value, before, quote + " " + prose(), rng.choice(paths[:7]), 1))
         else:
-            kind = rng.randrange(7)
+            kind = rng.randrange(8)
             if kind == 0:
                 value, before = pick(hexes, rng.choice([32, 40, 64])), f"{prose()} {rng.choice(plain)}{rng.choice([' ', ': ', ' = ', '='])}"
             elif kind == 1:
@@ -88,10 +135,14 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, str, str,
                 value, before = "_".join([word(), word(), word()]) + pick(string.digits, 2) + "_page_index", f"{prose()} "
             elif kind == 5:
                 value, before = "/".join(["2024", "05", word(), word() + "-" + word()]) + "/article", f"{prose()} "
-            else:
+            elif kind == 6:
                 value, before = pick(hexes, rng.choice([16, 32, 40, 64])), f"{prose()} "
+            else:
+                value = rng.choice([str.upper, str.lower])("_".join([word() + word(), str(rng.randint(1, 99)), word(), rng.choice(names)]))
+                rows.append((value.rjust(SHORTEST, "X"), f"{prose()} ", joint + quote + pick(alnum, 20), rng.choice(paths), 0))
+                continue
             rows.append((value, before, rng.choice([" ", ". ", quote + " "]) + prose(), rng.choice(paths), 0))
-    return [r for r in rows if len(r[0]) >= SHORTEST]
+    return rows
 
 
 def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) -> tuple | float:
@@ -129,10 +180,6 @@ def tree_sql(tree: tuple | float, v: str) -> str:
     return f"if({v}[{f}] <= {t}D, {tree_sql(left, v)}, {tree_sql(right, v)})"
 
 
-def _quoted(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 @functools.lru_cache(4)
 def _forest_sql(spark: SparkSession, trees: int, depth: int) -> str:
     found = labelled_findings()
@@ -150,12 +197,13 @@ def score_sql(spark: SparkSession, c: str, before: str, after: str, path: str, t
 
 def _cut(docs: DataFrame, text_col: str) -> DataFrame:
     """Adds _c (candidates) and _s (what stands between them, one more)."""
-    return docs.withColumn("_c", F.expr(f"regexp_extract_all(`{text_col}`, r'{CANDIDATE}', 0)")).withColumn("_s", F.expr(f"if(size(_c) > 0, split(`{text_col}`, r'{CANDIDATE}', -1), cast(null AS array<string>))"))
+    hinted = f"`{text_col}` rlike {_quoted(HINT)}"
+    return docs.withColumn("_c", F.expr(f"if({hinted}, regexp_extract_all(`{text_col}`, {_quoted(CANDIDATE)}, 0), cast(array() AS array<string>))")).withColumn("_s", F.expr(f"if(size(_c) > 0, split(`{text_col}`, {_quoted(CANDIDATE)}, -1), cast(null AS array<string>))"))
 
 
 def _before(c: str, s: str, i: str) -> str:
     """SQL of the text before a candidate, the candidate before it included: that may be the name it is assigned to."""
-    return f"right(concat(if({i} > 0, {c}[{i} - 1], ''), {s}[{i}]), {NEAR + 16})"
+    return f"right(concat(if({i} > 0, {c}[{i} - 1], ''), {s}[{i}]), {NEAR * 2})"
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD, verdicts: bool = False) -> DataFrame:
@@ -165,7 +213,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null path is an empty one; rows that repeat give their findings each; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"cast(`{text_col}` AS string) AS t", f"coalesce(cast(`{path_col}` AS string), '') AS path").filter(f"t rlike r'{CANDIDATE}'")
+    rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"cast(`{text_col}` AS string) AS t", f"coalesce(cast(`{path_col}` AS string), '') AS path").filter(f"t rlike {_quoted(HINT)}")
     cut = _cut(rows.withColumn("row", F.monotonically_increasing_id()), "t").select("row", "doc_id", "path", F.posexplode(F.expr(f"transform(_c, (c, i) -> struct(c AS c, {_before('_c', '_s', 'i')} AS b, left(_s[i + 1], 16) AS a, char_length(_s[i]) AS gap))")).alias("at", "f"))
     run = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spans = cut.withColumn("length", F.char_length("f.c")).withColumn("start", F.sum(F.col("f.gap") + F.col("length")).over(run) - F.col("length"))

@@ -243,6 +243,18 @@ def test_names_are_not_part_of_secrets(spark):
     assert np.mean([masked[k] == f"{b}[SECRET]\nof the" for k, b, v in made]) > 0.9
 
 
+def test_short_and_signed_secrets(spark):
+    """Values of any length and characters after a secret word, and passwords in URLs; words of prose are none."""
+    true = [("password = ", "hunter2xK9", "\n"), ("postgres://u:", "S3cr3tPass", "@host/db"), ("secret: ", "QWERTYUIOPasdfghjklzxcvbnm", "\n"), ('password="', "a.b!c@d:e7Xq", '"'), ("?a=1&pwd=", "x7.K!m@P:q", "&b=2"), ('{"passwd": "', "kT9$vR2", '"}'), ("token=", "aB3." * 50_000 + "x", "\n")]
+    false = ["password: required", "the secret is that we", "token = None", "api_key=${API_KEY}", "password = get_password()", 'password = "your-password-here"', "http://host:8080/a@b", "author: Smith"]
+    rows = [(k, f"some text {b}{v}{a}", "src") for k, (b, v, a) in enumerate(true)] + [(100 + k, t, "src") for k, t in enumerate(false)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {(r.doc_id, r.start, r.length) for r in secrets.find_secrets(texts).collect()}
+    assert found == {(k, len("some text " + b), len(v)) for k, (b, v, a) in enumerate(true)}
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(texts).collect()}
+    assert masked == {k: f"some text {b}[SECRET]{a}" for k, (b, v, a) in enumerate(true)} | {100 + k: t for k, t in enumerate(false)}
+
+
 def test_quality(spark, docs, none, sf):
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     voter = quality_knn.fit(d, labels)
