@@ -243,7 +243,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, words, threshold)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each component, with all its columns: of the smallest id, and of several with that id the first read.
+
+    Rows go by their own numbers, not by ids, so null and repeated ids take no other rows with them; a null id comes last.
+    """
+    ws = Workspace(docs.sparkSession, "one_of_each")
+    rows = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    named = rows.select(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("_key"), text_col)
+    found = near_duplicates(named, "_key", text_col, words, threshold)
+    gone = found.filter("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -360,6 +360,17 @@ def test_gradients():
         assert (up - down) / 2e-2 == pytest.approx(g[at], rel=0.05, abs=1e-3)
 
 
+def test_one_of_each_goes_by_rows(spark):
+    """Null and repeated ids take no clean rows with them, and each component keeps one row."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(6)]
+    rows = [(None, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2].upper()), (2, texts[3]), (3, texts[3]), (3, texts[4]), (4, texts[5]), (4, texts[5])]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got.columns == ["doc_id", "text"]
+    kept = collections.Counter((r.doc_id, r.text.lower()) for r in got.collect())
+    assert kept == collections.Counter([(1, texts[0]), (None, texts[1]), (None, texts[2]), (2, texts[3]), (3, texts[4]), (4, texts[5])])
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_queries_equal_sql(against_sql, name):
     against_sql(queries()[name], oracle_sql()[name])
