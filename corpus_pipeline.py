@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import exact_dedup, packing, quality_knn, secrets, simhash
+from fluxloom.llm import exact_dedup, packing, quality_knn, secrets, similar, simhash
 from fluxloom.llm.common import Workspace, table
 
 
@@ -21,8 +21,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of documents whose fingerprints are linked."""
-    return simhash.one_of_each(docs)
+    """One of each group of documents whose fingerprints are linked, and of these one of each group of similar texts."""
+    return similar.one_of_each(simhash.one_of_each(docs))
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -371,6 +371,23 @@ def test_one_of_each_goes_by_rows(spark):
     assert kept == collections.Counter([(1, texts[0]), (None, texts[1]), (None, texts[2]), (2, texts[3]), (3, texts[4]), (4, texts[5])])
 
 
+def test_near_stage_finds_similar_texts(spark):
+    """Pairs of five-word similarity just over and under 0.8, null and repeated ids among them."""
+    import corpus_pipeline
+
+    rng, rows, want = random.Random(9), [], collections.Counter()
+    for k in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        changed = list(words)
+        for at in range(10, 10 + 30 * (8 if k % 2 else 13), 30):  # each changes 5 of 396 shingles
+            changed[at] = "zzz"
+        i = None if k % 5 == 0 else k
+        rows += [(i, " ".join(words)), (1000 + k % 7, " ".join(changed))]
+        want.update([1000 + k % 7] if k % 2 and i is None else [i] if k % 2 else [i, 1000 + k % 7])
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert collections.Counter(r.doc_id for r in got.collect()) == want
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_queries_equal_sql(against_sql, name):
     against_sql(queries()[name], oracle_sql()[name])
