@@ -80,6 +80,13 @@ def n06(spark, d):
     return S.top_k(S.signature_scores(signed, signed.filter("row_id = 20")), 1, "asc").select("query_id", "row_id", "score")
 
 
+@query("n06_query_by_ids")
+def n06b(spark, d):
+    """The nearest ten of every id divisible by 20, by their own signatures."""
+    signed = S.lsh_signatures(rows(spark, d)).select(F.col("row_id").cast("long").alias("row_id"), "bits")
+    return S.top_k(S.signature_scores(signed, signed.filter("row_id % 20 = 0")), 10, "asc").select("query_id", "row_id", "score")
+
+
 @query("l02_stored_scores")
 def l02(spark, d):
     dense = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"))

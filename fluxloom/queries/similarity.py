@@ -49,6 +49,18 @@ def f29(spark, d):
     return rounded(S.pair_cosine(r.filter("row_id = 3"), r.filter("row_id = 8")), similarity=6)
 
 
+def with_next(spark, d):
+    """Each row (a) with the row of the next id (b)."""
+    r = rows(spark, d)
+    return r.select(F.col("row_id"), "feature", F.col("value").alias("x")).join(r.select((F.col("row_id") - 1).alias("row_id"), "feature", F.col("value").alias("y")), ["row_id", "feature"])
+
+
+@query("f29_pair_cosines", f"WITH {V} SELECT a.row_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON b.row_id = a.row_id + 1")
+def f29b(spark, d):
+    xx, yy, xy = (F.sum(F.col(a) * F.col(b)) for a, b in ("xx", "yy", "xy"))
+    return rounded(with_next(spark, d).groupBy("row_id").agg(F.when((xx == 0) | (yy == 0), 0.0).otherwise(xy / F.sqrt(xx * yy)).alias("similarity")), similarity=6)
+
+
 @query("f30_distances", f"{EUC} SELECT query_id, row_id, round(-score, 4) AS distance FROM s WHERE row_id <> query_id")
 def f30(spark, d):
     return euclid(spark, d).filter("row_id <> query_id").select("query_id", "row_id", F.round(-F.col("score"), 4).alias("distance"))
@@ -60,6 +72,11 @@ def f31(spark, d):
     return r.groupBy("feature").agg(F.round(F.sum("value"), 6).alias("value"))
 
 
+@query("f31_sparse_algebra_pairs", f"WITH {V} SELECT a.row_id, 'f' || (i - 1) AS feature, round(a.e[i] + 2 * b.e[i], 6) AS value FROM v a JOIN v b ON b.row_id = a.row_id + 1, range(1, 65) t(i)")
+def f31b(spark, d):
+    return with_next(spark, d).select("row_id", "feature", F.round(F.col("x") + 2 * F.col("y"), 6).alias("value"))
+
+
 @query("k02_cosine_top_k", f"{COS}{TOP} SELECT query_id, row_id, rank, round(score, 6) AS score FROM t WHERE rank <= 10")
 def k02(spark, d):
     return rounded(S.top_k(cosine(spark, d), 10).select("query_id", "row_id", F.col("rank").cast("long").alias("rank"), "score"), score=6)
@@ -95,6 +112,11 @@ def p13(spark, d):
     return rounded(rows(spark, d).filter("row_id = 5").select("feature", "value"), value=6)
 
 
+@query("p13_decode_rows", "SELECT vec_id AS row_id, 'f' || (i - 1) AS feature, round(embedding[i]::DOUBLE, 6) AS value FROM embeddings, range(1, 65) t(i)")
+def p13b(spark, d):
+    return rounded(rows(spark, d), value=6)
+
+
 @query("a09_complete_row", f"{COS}{TOP}, m AS (SELECT t.query_id, i, avg(v.e[i]) AS value FROM t JOIN v USING (row_id), range(1, 65) g(i) WHERE rank <= 128 GROUP BY ALL) SELECT query_id, 'f' || (i - 1) AS feature, round(value, 5) AS value FROM m")
 def a09(spark, d):
     return rounded(S.complete(S.top_k(cosine(spark, d), 128), rows(spark, d)), value=5)

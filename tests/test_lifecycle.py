@@ -164,3 +164,14 @@ def test_bucket_neighbours_recall(spark, sf):
     got = lifecycle.k08(spark, sf)
     assert got.groupBy("query_id").count().filter("count <> 10").isEmpty()
     assert got.join(exact, ["query_id", "row_id"]).count() >= 0.9 * exact.count()
+
+
+def test_query_by_ids_ranks_all(spark, sf):
+    from fluxloom.operators import similarity
+    from fluxloom.queries import catalogue
+    from fluxloom.queries.similarity import rows
+
+    bits = {r.row_id: [b & (1 << 64) - 1 for b in r.bits] for r in similarity.lsh_signatures(rows(spark, sf)).collect()}
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(bits[a], bits[b]))
+    want = {(q, i, 1 - apart(q, i) / 64) for q in bits if q % 20 == 0 for i in sorted(bits, key=lambda i: (apart(q, i), i))[:10]}
+    assert {tuple(r) for r in catalogue.queries()["n06_query_by_ids"](spark, sf).collect()} == want
