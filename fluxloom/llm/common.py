@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,12 +17,16 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder in local
+    mode; an error elsewhere, for executors on other machines would not see the driver's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set; with master {master} it must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fluxloom-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -29,22 +34,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Workspace:
     """Intermediate tables of one operator call, written below the shared folder, which cuts lineage and survives
-    the loss of executors."""
+    the loss of executors. Tables go when ``drop`` is called, and all that are left when the driver ends: the plan that
+    an operator returns still reads them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self._files(self.path, lambda fs, path: fs.mkdirs(path) and fs.deleteOnExit(path))
+
+    def _files(self, path: str, act: Callable) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        act(path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later plan reads."""
+        for name in names:
+            self._files(f"{self.path}/{name}", lambda fs, path: fs.delete(path, True))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores before it until no column of ``df`` has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def workers_find_us(spark: SparkSession) -> None:
