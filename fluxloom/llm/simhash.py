@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxloom.llm.common import Workspace, id_type, map_batches
+from fluxloom.llm.common import Workspace, column, id_type, map_batches, unused
 
 SHINGLE = 3
 THRESHOLD = 2
@@ -222,6 +222,7 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         least = ws.save(larger.groupBy("u").agg(F.min("v").alias("m")), f"least{turn}b")
         smaller = larger.join(least, "u").filter("v <> m").selectExpr("v AS u", "m AS v").unionByName(least.selectExpr("u", "m AS v"))
         edges = ws.save(smaller.distinct(), f"edges{turn}b")
+        ws.drop(f"least{turn}a", f"least{turn}b", f"edges{turn}a", "edges0" if turn == 1 else f"edges{turn - 1}b")
     return edges.selectExpr("u AS node", "v AS root")
 
 
@@ -243,13 +244,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """One row of each component, with all its columns: of the smallest id, and of several with that id the first read.
+    """One row of each component, with all its columns, whatever their names: of the smallest id, and of several with that
+    id the first read.
 
     Rows go by their own numbers, not by ids, so null and repeated ids take no other rows with them; a null id comes last.
+    Null, empty and blank texts are of one component. An empty table gives no rows.
     """
-    ws = Workspace(docs.sparkSession, "one_of_each")
-    rows = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    named = rows.select(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("_key"), text_col)
-    found = near_duplicates(named, "_key", text_col, words, threshold)
-    gone = found.filter("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    ws = Workspace(docs.sparkSession, "one-of-each")
+    (row,) = unused(docs, "_row")
+    rows = ws.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    named = rows.select(F.struct(column(id_col).isNull().alias("unnamed"), column(id_col).alias("id"), F.col(row).alias("row")).alias("key"), column(text_col).alias("text"))
+    found = near_duplicates(named, "key", "text", words, threshold)
+    gone = found.filter("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*map(column, docs.columns))

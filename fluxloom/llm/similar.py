@@ -1,8 +1,11 @@
 """Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, exact sets decide.
 
-Rows that share a band's values share a bucket; each row of a bucket is compared with its first row, so the pairs grow with the
-rows and not with the square of a group. Two rows of similarity 0.8 that are alone in their buckets are proposed with a
-probability of 0.999.
+Rows that share a band's values share a bucket. First each row is compared with its buckets' first rows, which joins the
+copies of one text without pairing them with each other. Buckets that are not of one component then are gone through
+again: each row outside the first row's component is compared with all rows of the bucket, in cells of at most HOMES such
+rows, through which the bucket's rows stream. Sketches pick the pairs, exact sets decide, and a pair that is joined already
+is skipped. So no pair of a bucket is left out, whatever the bucket's size; two rows of similarity 0.8 share no bucket with
+a probability of 0.001, and their sketches differ too much with one of 0.0003.
 """
 
 from __future__ import annotations
@@ -13,34 +16,49 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxloom.llm.common import Workspace, map_batches
+from fluxloom.llm.common import Workspace, column, map_batches, unused
 from fluxloom.llm.simhash import SEED, components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, VALUES = 14, 4
+#: Rows of a bucket that one cell holds while all of the bucket stream by.
+HOMES = 512
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * VALUES)).astype(np.uint64)
 
 
 def shingles(text: bytes, words: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes of UTF-8 text's shingles; fewer words than a shingle are one."""
+    """Distinct hashes of UTF-8 text's shingles, ascending; fewer words than a shingle are one."""
     found = text.lower().split()
     joined = [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[k:] for k in range(words))))
     return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in joined], np.uint64))
 
 
-def buckets(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band."""
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The least value of each drawn permutation."""
     least = np.full(BANDS * VALUES, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), 8192):
         least = np.minimum(least, (hashes[k : k + 8192, None] * (_DRAWN[0] | np.uint64(1)) + _DRAWN[1]).min(0))
+    return least
+
+
+def buckets(least: np.ndarray) -> np.ndarray:
+    """A key for each band."""
     return np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, VALUES))], np.uint64)
 
 
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two ascending sets are at least so similar."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
 def _proposed(words: int):
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys = [buckets(shingles(x.as_py() or b"", words)) for x in batch.column(1)]
+            keys = [buckets(sketch(shingles(x.as_py() or b"", words))) for x in batch.column(1)]
             keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "row"])
 
@@ -52,11 +70,7 @@ def _proposed(words: int):
 def _similar(words: int, similarity: float):
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            kept = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = (shingles(t.as_py() or b"", words) for t in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(both >= similarity * (len(x) + len(y) - both))
+            kept = [alike(*(shingles(t.as_py() or b"", words) for t in pair), similarity) for pair in zip(batch.column(2), batch.column(3))]
             return batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
         return step
@@ -64,24 +78,130 @@ def _similar(words: int, similarity: float):
     return make
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each component of similar texts, with all its columns: of the smallest id, a null id last.
+def _sets(words: int):
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingles(x.as_py() or b"", words) for x in batch.column(1)]
+            drawn = [(sketch(x) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for x in found]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(drawn, pa.binary())], ["row", "hashes", "sketch"])
+
+        return step
+
+    return make
+
+
+class _Cell:
+    """The homes of one bucket's part, and the components that are known in it."""
 
-    A-Z are lower-cased and words split at ASCII white space; null, empty and blank texts are equal.
-    """
-    ws = Workspace(docs.sparkSession, "similar")
-    rows = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    texts = rows.select(F.col("_row").alias("row"), F.expr(f"cast(cast(`{text_col}` AS string) AS binary)").alias("text"))
+    def __init__(self, key: tuple | None = None):
+        self.key, self.row, self.root, self.sketch, self.hashes, self.over = key, [], [], [], [], {}
+
+    def top(self, root: int) -> int:
+        while root in self.over:
+            root = self.over[root]
+        return root
+
+
+def _cells(similarity: float):
+    """Over batches sorted by bucket and part, homes first: key, part, home, row, root, hashes, sketch."""
+    # a count that a pair of this similarity reaches but with a chance of 0.0003
+    n = BANDS * VALUES
+    enough = similarity * n - 3.6 * np.sqrt(n * similarity * (1 - similarity))
+
+    def make():
+        cell = _Cell()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            nonlocal cell
+            found: list[tuple[int, int]] = []
+            keys, parts, homes, rows, roots = (batch.column(k).to_pylist() for k in range(5))
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at] and parts[end] == parts[at] and end - at < 256:
+                    end += 1
+                if cell.key != (keys[at], parts[at]):
+                    cell = _Cell((keys[at], parts[at]))
+                hashes = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(5).slice(at, end - at)]
+                sketches = np.array([np.frombuffer(x.as_py(), np.uint16) for x in batch.column(6).slice(at, end - at)])
+                for k in range(at, end):
+                    if homes[k]:
+                        cell.row.append(rows[k])
+                        cell.root.append(roots[k])
+                        cell.sketch.append(sketches[k - at])
+                        cell.hashes.append(hashes[k - at])
+                if cell.row:
+                    held = np.array(cell.sketch)
+                    agree = np.zeros((len(held), end - at), np.uint8)
+                    for j in range(n):
+                        agree += held[:, j, None] == sketches[None, :, j]
+                    for h, c in zip(*(x.tolist() for x in np.nonzero(agree >= enough))):
+                        a, b = cell.top(cell.root[h]), cell.top(roots[at + c])
+                        if a != b and alike(cell.hashes[h], hashes[c], similarity):
+                            cell.over[a] = b
+                            found.append((cell.row[h], rows[at + c]))
+                at = end
+            if not found:
+                return None
+            u, v = zip(*found)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        return step
+
+    return make
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds to rows (row) the root of its component, itself if it has no links."""
+    return rows.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+
+
+def similar_rows(ws: Workspace, texts: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, homes_held: int = HOMES) -> DataFrame:
+    """node, root (the smallest row that it is linked with) of each row but the roots, for texts (row long, text binary)."""
     proposed = ws.save(map_batches(texts, _proposed(words), "key long, row long"), "proposed")
-    firsts = ws.save(proposed.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
-    pairs = ws.save(proposed.join(firsts, "key").filter("row <> first").select("row", "first").distinct(), "pairs")
+    firsts = ws.save(proposed.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
+    members = ws.save(proposed.join(firsts, "key"), "members")
+    ws.drop("proposed")
+    pairs = ws.save(members.filter("row <> first").select("row", "first").distinct(), "pairs")
     one = ws.save(pairs.join(texts, "row").select("row", "first", F.col("text").alias("a")), "one")
-    other = texts.select(F.col("row").alias("first"), F.col("text").alias("b")).join(pairs.select("first").distinct(), "first", "left_semi")
-    both = one.join(ws.save(other, "other"), "first").select(F.col("row").alias("u"), F.col("first").alias("v"), "a", "b")
-    roots = ws.save(components(ws, map_batches(both, _similar(words, similarity), "u long, v long")), "roots")
-    named = rows.select(F.col("_row"), F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("_row").alias("row")).alias("at"))
-    members = roots.select(F.col("node").alias("_row"), "root").unionByName(roots.select(F.col("root").alias("_row"), "root").distinct())
-    members = ws.save(members.join(named, "_row"), "members")
-    kept = members.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.row").alias("_row"))
-    gone = ws.save(members.select("_row").join(kept, "_row", "left_anti"), "gone")
-    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    other = ws.save(texts.select(F.col("row").alias("first"), F.col("text").alias("b")).join(pairs.select("first").distinct(), "first", "left_semi"), "other")
+    both = one.join(other, "first").select(F.col("row").alias("u"), F.col("first").alias("v"), "a", "b")
+    linked = ws.save(map_batches(both, _similar(words, similarity), "u long, v long"), "linked")
+    ws.drop("one", "other", "pairs")
+    roots = ws.save(components(ws, linked), "roots")
+    # buckets of two rows are decided; of the others those that are of several components are gone through
+    rooted = ws.save(_rooted(members.filter("n > 2").select("key", "row"), roots), "rooted")
+    ws.drop("members")
+    open_ = rooted.groupBy("key").agg(F.min_by("root", "row").alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "main")
+    cells = ws.save(rooted.join(open_, "key").select("key", "row", "root", (F.col("root") != F.col("main")).alias("home")), "open")
+    if cells.isEmpty():
+        return roots
+    sets = ws.save(map_batches(texts.join(cells.select("row").distinct(), "row", "left_semi"), _sets(words), "row long, hashes binary, sketch binary"), "sets")
+    many = ws.save(cells.filter("home").groupBy("key").agg(F.ceil(F.count("*") / homes_held).cast("int").alias("parts")), "parts")
+    dealt = cells.join(many, "key").withColumn("own", F.expr("pmod(xxhash64(row), parts)"))
+    dealt = dealt.select("key", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "row", "root", "home", "own")
+    dealt = dealt.select("key", "part", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"), "row", "root").join(sets, "row")
+    dealt = dealt.select("key", "part", "home", "row", "root", "hashes", "sketch").repartition("key", "part").sortWithinPartitions("key", "part", F.desc("home"))
+    further = ws.save(map_batches(dealt, _cells(similarity), "u long, v long"), "further")
+    ws.drop("rooted", "open", "sets", "parts")
+    return components(Workspace(ws.spark, "similar-further"), linked.unionByName(further))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float = SIMILARITY, homes_held: int = HOMES) -> DataFrame:
+    """One row of each component of similar texts, with all its columns, whatever their names: of the smallest id, a null
+    id last, and of several with that id the first read.
+
+    A-Z are lower-cased and words split at ASCII white space; null, empty and blank texts are equal, and a text of fewer
+    words than a shingle is one shingle. An empty table gives no rows.
+    """
+    ws = Workspace(docs.sparkSession, "similar")
+    (row,) = unused(docs, "_row")
+    rows = ws.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col(row).alias("row"), column(text_col).cast("string").cast("binary").alias("text"))
+    roots = ws.save(similar_rows(ws, texts, words, similarity, homes_held), "all-roots")
+    named = rows.select(F.col(row).alias("row"), F.struct(column(id_col).isNull().alias("unnamed"), column(id_col).alias("id"), F.col(row).alias("row")).alias("at"))
+    members = roots.select(F.col("node").alias("row"), "root").unionByName(roots.select(F.col("root").alias("row"), "root").distinct())
+    members = ws.save(members.join(named, "row"), "in-components")
+    kept = members.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.row").alias("row"))
+    gone = ws.save(members.select("row").join(kept, "row", "left_anti").select(F.col("row").alias(row)), "gone")
+    return rows.join(gone, row, "left_anti").select(*map(column, docs.columns))
