@@ -8,6 +8,7 @@ ranges, reads each range at once, and takes the records out of it.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -18,18 +19,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxloom.llm.common import Workspace, id_type, map_batches
+from fluxloom.llm.common import Workspace, id_type, map_batches, workers_find_us
 
 LEAST_BYTES = 100
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+#: Bytes of archives that one task reads, and that it reads at least where there are cores for more tasks.
+TASK_BYTES, LEAST_TASK_BYTES = 128 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
+_CONTROL = r"[\x00-\x1f\x7f]|^ | $"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _header(value: object) -> str:
-    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value))
+    """A value on one line; ``_value`` undoes it."""
+    return re.sub(r"[\x00-\x1f\x7f%]|^ | $", lambda m: f"%{ord(m[0]):02X}", str(value))
+
+
+def _value(header: str | None) -> str | None:
+    return None if header is None else re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), header)
 
 
 def record(kind: str, page: object, url: str | None, payload: bytes, digest: str, refers_to: object = None, date: str = DATE) -> bytes:
@@ -37,7 +46,9 @@ def record(kind: str, page: object, url: str | None, payload: bytes, digest: str
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, _header(page))}>", f"WARC-Date: {date}"]
-    lines += [f"WARC-Target-URI: {_header(url)}"] if url is not None else []
+    # a URL's own percent signs stand as they are; only one that holds control characters is also given in full
+    lines += [f"WARC-Target-URI: {re.sub(_CONTROL, lambda m: f'%{ord(m[0]):02X}', url)}"] if url is not None else []
+    lines += [f"Target-As-Given: {_header(url)}"] if url is not None and re.search(_CONTROL, url) else []
     lines += [f"WARC-Payload-Digest: sha256:{digest}"]
     lines += [f"Page-Id: {_header(page)}"] if page is not None else []
     if kind == "revisit":
@@ -97,16 +108,16 @@ def write_warc(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) ->
         step.close = close
         return step
 
-    from fluxloom.llm.common import workers_find_us
-
     workers_find_us(records.sparkSession)
 
     def run(batches):
         step = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
-        step.close()
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield step(batch)
+        finally:
+            step.close()
 
     return records.mapInArrow(run, f"file string, offset long, length long, url string, digest string, page_id {id_type(records, 'page_id')}")
 
@@ -122,9 +133,10 @@ def ranges(offsets: list[int], lengths: list[int], most: int = RANGE_BYTES, gap:
     return [tuple(x) for x in found]
 
 
-def read_warc(index: DataFrame, folder: str) -> DataFrame:
+def read_warc(index: DataFrame, folder: str, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Records of the selected rows of an index: page_id, url, record_type, payload_bytes, payload_digest, refers_to
-    (ids as strings), payload (of responses). A payload that doesn't have its digest is an error."""
+    (ids as strings), payload (of responses). A payload that doesn't have its digest is an error. An index without rows
+    gives none, and a row that repeats gives its record each time."""
 
     def make():
         filesystem, base = _open(folder)
@@ -145,14 +157,18 @@ def read_warc(index: DataFrame, folder: str) -> DataFrame:
                             digest = warc["WARC-Payload-Digest"].removeprefix("sha256:")
                             if warc["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
                                 raise ValueError(f"{files[k]} at {offsets[k]}: the payload doesn't have its digest")
-                            out.append((warc.get("Page-Id"), warc.get("WARC-Target-URI"), warc["WARC-Type"], int(http["Content-Length"]), digest, warc.get("Refers-To-Page-Id"), payload if warc["WARC-Type"] == "response" else None))
+                            out.append((_value(warc.get("Page-Id")), _value(warc["Target-As-Given"]) if "Target-As-Given" in warc else warc.get("WARC-Target-URI"), warc["WARC-Type"], int(http["Content-Length"]), digest, _value(warc.get("Refers-To-Page-Id")), payload if warc["WARC-Type"] == "response" else None))
             types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names) if out else None
 
         return step
 
-    picked = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    picked = index.select("file", "offset", "length")
+    # tasks are dealt by the archives' bytes: the index itself is small
+    total = picked.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, math.ceil(total / task_bytes), min(index.sparkSession.sparkContext.defaultParallelism, total // LEAST_TASK_BYTES))
+    picked = picked.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return map_batches(picked, make, "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
 
 
