@@ -1,9 +1,10 @@
 """Secret scans in DataFrame operations only, with a random forest that removes false positives.
 
-Candidates are values assigned to a name with a secret word, of any length and characters, passwords in URLs, and elsewhere
-runs of key characters that hold a digit. Their features (length, character transitions, dictionary coverage, path and neighbouring words) are SQL expressions. The forest is trained on
-the driver from labelled findings that a seeded generator writes, whose features come from the same expressions, and is
-compiled into one SQL expression.
+Candidates are private keys in their frames, signed JSON tokens, values assigned to a name with a secret word, of any length
+and characters, passwords in URLs, and elsewhere runs of at least SHORTEST key characters that hold a digit. Their features
+(length, character transitions, dictionary coverage, path and neighbouring words) are SQL expressions. The forest is trained
+on the driver from texts with labelled findings that a seeded generator writes; its candidates are cut and its features made
+by the expressions that scan documents. It is compiled into one SQL expression.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fluxloom.llm.common import column, unused
+
 SHORTEST = 16
 MASK = "[SECRET]"
 THRESHOLD = 0.5
@@ -29,11 +32,15 @@ IN_URL = r"://[^\s/?#@:\"'<>]{0,64}:"
 #: A quoted value ends at its quote; another at white space, a quote, an angle or the next name, without a stop at its end.
 _VALUE = r"(?:(?<=\")[^\"\n]+(?=\")|(?<=')[^'\n]+(?=')|(?:(?![&;,][A-Za-z_][A-Za-z0-9_.-]{0,30}=)[^\s\"'<>`])+(?<![.,;)\]}\\]))"
 _RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
-#: An assigned value, a password in a URL, or a run of at least SHORTEST key characters with a digit, not within a longer
-#: run; '=' only as padding at a run's end.
-CANDIDATE = rf"(?:(?<=[:=>\s\"'(])(?<={ASSIGNED}){_VALUE}|(?<=:)(?<={IN_URL})[^\s/?#\"'<>]+(?=@)|{_RUN})"
+_BEGIN = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+#: A private key with its frame (to the text's end or the next frame, if it is never closed), and a signed JSON token.
+_FRAMED = rf"{_BEGIN}(?:(?!-----)[\s\S])+(?:-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----)?"
+_SIGNED = r"(?<![A-Za-z0-9+/_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*)?"
+#: A private key, a signed token, an assigned value, a password in a URL, or a run of at least SHORTEST key characters with
+#: a digit, not within a longer run; '=' only as padding at a run's end.
+CANDIDATE = rf"(?:{_FRAMED}|{_SIGNED}|(?<=[:=>\s\"'(])(?<={ASSIGNED})(?:(?<=[\"'(])|(?![:=>])){_VALUE}|(?<=:)(?<={IN_URL})[^\s/?#\"'<>]+(?=@)|{_RUN})"
 #: Texts without a match of this have no candidates; it is cheaper to look for.
-HINT = rf"(?:{ASSIGNED}|{IN_URL}[^\s/?#\"'<>]+@|{_RUN})"
+HINT = rf"(?:{ASSIGNED}|{IN_URL}[^\s/?#\"'<>]+@|{_RUN}|{_SIGNED}|{_BEGIN})"
 #: How far neighbouring words may lie, in characters.
 NEAR = 48
 
@@ -55,8 +62,8 @@ def features(c: str, before: str, after: str, path: str) -> list[str]:
         f"cast({low} rlike '^[0-9a-f]+$' AS double)",
         f"cast({c} rlike '^[0-9]+$' AS double)",
         f"cast({c} rlike '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-' AS double)",
-        f"cast({c} rlike '^(AKIA|ASIA|ghp_|gho_|sk_live|sk-|xox[abp]-|glpat-|AIza|eyJ)' AS double)",
-        f"cast({left} rlike '({SECRET_WORDS})[\"\\']?\\\\s*([:=]|is|:=|=>)\\\\s*[\"\\'(]?$' AS double)",
+        f"cast({c} rlike '^(AKIA|ASIA|ghp_|gho_|sk_live|sk-|xox[abp]-|glpat-|AIza|eyJ|-----BEGIN )' AS double)",
+        f"cast({left} rlike '({SECRET_WORDS})([_-]?[0-9]{{1,4}}|[_-][a-z0-9_-]{{1,16}})?[\"\\']?\\\\s*([:=]|is|:=|=>)\\\\s*[\"\\'(]?$' AS double)",
         f"cast({left} rlike '({SECRET_WORDS})' AS double)",
         f"cast({left} rlike '(^|[^a-z])({PLAIN_WORDS})[^a-z]{{1,4}}$' AS double)",
         f"cast({left} rlike '[:=]\\\\s*[\"\\']?$' AS double)",
@@ -74,7 +81,7 @@ def features(c: str, before: str, after: str, path: str) -> list[str]:
 N_FEATURES = 21
 
 
-def labelled_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, str, str, str, int]]:
+def labelled_findings(n: int = 1800, seed: int = 7) -> list[tuple[str, str, str, str, int]]:
     """(candidate, before, after, path, is a secret): findings in the forms that reviewers meet, half of them false."""
     rng = random.Random(seed)
     pick = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
@@ -88,12 +95,29 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, str, str,
     for k in range(n):
         quote = rng.choice(['"', "'", ""])
         joint = rng.choice([" = ", "=", ": ", " := ", " => "])
-        if k % 6 == 1:
+        if k % 12 == 5:
+            form = rng.randrange(4)
+            if form == 0:
+                kind, line = rng.choice(["", "RSA ", "EC ", "OPENSSH "]), rng.choice(["\n", "\\n", "\r\n"])
+                value = f"-----BEGIN {kind}PRIVATE KEY-----" + line + line.join(pick(b64, 64) for _ in range(rng.randint(1, 12))) + line + f"-----END {kind}PRIVATE KEY-----"
+                before = prose() + rng.choice(["\n", " ", f' {rng.choice(names)}{joint}"'])
+                rows.append((value, before, rng.choice(["\n", '"\n']) + prose(), rng.choice(paths), 1))
+            elif form == 1:
+                value = "eyJ" + ".".join(pick(alnum + "_-", rng.randint(12, 90)) for _ in range(3))
+                before = f"{prose()} {rng.choice(['', rng.choice(names) + joint + quote, 'Authorization: Bearer ', '?access_token='])}"
+                rows.append((value, before, rng.choice([" ", "\n", quote + " "]) + prose(), rng.choice(paths), 1))
+            elif form == 2:  # what is public
+                value = pick(b64, 64)
+                before = prose() + f"\n-----BEGIN {rng.choice(['CERTIFICATE', 'PUBLIC KEY', 'PGP SIGNATURE'])}-----\n"
+                rows.append((value, before, "\n" + pick(b64, 64) + "\n", rng.choice(paths), 0))
+            else:  # data without a name
+                rows.append((pick(rng.choice([b64, alnum]), rng.randint(18, 80)), rng.choice([prose() + " ", "data:image/png;base64,", "src=", "integrity=sha384-"]), rng.choice([" ", "\n", '"']) + prose(), rng.choice(paths), 0))
+        elif k % 6 == 1:
             word_like = lambda: rng.choice([word() + word() + pick(string.digits, rng.randint(1, 4)), word().capitalize() + pick(string.digits, 4) + pick("!?#$", 1), word() + word()])
             signs = alnum + ".!@:#$%^&*-_~"
             value = rng.choice([lambda: pick(alnum, rng.randint(6, 15)), lambda: pick(signs, rng.randint(6, 24)), lambda: pick(string.ascii_letters, rng.randint(8, 32)), lambda: pick(string.digits, rng.randint(4, 12)), word_like, word_like, lambda: pick(string.ascii_uppercase, rng.randint(3, 12)) + pick(string.ascii_lowercase, rng.randint(3, 16))])()
             if rng.random() < 0.25:
-                value = "".join(ch for ch in value if ch not in "@:#") + pick(alnum, 3)
+                value = "".join(ch for ch in value if ch not in "@:#?/") + pick(alnum, 3)
                 before, after = f"{prose()} {rng.choice(['postgres', 'https', 'redis', 'mysql', 'amqp'])}://{rng.choice(['', word()])}:", f"@{word()}/{word()}"
             else:
                 plainly = value.islower() and value.isalpha()
@@ -138,8 +162,8 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, str, str,
             elif kind == 6:
                 value, before = pick(hexes, rng.choice([16, 32, 40, 64])), f"{prose()} "
             else:
-                value = rng.choice([str.upper, str.lower])("_".join([word() + word(), str(rng.randint(1, 99)), word(), rng.choice(names)]))
-                rows.append((value.rjust(SHORTEST, "X"), f"{prose()} ", joint + quote + pick(alnum, 20), rng.choice(paths), 0))
+                name = rng.choice([str.upper, str.lower])("_".join([word() + word(), str(rng.randint(1, 99)), word(), rng.choice(names)]))
+                rows.append((pick(alnum, 20), f"{prose()} {name}{joint}{quote}", quote + "\n" + prose(), rng.choice(paths), 1))
                 continue
             rows.append((value, before, rng.choice([" ", ". ", quote + " "]) + prose(), rng.choice(paths), 0))
     return rows
@@ -152,7 +176,7 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) ->
     best = (1e-9, 0, 0.0)
     gini = lambda v: 2 * v.mean() * (1 - v.mean()) * len(v) if len(v) else 0.0
     whole = gini(y)
-    for f in rng.choice(x.shape[1], max(4, int(np.sqrt(x.shape[1])) + 1), replace=False):
+    for f in rng.choice(x.shape[1], max(4, x.shape[1] // 3), replace=False):
         values = np.unique(x[:, f])
         cuts = (values[1:] + values[:-1]) / 2
         for t in cuts if len(cuts) <= 24 else cuts[np.linspace(0, len(cuts) - 1, 24).astype(int)]:
@@ -180,13 +204,28 @@ def tree_sql(tree: tuple | float, v: str) -> str:
     return f"if({v}[{f}] <= {t}D, {tree_sql(left, v)}, {tree_sql(right, v)})"
 
 
+def _candidates(rows: DataFrame, *carried: str) -> DataFrame:
+    """One row per candidate of rows with a text t: what is carried, at, c, b and a (the text on either side), start."""
+    each = f"transform(_c, (c, i) -> struct(c AS c, {_before('_c', '_s', 'i')} AS b, left(_s[i + 1], 16) AS a, char_length(_s[i]) AS gap))"
+    cut = _cut(rows.withColumn("row", F.monotonically_increasing_id()), "t").select("row", *carried, F.posexplode(F.expr(each)).alias("at", "f"))
+    run = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = cut.withColumn("length", F.char_length("f.c")).withColumn("start", F.sum(F.col("f.gap") + F.col("length")).over(run) - F.col("length"))
+    return spans.select(*carried, "f.c", "f.b", "f.a", "start", "length")
+
+
+def training_rows(spark: SparkSession, found: list[tuple[str, str, str, str, int]]) -> DataFrame:
+    """Candidates that the scan cuts from the findings' texts: x (features), y (1 if it meets the secret), whole (it is the
+    labelled value and no more), n (the finding)."""
+    values = ", ".join(f"({k}, {_quoted(b + v + a)}, {_quoted(p)}, {len(b)}, {len(v)}, {y})" for k, (v, b, a, p, y) in enumerate(found))
+    rows = _candidates(spark.sql(f"SELECT * FROM VALUES {values} AS t(n, t, path, at_, size, y)"), "n", "path", "at_", "size", "y")
+    meets = "start < at_ + size AND at_ < start + length"
+    return rows.selectExpr("n", f"array({', '.join(features('c', 'b', 'a', 'path'))}) AS x", f"if({meets}, y, 0) AS y", "start = at_ AND length = size AS whole")
+
+
 @functools.lru_cache(4)
 def _forest_sql(spark: SparkSession, trees: int, depth: int) -> str:
-    found = labelled_findings()
-    values = ", ".join(f"({', '.join(_quoted(s) for s in r[:4])}, {r[4]})" for r in found)
-    made = ", ".join(features("c", "b", "a", "p"))
-    rows = spark.sql(f"SELECT array({made}) AS x, y FROM VALUES {values} AS t(c, b, a, p, y)").collect()
-    forest = grow_forest(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), trees, depth)
+    rows = training_rows(spark, labelled_findings()).orderBy("n", "x").collect()  # bounded by the generator
+    forest = grow_forest(np.array([r.x for r in rows]), np.array([r.y for r in rows], float), trees, depth)
     return "(" + " + ".join(tree_sql(t, "v") for t in forest) + f") / {len(forest)}"
 
 
@@ -195,10 +234,11 @@ def score_sql(spark: SparkSession, c: str, before: str, after: str, path: str, t
     return f"element_at(transform(array(array({', '.join(features(c, before, after, path))})), v -> {_forest_sql(spark, trees, depth)}), 1)"
 
 
-def _cut(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds _c (candidates) and _s (what stands between them, one more)."""
-    hinted = f"`{text_col}` rlike {_quoted(HINT)}"
-    return docs.withColumn("_c", F.expr(f"if({hinted}, regexp_extract_all(`{text_col}`, {_quoted(CANDIDATE)}, 0), cast(array() AS array<string>))")).withColumn("_s", F.expr(f"if(size(_c) > 0, split(`{text_col}`, {_quoted(CANDIDATE)}, -1), cast(null AS array<string>))"))
+def _cut(docs: DataFrame, text_col: str, c: str = "_c", s: str = "_s") -> DataFrame:
+    """Adds the columns c (candidates) and s (what stands between them, one more; null without candidates)."""
+    text = f"`{text_col}`"
+    found = f"if({text} rlike {_quoted(HINT)}, regexp_extract_all({text}, {_quoted(CANDIDATE)}, 0), cast(array() AS array<string>))"
+    return docs.withColumn(c, F.expr(found)).withColumn(s, F.expr(f"if(size({c}) > 0, split({text}, {_quoted(CANDIDATE)}, -1), cast(null AS array<string>))"))
 
 
 def _before(c: str, s: str, i: str) -> str:
@@ -214,17 +254,18 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"cast(`{text_col}` AS string) AS t", f"coalesce(cast(`{path_col}` AS string), '') AS path").filter(f"t rlike {_quoted(HINT)}")
-    cut = _cut(rows.withColumn("row", F.monotonically_increasing_id()), "t").select("row", "doc_id", "path", F.posexplode(F.expr(f"transform(_c, (c, i) -> struct(c AS c, {_before('_c', '_s', 'i')} AS b, left(_s[i + 1], 16) AS a, char_length(_s[i]) AS gap))")).alias("at", "f"))
-    run = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = cut.withColumn("length", F.char_length("f.c")).withColumn("start", F.sum(F.col("f.gap") + F.col("length")).over(run) - F.col("length"))
-    scored = spans.selectExpr("doc_id", "start", "cast(length AS bigint) AS length", "sha2(cast(f.c AS binary), 256) AS secret_sha256", f"{score_sql(spark, 'f.c', 'f.b', 'f.a', 'path')} AS score")
+    cut = _candidates(rows, "doc_id", "path")
+    scored = cut.selectExpr("doc_id", "start", "cast(length AS bigint) AS length", "sha2(cast(c AS binary), 256) AS secret_sha256", f"{score_sql(spark, 'c', 'b', 'a', 'path')} AS score")
     return scored.withColumn("is_secret", F.col("score") >= threshold) if verdicts else scored.filter(F.col("score") >= threshold)
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
-    """``docs`` with secrets in the text replaced; rows, order of columns and other columns stay as they are."""
+    """``docs`` with secrets in the text replaced; rows, order of columns and other columns, whatever their names, stay as
+    they are. Null and empty texts stay null and empty, a null path is an empty one; texts are read whole, however long;
+    an empty table gives no rows."""
     spark = docs.sparkSession
-    cut = _cut(docs.withColumn("_p", F.expr(f"coalesce(cast(`{path_col}` AS string), '')")), text_col)
-    piece = f"transform(_c, (c, i) -> concat(_s[i], if({score_sql(spark, 'c', _before('_c', '_s', 'i'), '_s[i + 1]', '_p')} >= {threshold}D, {_quoted(mask)}, c)))"
-    masked = f"if(size(_c) > 0, concat(array_join({piece}, ''), element_at(_s, -1)), `{text_col}`)"
-    return cut.withColumn(text_col, F.expr(masked)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    c, s, p = unused(docs, "_c", "_s", "_p")
+    cut = _cut(docs.withColumn(p, F.expr(f"coalesce(cast(`{path_col}` AS string), '')")), text_col, c, s)
+    piece = f"transform({c}, (c, i) -> concat({s}[i], if({score_sql(spark, 'c', _before(c, s, 'i'), f'{s}[i + 1]', p)} >= {threshold}D, {_quoted(mask)}, c)))"
+    masked = f"if(size({c}) > 0, concat(array_join({piece}, ''), element_at({s}, -1)), `{text_col}`)"
+    return cut.withColumn(text_col, F.expr(masked)).select(*map(column, docs.columns))
