@@ -1,57 +1,59 @@
 """Quality classifier by nearest-neighbour voting over latent-semantic vectors.
 
-Terms are the style of a text: the shapes of its words (letters, capitals, digits, signs, in order), words that repeat
-the one before or a pair met earlier, lines met earlier. Their tf-idf matrix over labelled documents is reduced by a
-singular value decomposition. The labelled vectors are broadcast (at most MOST_LABELLED of them, whatever the corpus),
+Terms are a text's words, and its style: the shapes of its words (letters, capitals, digits, signs, in order), words that
+repeat the one before or a pair met earlier, lines met earlier. Their tf-idf matrix over labelled documents is reduced by
+a singular value decomposition. The labelled vectors are broadcast (at most MOST_LABELLED of them, whatever the corpus),
 exact cosines of every document with all of them are computed in blocks, and the nearest vote with weights that grow
 with the similarity.
 
-Fitting reads at most MOST_LABELLED labelled rows: those with the smallest hash of their id. Every document is scored
-from its whole text.
+Fitting reads at most MOST_LABELLED labelled ids (``most``, a parameter): those with the smallest hash of their id. Every
+document is scored from its whole text.
 """
 
 from __future__ import annotations
 
 import functools
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm.common import id_type, map_batches
+from fluxloom.llm.common import column, id_type, map_batches
 
 MOST_LABELLED = 4000
-SHAPES = 256
-DIMENSIONS = 32
+SHAPES, WORDS = 256, 512
+DIMENSIONS = 48
+#: Weight of words' terms beside those of style.
+WORD_WEIGHT = 0.35
 NEIGHBOURS = 15
 SHARPNESS = 20.0
 THRESHOLD = 0.3
 _EXTRA = ("same as the word before", "pair met before", "line met before", "line not met before", "few words")
-TERMS = SHAPES + len(_EXTRA) + 8
+TERMS = SHAPES + len(_EXTRA) + 8 + WORDS
 
 
 def _shape_of(word: str) -> int:
-    """A term for the runs of kinds of characters, as in 'Xx,' or '9.9'; long runs of signs count as one."""
+    """A term for the runs of kinds of characters of the whole word, as in 'Xx,' or '9.9'; runs of a kind count as one."""
     shape, last = [], ""
     for c in word:
         kind = "x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else c if not c.isalpha() else "o"
         if kind != last:
             shape.append(kind)
             last = kind
-            if len(shape) == 6:
-                break
-    return zlib.crc32("".join(shape).encode()) % SHAPES
+    return zlib.crc32("".join(shape).encode("utf-8", "replace")) % SHAPES
 
 
 class _Shapes(dict):
+    """Each word's shape and its own term, as one number."""
+
     def __missing__(self, word: str) -> int:
         if len(self) > 150_000:
             self.clear()
-        self[word] = shape = _shape_of(word)
-        return shape
+        plain = word.lower().strip(".,:;!?\"'()")
+        self[word] = code = _shape_of(word) * WORDS + zlib.crc32(plain.encode("utf-8", "replace")) % WORDS
+        return code
 
 
 @functools.lru_cache(1)
@@ -60,13 +62,14 @@ def _shapes() -> _Shapes:
 
 
 def term_counts(text: str) -> np.ndarray:
-    """Counts of the style terms of one text."""
+    """Counts of the terms of one text, a word."""
     counts = np.zeros(TERMS, np.float32)
     words = text.split()
     n = len(words)
     if n:
-        for shape, c in Counter(map(_shapes().__getitem__, words)).items():
-            counts[shape] = c
+        codes = np.fromiter(map(_shapes().__getitem__, words), np.int64, n)
+        counts[:SHAPES] = np.bincount(codes // WORDS, minlength=SHAPES)
+        counts[TERMS - WORDS :] = WORD_WEIGHT * np.bincount(codes % WORDS, minlength=WORDS)
         pairs = list(zip(words, words[1:]))
         counts[SHAPES] = sum(a == b for a, b in pairs)
         counts[SHAPES + 1] = len(pairs) - len(set(pairs))
@@ -116,12 +119,13 @@ class Voter:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> Voter:
     """Learn from labelled rows whose crc32(id as text) mod 5 is not 0, at most ``most`` of them. Null labels and ids
-    are left out; of rows that repeat an id all count."""
-    key = F.col(id_col).cast("string")
-    learn = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"), F.crc32(key.cast("binary")).alias("_crc")).filter("_id IS NOT NULL AND _label IS NOT NULL AND _crc % 5 <> 0")
-    sample = learn.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
-    # bounded by the limit above
-    joined = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+    are left out; of documents that repeat an id the text that sorts last counts; an id with both labels counts for both."""
+    key = column(id_col).cast("string")
+    learn = labels.select(column(id_col).alias("_id"), column(label_col).cast("int").alias("_label"), F.crc32(key.cast("binary")).alias("_crc")).filter("_id IS NOT NULL AND _label IS NOT NULL AND _crc % 5 <> 0")
+    sample = learn.distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
+    # bounded by the limit above, and so is what is joined: a row for each of the sample's, however often an id repeats
+    texts = docs.select(column(id_col).alias("_doc"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("_text"))
+    joined = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).groupBy("_doc", "_label").agg(F.max("_text").alias("_text"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -131,15 +135,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return step
 
     rows = map_batches(joined.select("_doc", "_text", "_label"), make, f"id {id_type(docs, id_col)}, counts binary, label int").collect()
-    rows = sorted(rows, key=lambda r: (str(r[0]), bytes(r[1])))[: 2 * most]
+    rows = sorted(rows, key=lambda r: (str(r[0]), bytes(r[1]), r[2]))
     counts = np.array([np.frombuffer(r[1], np.float32) for r in rows], np.float32).reshape(-1, TERMS)
     return Voter(counts, np.array([r[2] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, voter: Voter, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted. With ``keep``: the rows predicted 1, with all columns of ``docs``.
+    """Per row: doc_id, held_out, score, predicted. With ``keep``: the rows predicted 1, with all columns of ``docs``,
+    whatever their names.
 
-    Null and empty texts are scored as texts without words; a null id is never held out. Other columns are not read.
+    Null and empty texts are scored as texts without words; a null id is never held out. Other columns are not read. Rows that
+    repeat are scored each; an empty table gives no rows.
     """
     box = docs.sparkSession.sparkContext.broadcast(voter)
 
