@@ -1,7 +1,7 @@
 """Main text of HTML pages by a recurrent block labeller.
 
-A page is cut into leaf blocks (text between block-level tags). Each block is a vector of its tag path (hashed tags and
-words of class and id), hashed words and a few measures; a bidirectional LSTM reads the page's blocks in order and
+A page is cut into leaf blocks (text between block-level tags). Each block is a vector of its whole tag path (hashed tags and
+words of class and id), its hashed words, all of them, and a few measures; a bidirectional LSTM reads the page's blocks in order and
 labels each as main text or not, so that each label depends on the whole page. The model (NumPy only) is trained on the
 driver with a fixed seed on pages written by a template generator, where every block's label is known.
 """
@@ -13,6 +13,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,13 @@ from pyspark.sql import DataFrame
 
 from fluxloom.llm.common import id_type, map_batches
 
-PATH_DIMENSIONS, WORD_DIMENSIONS, MEASURES = 160, 24, 8
+PATH_DIMENSIONS, WORD_DIMENSIONS, MEASURES = 256, 24, 8
 HIDDEN = 20
-TRAINING_PAGES = 800
+TRAINING_PAGES = 1200
 EPOCHS = 14
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|iframe|svg|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*+>|.*\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|iframe|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</\1\s*+>|.*\Z)"
+    r"|<svg\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>(?:.*?</svg\s*+>|.*\Z))"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|[^<]++|<",
     re.S | re.I,
 )
@@ -36,27 +38,54 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+@functools.lru_cache(100_000)
+def _bucket(word: str, size: int) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")) % size
+
+
 class Block:
     __slots__ = ("text", "path", "linked", "tag")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int, tag: str):
+    def __init__(self, text: str, path: np.ndarray, linked: int, tag: str):
         self.text, self.path, self.linked, self.tag = text, path, linked, tag
 
 
 @functools.lru_cache(20_000)
-def _names(tag: str, attributes: str) -> tuple[str, ...]:
+def _names(tag: str, attributes: str) -> tuple[int, ...]:
+    """Buckets of a tag and the words of its class, id and role."""
     words = [tag]
     for m in _NAMED.finditer(attributes):
         words += [w.lower() for w in _NAME_WORD.findall(m[1] or m[2] or m[3] or "")]
-    return tuple(words[:8])
+    return tuple(_bucket(w, PATH_DIMENSIONS) for w in words)
+
+
+class _Stack(list):
+    """Open tags (tag, buckets), with counts of open tags by name and of the buckets on the path."""
+
+    def __init__(self):
+        self.open: Counter[str] = Counter()
+        self.path = np.zeros(PATH_DIMENSIONS, np.int64)
+
+    def push(self, tag: str, names: tuple[int, ...]) -> None:
+        self.append((tag, names))
+        self.open[tag] += 1
+        for k in names:
+            self.path[k] += 1
+
+    def close_from(self, k: int) -> None:
+        while len(self) > k:
+            tag, names = self.pop()
+            self.open[tag] -= 1
+            for j in names:
+                self.path[j] -= 1
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order; text with character references decoded and white space as one space."""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     pieces: list[str] = []
-    linked = anchors = 0
+    linked = 0
 
     def end_block() -> None:
         nonlocal linked
@@ -64,9 +93,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                path = tuple(w for _, names in stack[-10:] for w in names)
                 tag = next((t for t, _ in reversed(stack) if t not in _INLINE), "")
-                found.append(Block(text, path, linked, tag))
+                found.append(Block(text, stack.path > 0, linked, tag))
         linked = 0
 
     for m in _TOKEN.finditer(page):
@@ -75,7 +103,7 @@ def blocks(page: str) -> list[Block]:
             raw = m[0]
             if m[1] is None and (raw[0] != "<" or len(raw) == 1):
                 pieces.append(raw)
-                if anchors:
+                if stack.open["a"]:
                     linked += len(raw)
             continue
         tag = tag.lower()
@@ -83,13 +111,12 @@ def blocks(page: str) -> list[Block]:
         if m[2]:
             if not inline:
                 end_block()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if stack.open[tag] else ():
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    stack.close_from(k)
                     break
                 if inline and stack[k][0] not in _INLINE:
                     break
-            anchors = sum(t == "a" for t, _ in stack) if anchors else 0
             continue
         if tag in _VOID:
             if tag == "br":
@@ -99,38 +126,30 @@ def blocks(page: str) -> list[Block]:
             continue
         if not inline:
             end_block()
-            closes = _CLOSED_BY.get(tag, frozenset())
-            for k in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
+            closes = _CLOSED_BY.get(tag, frozenset()) | {"p"}
+            for k in range(len(stack) - 1, -1, -1) if any(stack.open[t] for t in closes) else ():
                 t = stack[k][0]
-                if t == "p" or t in closes:
-                    del stack[k:]
+                if t in closes:
+                    stack.close_from(k)
                     break
-                if t not in _INLINE and t not in closes:
+                if t not in _INLINE:
                     break
-            anchors = sum(t == "a" for t, _ in stack)
         if not m[4].rstrip().endswith("/") or tag in ("a", "p", "div"):
-            stack.append((tag, _names(tag, m[4] or "")))
-            anchors += tag == "a"
+            stack.push(tag, _names(tag, m[4] or ""))
     end_block()
     return found
 
 
-@functools.lru_cache(100_000)
-def _bucket(word: str, size: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % size
-
-
 def vectors(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), PATH_DIMENSIONS + WORD_DIMENSIONS + MEASURES), np.float32)
     n = max(1, len(found))
     for k, b in enumerate(found):
         row = x[k]
-        for w in b.path:
-            row[_bucket(w, PATH_DIMENSIONS)] = 1
+        row[:PATH_DIMENSIONS] = b.path
         row[_bucket("leaf " + b.tag, PATH_DIMENSIONS)] = 1
-        words = b.text[:400].lower().split()
-        for w in words[:24]:
-            row[PATH_DIMENSIONS + _bucket(w.strip(".,:;!?"), WORD_DIMENSIONS)] += 0.15
+        words = b.text.lower().split()
+        each = 0.15 * min(1.0, 24 / len(words))  # long blocks weigh no more than 24 words do
+        row[PATH_DIMENSIONS:-MEASURES] = each * np.bincount([_bucket(w.strip(".,:;!?"), WORD_DIMENSIONS) for w in words], minlength=WORD_DIMENSIONS)
         size = len(b.text)
         row[-MEASURES:] = (np.log1p(size) / 6, min(1.0, b.linked / size), k / n, 1 - k / n, size > 80, b.text[-1] in ".!?", min(n, 100) / 100, 1)
     return x
@@ -271,19 +290,24 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
             return "<table><tr>" + mine("th", text(1, 3, "")) + mine("td", text(1, 4, "")) + "</tr></table>"
         return noise(rng.choice(["ad", "share", "form", "related", "notice"]))
 
+    def deep(inner: str) -> str:
+        depth = rng.choice([0, 0, 0, 1, 2, 5, 12, 16])
+        return "".join(f'<div class="{rng.choice(["row", "col", "inner", "box", "grid", word()])}">' for _ in range(depth)) + inner + "</div>" * depth
+
     def noise(kind: str) -> str:
-        lines = "".join(f"<p>{text(*rng.choice([(2, 8), (8, 60)]))}</p>" for _ in range(rng.randint(1, 3)))
+        lines = deep("".join(f"<p>{text(*rng.choice([(2, 8), (8, 60)]))}</p>" for _ in range(rng.randint(1, 3))))
         short = text(3, 16)
         name = lambda *names: rng.choice(names)
+        closed = lambda tag, inner: f"<{tag}>{inner}</{tag.split()[0]}>"
         if kind == "nav":
             items = "".join(f"<li>{link()}</li>" for _ in range(rng.randint(3, 9)))
             return rng.choice([f"<nav><ul>{items}</ul></nav>", f'<div class="{name("menu", "nav", "navbar", "navigation", "breadcrumbs")}"><ul>{items}</ul></div>', f'<ul id="menu">{items}</ul>', f"<nav>{' '.join(link() for _ in range(4))}</nav>"])
         if kind == "header":
-            return f'<{name("header", "div class=header", "div id=header", "div class=masthead", "div class=banner")}><h1>{text(1, 4, "")}</h1><p>{short}</p>'.replace("<div", "<div") + ("</header></div>")
+            return closed(name("header", "div class=header", "div id=header", "div class=masthead", "div class=banner"), f"<h1>{text(1, 4, '')}</h1><p>{short}</p>")
         if kind == "footer":
             return rng.choice([f"<footer>&copy; {word()} &middot; {short}</footer>", f'<div class="{name("footer", "site-footer", "copyright")}">{lines}&copy; 2024</div>', f'<footer class="footer"><ul><li>{link()}</li></ul><p>{short}</p></footer>'])
         if kind == "ad":
-            return f'<{name("div", "aside", "section")} class="{name("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner")}">{name(short, lines)}</div></aside></section>'
+            return closed(name("div", "aside", "section") + f' class="{name("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner")}"', name(short, lines))
         if kind == "aside":
             return rng.choice([f"<aside>{lines}</aside>", f'<div class="{name("sidebar", "widget", "related", "aside")}"><h3>{text(1, 4, "")}</h3>{lines}<ul><li>{link()}</li></ul></div>', f'<aside class="sidebar"><h4>{text(1, 3, "")}</h4><ul><li>{link()}</li><li>{link()}</li></ul></aside>'])
         if kind == "notice":
@@ -294,8 +318,9 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
             return f'<div class="{name("share", "social", "tags", "sharing")}">{link()} {link()} {short}</div>'
         if kind == "related":
             return f'<div class="{name("related", "more", "recommended")}"><h3>{text(1, 4, "")}</h3><ul><li>{link()}</li><li>{link()}</li></ul></div>'
-        each = lambda: f'<{name("div", "li", "article")} class="{name("comment", "reply", "comment-body")}"><b>{word()}</b><p>{text(3, 50)}</p></li></article></div>'
-        return f'<{name("section", "div")} {name("class", "id")}="{name("comments", "comment-list", "responses", "discussion", "comments-area")}"><h2>{text(1, 3, "")}</h2>' + "".join(each() for _ in range(rng.randint(1, 5))) + "</section></div>"
+        each = lambda: closed(name("div", "li", "article") + f' class="{name("comment", "reply", "comment-body")}"', f"<b>{word()}</b><p>{text(3, 50)}</p>")
+        inside = f"<h2>{text(1, 3, '')}</h2>" + deep("".join(each() for _ in range(rng.randint(1, 5))))
+        return closed(name("section", "div") + f' {name("class", "id")}="{name("comments", "comment-list", "responses", "discussion", "comments-area")}"', inside)
 
     head, tail = [], []
     for kind, p in (("notice", 0.3), ("header", 0.4), ("nav", 0.8), ("ad", 0.5), ("aside", 0.25), ("form", 0.15)):
@@ -309,7 +334,7 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
     wrap = rng.choice(["article", "article", "article", "main", 'div class="content"', 'div id="content"', 'div class="post"', 'div class="article-body"', 'div class="entry-content"', 'section class="story"', 'div class="main-text"', 'article class="post"'])
     title = mine("h1", text(2, 10, rng.choice(["", "."]))) if rng.random() < 0.8 else ""
     body = title + "".join(in_article() for _ in range(rng.randint(1, 12)))
-    core = f"<{wrap}>{body}</{wrap.split()[0]}>"
+    core = deep(f"<{wrap}>{deep(body)}</{wrap.split()[0]}>")
     if rng.random() < 0.25:
         core = f"<main>{core}{noise('comments') if rng.random() < 0.3 else ''}</main>"
     inside = "".join(head) + core + "".join(tail)
@@ -350,7 +375,8 @@ def main_text(labeller: Labeller, pages: list[str]) -> list[str]:
 
 def extract(pages: DataFrame, labeller: Labeller | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_chars. Null, empty and text-free pages have an empty text; broken markup is read as
-    far as it goes; nothing is cut. Rows may repeat, ids and URLs may be null, other columns are not read."""
+    far as it goes; nothing is cut. Rows that repeat are read each, ids and URLs may be null, other columns are not read. An empty table
+    gives no rows."""
     box = pages.sparkSession.sparkContext.broadcast(labeller or trained())
 
     def make():
