@@ -10,12 +10,13 @@ import pytest
 import xxhash
 
 import public_tokenizers
-from fluxloom.llm import bpe, exact_dedup, html_text, packing, quality_knn, quality_rules, secrets, simhash, token_counts, warc
+from fluxloom.llm import bpe, common, exact_dedup, html_text, packing, quality_knn, quality_rules, secrets, similar, simhash, token_counts, warc
 from fluxloom.llm.queries import oracle_sql, queries
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, at long, row long, h string, level int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, at long, row long, h string, level int, " + ", ".join(f"{c} string" for c in ("_c", "_s", "_p", "_id", "_sha", "_own", "_row", "_own_sha", "_gone", "_Key"))
+CLASHING = tuple(f"x{k}" for k in range(10))
 TOKEN = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
 
 
@@ -33,8 +34,8 @@ def documents():
     copy = prose(300).split()
     texts += [" ".join(copy), " ".join(copy[:150] + ["zzz"] + copy[151:])]
     texts += ["ab\nab\ncd\n \nab", "one two three four five six one two three four five"]
-    rows = [(k, t, "en", f"src{k % 3}" if k % 5 else None, 0, "n", 1, 2, "h", 3) for k, t in enumerate(texts)]
-    return rows + [rows[11], (None, "null id", None, None, None, None, None, None, None, None), (7, "another text with the id 7", None, "src1", None, None, None, None, None, None)]
+    rows = [(k, t, "en", f"src{k % 3}" if k % 5 else None, 0, "n", 1, 2, "h", 3, *CLASHING) for k, t in enumerate(texts)]
+    return rows + [rows[11], (None, "null id", *[None] * 18), (7, "another text with the id 7", None, "src1", *[None] * 6, *CLASHING)]
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +63,7 @@ def test_exact_dedup(docs, kw):
 def test_drop_copies(docs, none):
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns
+    assert {tuple(r[10:]) for r in left.collect()} == {CLASHING, (None,) * 10}
     texts = [lower(r.text or "") for r in left.collect()]
     assert len(texts) == len(set(texts)) == len({lower(r[1] or "") for r in documents()})
     assert exact_dedup.exact_dedup(none).count() == exact_dedup.drop_copies(none).count() == 0
@@ -218,6 +220,7 @@ def test_secrets(docs, none):
     masked = {(r.doc_id, r.text) for r in secrets.mask_secrets(docs).collect()}
     assert masked == {(i, t.replace("04dbebab91ab85687d33eeaaf9ac699e1188f962", "[SECRET]") if t else t) for i, t, *_ in documents()}
     assert secrets.mask_secrets(docs).columns == docs.columns
+    assert {tuple(r[10:]) for r in secrets.mask_secrets(docs).collect()} == {CLASHING, (None,) * 10}
     assert secrets.find_secrets(none).count() == secrets.mask_secrets(none).count() == 0
 
 
@@ -393,29 +396,265 @@ def test_queries_equal_sql(against_sql, name):
     against_sql(queries()[name], oracle_sql()[name])
 
 
+def jaccard_components(texts, words=5, similarity=0.8):
+    """For texts by row: the rows of each component of links between similar ones, by brute force."""
+    sets = {}
+    for k, t in texts.items():
+        w = lower(t or "").encode().split()
+        sets[k] = {b" ".join(w[j : j + words]) for j in range(max(1, len(w) - words + 1))}
+    root = {k: k for k in texts}
+    top = lambda k: k if root[k] == k else top(root[k])
+    order = sorted(sets, key=lambda k: len(sets[k]))
+    for at, a in enumerate(order):
+        for b in order[at + 1 :]:
+            if len(sets[a]) < similarity * len(sets[b]) - 1e-9:
+                break
+            both = len(sets[a] & sets[b])
+            if both >= similarity * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                root[top(a)] = top(b)
+    return {k: top(k) for k in texts}
+
+
+def kept_of(rows, root):
+    """The row of each component with the smallest id, nulls last; rows are (id, ...) by number."""
+    best = {}
+    for k, r in sorted(rows.items(), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
+        best.setdefault(root[k], k)
+    return {k: rows[k] for k in best.values()}
+
+
+def plain_near(rows):
+    fp = {k: plain_fingerprint(r[1] or "") for k, r in rows.items()}
+    of = linked(set(fp.values()))
+    rows = kept_of(rows, {k: of[f] for k, f in fp.items()})
+    return kept_of(rows, jaccard_components({k: r[1] for k, r in rows.items()}))
+
+
+def plain_stages(rows, passes):
+    """What the first three stages keep of rows (id, text, ...), by plain loops."""
+    left = {k: r for k, r in enumerate(rows) if passes(r[1] or "")}
+    last = {}
+    for k, r in sorted(left.items(), key=lambda x: (x[1][0] is not None, x[1][0] or 0)):
+        last[lower(r[1] or "")] = k
+    return plain_near({k: left[k] for k in last.values()})
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    score = {r.doc_id: r.score for r in quality_knn.score(docs, quality_knn.fit(docs, labels)).collect()}
-    left = {r.doc_id: r.text for r in docs.collect() if score[r.doc_id] >= 0.3}
-    last = {}
-    for i in sorted(left):
-        last[lower(left[i])] = i
-    left = {i: left[i] for i in last.values()}
-    fp = {i: plain_fingerprint(t) for i, t in left.items()}
-    root = linked(set(fp.values()))
-    keep = {}
-    for i in sorted(left):
-        keep.setdefault(root[fp[i]], i)
+    voter = quality_knn.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    passes = lambda t: voter.scores(quality_knn.term_counts(t)[None])[0] >= 0.3
+    keep = {r[0]: r[1] for r in plain_stages([(r.doc_id, r.text) for r in docs.collect()], passes).values()}
     got = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in got} == set(keep.values())
+    assert {r.doc_id for r in got} == set(keep)
     own = bpe.encoder(WORD)
-    masked = {r.doc_id: r.text for r in secrets.mask_secrets(docs.filter(docs.doc_id.isin(list(keep.values())))).collect()}
-    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(own.encode(masked[i])) // 4 + 1 for i in keep.values()}
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(docs.filter(docs.doc_id.isin(list(keep)))).collect()}
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(own.encode(masked[i])) // 4 + 1 for i in keep}
     schema = docs.schema
     step = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
         step = stage(spark, step, sf)
-        assert step.schema.names == schema.names
+        assert step.schema == schema
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_awkward_rows(spark, sf, tmp_path, empty):
+    """Null texts, ids and labels, empty and very long texts, repeated rows and ids, extra columns with clashing names, and
+    no rows at all: the same rows as by plain loops, and all columns until the last stage."""
+    import corpus_pipeline
+
+    base = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(150).collect()]
+    rng = random.Random(3)
+    long = " ".join(f"{rng.choice(['The', 'and', 'of', 'river'])} word{rng.randrange(10**5)}" for _ in range(40_000))
+    rows = base + [(None, base[1][1], "en", "s", 3), (None, long, None, None, None), (1000, long + " end", "en", "s", 4), (1000, None, "en", None, 0), (1001, "", "en", "s", 0), (None, None, None, None, None), base[4], (base[5][0], base[6][1] + " more", "en", "s", 1), (base[7][0], base[8][1], "en", "s", 1)]
+    rows = [] if empty else [(*r, *CLASHING) for r in rows]
+    spark.createDataFrame(rows, SCHEMA.replace(" name string, at long, row long, h string, level int,", "")).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    labels.limit(0 if empty else 10**6).unionByName(labels.limit(0 if empty else 3).selectExpr("cast(null AS bigint) AS doc_id", "quality", "toxic")).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    voter = quality_knn.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    passes = lambda t: voter.scores(quality_knn.term_counts(t)[None])[0] >= 0.3
+    want = plain_stages([tuple(r) for r in docs.collect()], passes).values()
+    step = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == docs.columns
+    got = step.collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in want)
+    assert {tuple(r[5:]) for r in got} == ({CLASHING} if rows else set())
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter(r.doc_id for r in packed if r.start == 0) == collections.Counter(r.doc_id for r in got)
+
+
+def test_one_of_each_keeps_namesakes(spark):
+    rows = [(3, "a b c d e"), (5, "a b c d e"), (5, "quite another text it is")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]
+
+
+@pytest.mark.parametrize("held", [512, 2])
+def test_similar_rows_lose_no_pair(spark, held):
+    """Crowded buckets of several components: chains of edits of a few texts, whose similarities lie around 0.8."""
+    rng, texts = random.Random(12), []
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(40):
+            words = list(base)
+            for at in rng.sample(range(150), rng.choice([0, 1, 2, 3, 4, 6])):
+                words[at] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+            if rng.random() < 0.2:
+                base = words
+    texts += ["", None, "  ", "one two", "One  two", "x y"]
+    got = similar.similar_rows(common.Workspace(spark, "test"), spark.createDataFrame([(k, (t or "").encode()) for k, t in enumerate(texts)], "row long, text binary").repartition(3), homes_held=held)
+    found = {r.node: r.root for r in got.collect()}
+    root = jaccard_components(dict(enumerate(texts)))
+    groups = lambda of: sorted(map(sorted, _grouped((k, of(k)) for k in range(len(texts)))))
+    assert groups(lambda k: found.get(k, k)) == groups(root.get)
+
+
+def test_names_do_not_depend_on_the_layout(spark, docs):
+    named = lambda df: sorted(((-1 if r.doc_id is None else r.doc_id), r.text_sha256, r.level, r.name) for r in exact_dedup.document_names(common.Workspace(spark, "test"), df, "doc_id", "text", 16, 64).collect())
+    assert named(docs) == named(docs.repartition(1)) == named(docs.repartition(7))
+
+
+def test_string_ids_of_records(spark):
+    rows = [("a\nb", "http://x/%41\t?q=%0A", "<p>1</p>"), ("a%0Ab", "http://x/%41", "<p>2</p>"), (" a%250Ab ", None, "<p>3</p>"), ("é\u2028", "u", "<p>" + "4" * 200), ("ü%", "u", "<p>" + "4" * 200)]
+    got = warc.warc_round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert {(r.page_id, r.url) for r in got} == {r[:2] for r in rows}
+    assert {r.page_id: r.refers_to for r in got if r.record_type == "revisit"} == {max(rows[3][0], rows[4][0]): min(rows[3][0], rows[4][0])}
+
+
+def test_archives_are_read_by_their_bytes(spark):
+    rng = random.Random(1)
+    rows = [(k, "u", rng.randbytes(6000).hex()) for k in range(2000)]
+    index, folder = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert warc.read_warc(index, folder).rdd.getNumPartitions() > 1
+    read = warc.read_warc(index, folder, task_bytes=1 << 20)
+    assert read.rdd.getNumPartitions() >= 10 and read.count() == 2000
+
+
+def test_shared_folder(spark):
+    class Conf:
+        get = staticmethod(lambda name, default: default)
+
+    class Nothing:
+        isDefined = staticmethod(lambda: False)  # noqa: N815
+
+    class Session:
+        conf = Conf
+        sparkContext = type("C", (), {"master": "spark://host:7077", "_jsc": type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: Nothing)}))})})  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+    ws = common.Workspace(spark, "test")
+    kept, gone = ws.save(spark.range(3), "kept"), ws.save(spark.range(3), "gone")
+    ws.drop("gone")
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        gone.count()
+
+
+def secret_texts(seed=21, each=60):
+    """(form, text before, secret or None, text after): all forms of secrets that the README names, and what is none."""
+    rng = random.Random(seed)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    hexes, low, up, digits = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alnum = low + up + digits
+    prose = lambda: " ".join(rng.choice("the of river and town market walked old it was".split()) for _ in range(rng.randint(1, 12)))
+    forms = {
+        "environment": lambda: (f"export {rng.choice(['API_TOKEN', 'DB_PASSWORD', 'CLIENT_SECRET'])}=", pick(hexes, 40), "\n"),
+        "short environment": lambda: ("password=", pick(hexes, 20), "\n"),
+        "query": lambda: (f"https://host/x?a=1&{rng.choice(['access_token', 'api_key'])}=", pick(alnum, 40), "&b=2 "),
+        "quoted": lambda: (f"{rng.choice(['token', 'secret_key', 'auth'])} {rng.choice(['=', ':', ':=', '=>'])} \"", pick(alnum, 36), '"\n'),
+        "json": lambda: ('{"apiKey": "', pick(alnum + "-_.", 32) + "a1", '"}'),
+        "signed token": lambda: (rng.choice(["Authorization: Bearer ", "", "jwt "]), "eyJ" + pick(alnum, 30) + "." + pick(alnum + "-_", 80) + "." + pick(alnum + "-_", 43), "\n"),
+        "private key": lambda: ("\n", "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(pick(alnum + "+/", 64) for _ in range(8)) + "\n-----END RSA PRIVATE KEY-----", "\n"),
+        "no digit": lambda: ('password = "', pick(low, rng.randint(14, 28)), '"\n'),
+        "signs": lambda: ('api_key: "', pick(alnum + "$!#@.%", 16), '"\n'),
+        "url password": lambda: (f"postgres://{pick(low, 5)}:", pick(alnum, 11), f"@{pick(low, 6)}:5432/db "),
+        "known prefix": lambda: ("", rng.choice(["AKIA" + pick(up + digits, 15) + "7", "ghp_" + pick(alnum, 36), "sk_live_" + pick(alnum, 24)]), " "),
+    }
+    clean = [
+        lambda: (f"commit {pick(hexes, 40)}\n", None, ""), lambda: (f"sha256: {pick(hexes, 64)}\n", None, ""), lambda: (f"id {pick(hexes, 8)}-{pick(hexes, 4)}-{pick(hexes, 4)}-{pick(hexes, 4)}-{pick(hexes, 12)} ", None, ""),
+        lambda: ("password: required\n", None, ""), lambda: ("the secret is that we walked", None, ""), lambda: ("token = None\n", None, ""), lambda: ("api_key=${API_KEY}\n", None, ""), lambda: ("password = get_password()\n", None, ""),
+        lambda: ('password = "your-password-here"\n', None, ""), lambda: ("http://host:8080/a@b ", None, ""), lambda: (f"phone {pick(digits, 18)} ", None, ""), lambda: ("2024/05/river-town/old-market-article7 ", None, ""), lambda: ("author: Smith\n", None, ""),
+    ]
+    rows = [(form, prose() + " " + b, v, a + prose()) for form, make in forms.items() for b, v, a in (make() for _ in range(each))]
+    return rows + [("clean", prose() + " " + b, None, prose()) for make in clean for b, _, _ in (make() for _ in range(each // 2))]
+
+
+def test_forms_of_secrets(spark):
+    """Recall of each form, and rejections, over texts as they are scanned, against where the secrets were put."""
+    made = secret_texts()
+    texts = spark.createDataFrame([(k, b + (v or "") + a, "src") for k, (_, b, v, a) in enumerate(made)], "doc_id long, text string, source string")
+    found = collections.defaultdict(set)
+    for r in secrets.find_secrets(texts).collect():
+        found[r.doc_id].add((r.start, r.length))
+    hits, other = collections.defaultdict(list), 0
+    for k, (form, b, v, _) in enumerate(made):
+        span = (len(b), len(v or ""))
+        if v:
+            hits[form].append(span in found[k])
+        other += len(found[k] - {span})
+    assert {form: np.mean(h) for form, h in hits.items() if np.mean(h) < 0.9} == {}
+    assert other <= 0.02 * len(made)
+
+
+def test_held_out_accuracy(spark, sf):
+    """Area under the curve over labelled rows that were not learnt from."""
+    d, labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
+    rows = quality_knn.score(d, quality_knn.fit(d, labels)).join(labels, "doc_id").filter("held_out").select("score", "quality").collect()
+    good, bad = np.array([r[0] for r in rows if r[1] == 1]), np.array([r[0] for r in rows if r[1] == 0])
+    assert len(bad) > 5
+    assert ((good[:, None] > bad[None]).mean() + (good[:, None] == bad[None]).mean() / 2) > 0.98
+    assert np.mean([(r[0] >= quality_knn.THRESHOLD) == r[1] for r in rows]) > 0.95
+
+
+def test_repeated_ids_are_bounded(spark):
+    d = spark.createDataFrame([(k % 60, f"text {k} of many") for k in range(3000)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1), (61, None)], "doc_id long, quality int")
+    assert len(quality_knn.fit(d, labels).labels) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(60))
+    assert len(quality_knn.fit(d, labels, most=10).labels) == 10
+
+
+def test_shapes_are_of_whole_words():
+    a, b = quality_knn.term_counts("aB1-aB1-zzz"), quality_knn.term_counts("aB1-aB!!!!")
+    assert (a[: quality_knn.SHAPES] != b[: quality_knn.SHAPES]).any()
+
+
+def plain_article(page):
+    """The article of a page of the tables' layout, by its tags."""
+    import html as references
+    import re
+
+    body = re.search(r"<article[^>]*>(.*)</article>", page, re.S)
+    text = re.sub(r'<div class="ad">.*?</div>|<(script|style)\b.*?</\1>|<!--.*?-->|</?(?:p|h\d|br|li|ul|div)\b[^>]*>', " ", body[1] if body else "", flags=re.S)
+    return " ".join(references.unescape(re.sub(r"<[^>]*>", "", text)).split())
+
+
+def test_articles_of_whole_table(spark, sf):
+    pages_ = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet")
+    want = {r.page_id: plain_article(r.html or "") for r in pages_.collect()}
+    got = {r.page_id: r.text for r in html_text.extract(pages_).collect()}
+    assert set(got) == set(want)
+    assert np.mean([got[k] == want[k] for k in want]) > 0.99
+
+
+def test_deep_and_long_pages(spark):
+    deep = lambda name, text: f'<div class="{name}">' + '<div class="row">' * 11 + f"<p>{text}</p>" + "</div>" * 12
+    words = "It was a long day in the old town and the river went on as it ever did before."
+    page = "<body>" + deep("sidebar", "Read these also, they say.") + "<article><h1>On rivers</h1>" + f"<p>{words}</p>" * 30 + '<svg viewBox="0"/>' + f"<p>{words}</p></article>" + deep("comments", "I do not agree.") + "</body>"
+    many = "<b>" * 3000 + "x" + "<div></div>" * 3000
+    rows = [(1, "u", page), (1, "u", page), (2, "u", many), (3, None, "<p>" * 50_000 + "y"), (4, "u", "<svg/><p>z")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [tuple(r) for r in html_text.extract(table).collect()]
+    assert collections.Counter(r[0] for r in got) == {1: 2, 2: 1, 3: 1, 4: 1}
+    assert {r[2] for r in got if r[0] == 1} == {"On rivers " + " ".join([words] * 31)}
+    assert html_text.extract(table.limit(0)).count() == 0
+    assert [b.text for b in html_text.blocks("<svg/><p>z")] == ["z"] and len(html_text.blocks(many)) == 1
+    path = html_text.blocks(deep("sidebar", "t"))[0].path
+    assert path[html_text._bucket("sidebar", html_text.PATH_DIMENSIONS)]
+    a, b = (html_text.vectors(html_text.blocks("<p>" + "word " * 500 + last)) for last in ("alpha", "omega"))
+    assert (a != b).any()
