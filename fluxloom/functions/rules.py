@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,7 +60,8 @@ def sigmoid_normalization(value: Column, gain: float = 1.0, bias: float = 0.0) -
 
 def tokens(value: Column, kind: str = "str", **options) -> Column:
     """Array of tokens: str (the value), space, split (characters ``separators``), ngram (``char_num`` code points),
-    regexp (group 0 of every match of ``pattern``)."""
+    regexp (``group``, by default 0, of every match of ``pattern``), dynamic (``function`` of the value and the other
+    options gives an array of strings, or of structs value, score)."""
     if kind == "str":
         return F.array(value)
     if kind == "space":
@@ -74,10 +76,38 @@ def tokens(value: Column, kind: str = "str", **options) -> Column:
         places = F.sequence(F.lit(1), F.char_length(value) - (n - 1))
         return F.when(F.char_length(value) >= n, F.transform(places, lambda i: F.substring(value, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     if kind == "regexp":
-        return F.filter(F.regexp_extract_all(value, F.lit(options["pattern"]), F.lit(0)), lambda t: t != "")
+        group = int(options.get("group", 0))
+        found = F.regexp_extract_all(value, F.lit(options["pattern"]), F.lit(0)) if group == 0 else groups(options["pattern"], group)(value)
+        return F.filter(found, lambda t: t != "")
+    if kind == "dynamic":
+        from fluxloom.functions import plugins
+
+        more = {k: v for k, v in options.items() if k not in ("function", "path")}
+        return plugins.resolve(options["function"])(value, **more)
     raise ValueError(f"unknown string type {kind}")
 
 
+def groups(pattern: str, group: int):
+    """One group of each match; the search goes on where the group's length ends, counted from the match's begin, so that
+    what stands round a group may be shared by two matches."""
+    found = re.compile(pattern)
+    if not 0 <= group <= found.groups:
+        raise ValueError(f"the pattern has no group {group}")
+
+    @F.pandas_udf("array<string>")
+    def tokens_of(values: pd.Series) -> pd.Series:
+        out = []
+        for text in values:
+            got, at = [], 0
+            while text is not None and at < len(text) and (m := found.search(text, at)):
+                got.append(m[group] or "")
+                at = m.start() + max(1, len(got[-1]))
+            out.append(None if text is None else got)
+        return pd.Series(out)
+
+    return tokens_of
+
+
 def sample_weight(tf: Column, kind: str) -> Column:
     kinds = {"bin": lambda: F.lit(1.0), "tf": lambda: tf, "log_tf": lambda: F.log1p(tf)}
     if kind not in kinds:

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fluxloom.lineage import cut
+
 
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, a row of the table at a time."""
@@ -125,8 +127,7 @@ def intern(df, column: str):
     """column, id: dense ids from 0 in order of the values. Values are sorted by ranges; only one count a range is read."""
     ranged = df.select(column).filter(F.col(column).isNotNull()).distinct().repartitionByRange(F.col(column)).sortWithinPartitions(column)
     placed = ranged.withColumn("_n", F.monotonically_increasing_id())
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        placed = placed.checkpoint()
+    placed = cut(placed)
     part = F.shiftright("_n", 33)
     sizes = {r[0]: r[1] for r in placed.groupBy(part.alias("p")).count().collect()}
     before, at = {}, 0

@@ -14,7 +14,12 @@ def sums(events: DataFrame, assume_unrewarded: bool = False) -> DataFrame:
     """player, arm, trial_count, weight, expectation from events (player, arm, kind select or reward, reward)."""
     counted = "select" if assume_unrewarded else "reward"
     out = events.groupBy("player", "arm").agg(F.sum(F.when(F.col("kind") == counted, 1).otherwise(0)).cast("long").alias("trial_count"), F.coalesce(F.sum(F.when(F.col("kind") == "reward", F.col("reward"))), F.lit(0.0)).alias("weight"))
-    return out.withColumn("expectation", F.when(F.col("trial_count") > 0, F.col("weight") / F.col("trial_count")).otherwise(0.0))
+    return expectations(out)
+
+
+def expectations(table: DataFrame) -> DataFrame:
+    """Sums with the mean reward of a trial, 0 without trials."""
+    return table.withColumn("expectation", F.when(F.col("trial_count") > 0, F.col("weight") / F.col("trial_count")).otherwise(0.0))
 
 
 def _argmax(arms: DataFrame, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 PART = 500
 
 
+def holds(text: Column, keyword: Column | str) -> Column:
+    """Whether a text contains a keyword; a null text does not."""
+    return F.coalesce(text.contains(keyword), F.lit(False))
+
+
 def batch_counts(documents: DataFrame, keywords: DataFrame, interval: float) -> DataFrame:
     """keyword, batch, d (documents), r (documents that hold the keyword), also for r = 0.
 
@@ -25,7 +30,7 @@ def batch_counts(documents: DataFrame, keywords: DataFrame, interval: float) ->
     parts = []
     for at in range(0, max(1, len(words)), PART):
         every = F.array(*[F.lit(w) for w in words[at : at + PART]]).cast("array<string>")
-        held = F.filter(every, lambda w: F.coalesce(F.col("text").contains(w), F.lit(False)))
+        held = F.filter(every, lambda w: holds(F.col("text"), w))
         # the empty name stands for the document itself
         named = documents.select(batch, F.explode(F.concat(F.array(F.struct(F.lit(True).alias("all"), F.lit("").alias("w"))), F.transform(held, lambda w: F.struct(F.lit(False).alias("all"), w.alias("w"))))).alias("h"))
         counted = named.groupBy("batch", "h").agg(F.count("*").alias("n"))
@@ -83,9 +88,10 @@ def overlap(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     return near.select("a_start", "b_start", F.greatest("a_start", "b_start").alias("begin"), (F.least("a_start", "b_start") + size).alias("end")).distinct()
 
 
-def detect(d: list[float], r: list[float], scaling: float, gamma: float, reuse: list[float] = ()) -> list[float]:
+def detect(d: list[float], r: list[float], scaling: float, gamma: float, reuse: list[float] = (), costcut: float = -1.0) -> list[float]:
     """Weight of each batch: what the burst state saves over the base state where the cheapest path bursts. The first
-    len(reuse) batches keep their weights."""
+    len(reuse) batches keep their weights. With a ``costcut`` of 0 or more, a batch whose burst path costs more than that
+    over the base path comes from the base state."""
     n = len(d)
     weights = [*reuse[:n], *[0.0] * (n - len(reuse))]
     total, hits = sum(d), sum(r)
@@ -105,10 +111,10 @@ def detect(d: list[float], r: list[float], scaling: float, gamma: float, reuse:
     base, burst = (math.inf, 0.0) if bursting else (0.0, math.inf)
     back: list[tuple[int, int]] = []
     for i in range(len(reuse), n):
-        to_burst = 0 if base + up < burst else 1
+        to_burst = 0 if base + up < burst or 0 <= costcut < burst - base else 1
         to_base = 1 if burst < base and d[i] > 0 else 0
         back.append((to_base, to_burst))
-        base, burst = (burst if to_base else base) + cost(i, p0), min(base + up, burst) + cost(i, p1)
+        base, burst = (burst if to_base else base) + cost(i, p0), (burst if to_burst else base + up) + cost(i, p1)
     state = 1 if burst < base else 0
     for i in range(n - 1, len(reuse) - 1, -1):
         if state == 1:
@@ -128,7 +134,7 @@ def window_bursts(counts: DataFrame, settings: DataFrame) -> DataFrame:
     return counts.join(settings, "keyword").groupBy("keyword").applyInPandas(run, "keyword string, batch long, weight double")
 
 
-def results(windows: DataFrame, settings: DataFrame, size: int, reuse: int = 0) -> DataFrame:
+def results(windows: DataFrame, settings: DataFrame, size: int, reuse: int = 0, costcut: float = -1.0) -> DataFrame:
     """keyword, start, batch, d, r, weight of all ``size`` batches of each window, from windowed(). The first ``reuse``
     batches at most that a window shares with the keyword's window before keep that window's weights."""
 
@@ -142,7 +148,7 @@ def results(windows: DataFrame, settings: DataFrame, size: int, reuse: int = 0)
                 if b not in before:
                     break
                 kept.append(before[b])
-            weights = detect(full["d"].tolist(), full["r"].tolist(), float(pdf["scaling"].iloc[0]), float(pdf["gamma"].iloc[0]), kept)
+            weights = detect(full["d"].tolist(), full["r"].tolist(), float(pdf["scaling"].iloc[0]), float(pdf["gamma"].iloc[0]), kept, costcut)
             before = dict(zip(at.tolist(), weights))
             out.append(pd.DataFrame({"keyword": key[0], "start": start, "batch": at, "d": full["d"].to_numpy(), "r": full["r"].to_numpy(), "weight": weights}))
         return pd.concat(out)

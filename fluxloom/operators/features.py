@@ -7,11 +7,13 @@ lengths) are DataFrames; they are only computed when a rule needs them.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fluxloom.functions import rules as R
@@ -43,10 +45,20 @@ def string_features(values: DataFrame, name: str, kind: str = "str", sample: str
     """row_id, feature (key$token@rule#sample/global), value (sample weight), group_key; zero weights are not emitted."""
     tag = f"@{name}#{sample}/{gw}"
     rows = values.filter(R.rule_matches(F.col("key"), key, but)).select("row_id", "key", F.explode(R.tokens(F.col("value"), kind, **options)).alias("token"))
-    counted = rows.groupBy("row_id", "key", "token").agg(F.count("*").cast("double").alias("tf"))
+    if isinstance(rows.schema["token"].dataType, T.StructType):  # a plugin's tokens have scores
+        rows = rows.select("row_id", "key", F.col("token.value").alias("token"), F.col("token.score").cast("double").alias("score"))
+    else:
+        rows = rows.withColumn("score", F.lit(1.0))
+    counted = rows.groupBy("row_id", "key", "token").agg(F.sum("score").alias("tf"))
     return counted.select("row_id", F.concat("key", F.lit("$"), "token", F.lit(tag)).alias("feature"), R.sample_weight(F.col("tf"), sample).alias("value"), F.concat("key", F.lit(tag)).alias("group_key")).filter("value <> 0")
 
 
+def made_features(values: DataFrame, function, key: str = "*", but: str | None = None) -> DataFrame:
+    """Features of a plugin: ``function`` of the columns key and value gives an array of structs feature, value."""
+    held = values.filter(R.rule_matches(F.col("key"), key, but))
+    return held.select("row_id", F.explode(function(F.col("key"), F.col("value"))).alias("f")).select("row_id", F.col("f.feature").alias("feature"), F.col("f.value").cast("double").alias("value"))
+
+
 def num_features(values: DataFrame, kind: str = "num", key: str = "*", but: str | None = None) -> DataFrame:
     name, value = R.num_feature(F.col("key"), F.col("value"), kind)
     return values.filter(R.rule_matches(F.col("key"), key, but)).select("row_id", name.alias("feature"), value.alias("value"))
@@ -57,18 +69,30 @@ def document_frequency(features: DataFrame) -> DataFrame:
     return features.groupBy("feature").agg(F.count("*").cast("double").alias("df"))
 
 
-def running_frequency(features: DataFrame, seq: str = "seq") -> DataFrame:
-    """Each entry with df and n as of its own row, itself included (online statistics)."""
-    w = Window.partitionBy("feature").orderBy(seq).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return features.withColumn("df", F.count("*").over(w).cast("double"))
+def running_frequency(features: DataFrame, seq: str = "seq", span: int = 1 << 16) -> DataFrame:
+    """Each entry with df as of its own record, itself included (online statistics). Entries of a feature are counted in
+    spans of ``span`` values of seq, and what lies in earlier spans is added, so that a common feature is many tasks' work."""
+    part = F.floor(F.col(seq) / span).alias("_part")
+    sums = features.groupBy("feature", part).agg(F.count("*").alias("_n"))
+    before = sums.select("feature", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("feature").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("feature", "_part").orderBy(seq).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = features.withColumn("_part", F.floor(F.col(seq) / span)).withColumn("_own", F.count("*").over(own))
+    return counted.join(before, ["feature", "_part"]).withColumn("df", (F.col("_own") + F.col("_before")).cast("double")).drop("_part", "_own", "_before")
 
 
 def idf(n: Column, df: Column, plus: float = 0.0) -> Column:
     return F.log((n + 1) / (df + 1)) + plus
 
 
-def global_weight(features: DataFrame, kind: str, n: int | None = None, frequencies: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
-    """Features times the global weight bin, idf, idf1, bm25 or weight; zero values are dropped."""
+def group_lengths(features: DataFrame) -> DataFrame:
+    """group_key, freq (records that have the group), total (the sum of its sample weights): what bm25 keeps of a corpus."""
+    own = features.filter("group_key IS NOT NULL").groupBy("row_id", "group_key").agg(F.sum("value").alias("len"))
+    return own.groupBy("group_key").agg(F.count("*").cast("double").alias("freq"), F.sum("len").alias("total"))
+
+
+def global_weight(features: DataFrame, kind: str, n: int | None = None, frequencies: DataFrame | None = None, weights: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """Features times the global weight bin, idf, idf1, bm25 or weight; zero values are dropped. Statistics are the
+    corpus's: n records, df by feature, and for bm25 the lengths of ``groups`` (default: of these features)."""
     if kind == "bin":
         out = features
     elif kind in ("idf", "idf1"):
@@ -76,7 +100,7 @@ def global_weight(features: DataFrame, kind: str, n: int | None = None, frequenc
         out = joined.withColumn("value", F.col("value") * idf(F.lit(float(n)), F.coalesce("df", F.lit(0.0)), 1.0 if kind == "idf1" else 0.0)).drop("df")
     elif kind == "bm25":
         lengths = features.groupBy("row_id", "group_key").agg(F.sum("value").alias("len"))
-        average = lengths.groupBy("group_key").agg((F.sum("len") / F.count("*")).alias("avg_len"))
+        average = (group_lengths(features) if groups is None else groups).select("group_key", (F.col("total") / F.col("freq")).alias("avg_len"))
         joined = features.join(frequencies, "feature", "left").join(lengths, ["row_id", "group_key"]).join(average, "group_key")
         d, tf = F.coalesce("df", F.lit(0.0)), F.col("value")
         weight = F.log((n - d + 0.5) / (d + 0.5)) * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
@@ -146,6 +170,10 @@ def revert(features: DataFrame) -> DataFrame:
     ).filter("key IS NOT NULL")
 
 
+def record_ids(*records: DataFrame | None) -> DataFrame:
+    return reduce(DataFrame.union, [r.select("row_id") for r in records if r is not None]).distinct()
+
+
 @dataclass
 class StringRule:
     name: str
@@ -164,6 +192,16 @@ class NumRule:
     but: str | None = None
 
 
+    function: object = None
+
+
+@dataclass
+class BinaryRule:
+    function: object
+    key: str = "*"
+    but: str | None = None
+
+
 @dataclass
 class Converter:
     """Compiles rules to a plan: filters, string and number features, global weights, combinations, hashing."""
@@ -174,29 +212,33 @@ class Converter:
     num_filters: list[tuple] = field(default_factory=list)
     combination_rules: list[tuple] = field(default_factory=list)
     hash_max_size: int | None = None
+    binary_rules: list[BinaryRule] = field(default_factory=list)
 
-    def unweighted(self, strings: DataFrame | None, nums: DataFrame | None) -> list[tuple[str, DataFrame]]:
-        out = []
+    def unweighted(self, strings: DataFrame | None, nums: DataFrame | None, binaries: DataFrame | None = None) -> list[tuple[str, DataFrame]]:
+        """Each rule's global weight and features (row_id, feature, value, group_key) before it is applied."""
+        out, no_group = [], F.lit(None).cast("string")
+        if binaries is not None:
+            out += [("bin", made_features(check_keys(binaries), r.function, r.key, r.but).withColumn("group_key", no_group)) for r in self.binary_rules]
         if strings is not None:
             values = apply_filters(check_keys(strings), self.string_filters)
             out += [(r.gw, string_features(values, r.name, r.kind, r.sample, r.gw, r.key, r.but, **r.options)) for r in self.string_rules]
         if nums is not None:
             values = apply_filters(check_keys(nums), self.num_filters)
-            out += [("bin", num_features(values, r.kind, r.key, r.but).withColumn("group_key", F.lit(None).cast("string"))) for r in self.num_rules]
+            made = lambda r: made_features(values, r.function, r.key, r.but) if r.function else num_features(values, r.kind, r.key, r.but)
+            out += [("bin", made(r).withColumn("group_key", no_group)) for r in self.num_rules]
         return out
 
-    def convert(self, strings: DataFrame | None = None, nums: DataFrame | None = None, n: int | None = None, frequencies: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+    def convert(self, strings: DataFrame | None = None, nums: DataFrame | None = None, n: int | None = None, frequencies: DataFrame | None = None, weights: DataFrame | None = None, groups: DataFrame | None = None, binaries: DataFrame | None = None) -> DataFrame:
         """Merged features of each row; statistics default to those of these rows themselves."""
-        parts = self.unweighted(strings, nums)
+        parts = self.unweighted(strings, nums, binaries)
         needs = any(g in ("idf", "idf1", "bm25") for g, _ in parts)
         if needs and frequencies is None:
             every = parts[0][1]
             for _, p in parts[1:]:
                 every = every.unionByName(p)
             frequencies = document_frequency(every)
-            ids = [x.select("row_id") for x in (strings, nums) if x is not None]
-            n = (ids[0].union(ids[1]) if len(ids) > 1 else ids[0]).distinct().count()
-        weighted = [global_weight(p, g, n, frequencies, weights).select("row_id", "feature", "value") for g, p in parts]
+            n = record_ids(strings, nums, binaries).count()
+        weighted = [global_weight(p, g, n, frequencies, weights, groups).select("row_id", "feature", "value") for g, p in parts]
         out = weighted[0]
         for w in weighted[1:]:
             out = out.unionByName(w)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluxloom.lineage import cut
+
 
 def has_properties(props: Column, wanted: dict[str, str]) -> Column:
     """Conjunction of equalities over a map; a missing key is false."""
@@ -14,55 +16,90 @@ def has_properties(props: Column, wanted: dict[str, str]) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def centrality(nodes: DataFrame, edges: DataFrame, damping: float = 0.9, rounds: int = 1, cut_every: int = 5) -> DataFrame:
+def centrality(nodes: DataFrame, edges: DataFrame, damping: float = 0.9, rounds: int = 1, start: DataFrame | None = None) -> DataFrame:
     """id, score after ``rounds`` updates; scores sum to the number of nodes after each. The score of nodes without
-    outgoing edges is dealt out to all. Lineage is cut with checkpoint() every few rounds if a checkpoint folder is set."""
+    outgoing edges is dealt out to all. Each round is kept by a checkpoint, so none is computed twice. ``start`` (id, score)
+    is what earlier rounds have given; nodes that it doesn't know begin with 1."""
     if not 0 < damping < 1:
         raise ValueError("damping_factor must be in (0, 1)")
     out = edges.groupBy("src").agg(F.count("*").alias("degree"))
     ranked = nodes.select("id").withColumn("score", F.lit(1.0))
+    if start is not None:
+        ranked = nodes.select("id").join(start.select("id", "score"), "id", "left").fillna(1.0, ["score"])
     n = nodes.count()
-    for turn in range(1, rounds + 1):
+    for _ in range(rounds):
         held = ranked.join(out, F.col("id") == F.col("src"), "left")
-        dangling = held.filter("degree IS NULL").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0] / n
+        dangling = held.filter("degree IS NULL").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0] / max(n, 1)
         sent = edges.join(held.filter("degree IS NOT NULL").select("id", (F.col("score") / F.col("degree")).alias("share")), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum("share").alias("got"))
         new = nodes.select("id").join(sent, F.col("id") == F.col("dst"), "left").select("id", (damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) + damping * dangling).alias("score"))
-        total = new.agg(F.sum("score")).first()[0]
+        new = cut(new)
+        total = new.agg(F.sum("score")).first()[0] or 1.0
         ranked = new.withColumn("score", F.col("score") * n / total)
-        if turn % cut_every == 0 and nodes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            ranked = ranked.checkpoint()
     return ranked
 
 
 def distances(edges: DataFrame, source: int, max_hop: int) -> DataFrame:
-    """id, hops of what is within ``max_hop`` edges of a node: breadth first, a join a hop."""
+    """id, hops of what is within ``max_hop`` edges of a node: breadth first, a join a hop. Each front is kept by a
+    checkpoint, so a plan never holds more than one hop, and the search ends with the first empty front."""
     spark = edges.sparkSession
-    seen = spark.range(source, source + 1).select("id", F.lit(0).alias("hops"))
-    front = seen
+    front = spark.range(source, source + 1).select("id", F.lit(0).alias("hops"))
+    seen = front
     steps = edges.select("src", "dst").distinct()
     for hop in range(1, max_hop + 1):
-        front = front.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop))
+        found = front.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        front = cut(found.withColumn("hops", F.lit(hop)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, max_hop: int) -> list[int]:
-    """The nodes of a shortest path of at most ``max_hop`` edges, smallest ids first among equals; [] if none."""
-    back = distances(edges.selectExpr("dst AS src", "src AS dst"), target, max_hop).withColumnRenamed("hops", "left")
-    start = back.filter(F.col("id") == source).first()
-    if start is None:
-        return []
+def _backwards(edges: DataFrame) -> DataFrame:
+    return edges.selectExpr("dst AS src", "src AS dst")
+
+
+def _walk(edges: DataFrame, left: DataFrame, source: int, hops: int) -> list[int]:
+    """The nodes from ``source`` to where ``left`` (id, hops) is 0: at each step the smallest id that is one hop nearer."""
     path = [source]
-    for left in range(start["left"] - 1, -1, -1):
-        step = edges.filter(F.col("src") == path[-1]).join(back.filter(F.col("left") == left), F.col("dst") == F.col("id"))
+    for rest in range(hops - 1, -1, -1):
+        step = edges.filter(F.col("src") == path[-1]).join(left.filter(F.col("hops") == rest), F.col("dst") == F.col("id"))
         path.append(step.agg(F.min("dst")).first()[0])
     return path
 
 
+def shortest_path(edges: DataFrame, source: int, target: int, max_hop: int) -> list[int]:
+    """The nodes of a shortest path of at most ``max_hop`` edges, smallest ids first among equals; [] if none."""
+    left = distances(_backwards(edges), target, max_hop)
+    start = left.filter(F.col("id") == source).first()
+    return [] if start is None else _walk(edges, left, source, start["hops"])
+
+
 def landmark_distance(edges: DataFrame, landmark: int, max_hop: int) -> DataFrame:
     """id, to (hops to the landmark), from_ (hops from it): a path over the landmark is their sum, not always shortest."""
     away = distances(edges, landmark, max_hop).withColumnRenamed("hops", "from_")
-    return distances(edges.selectExpr("dst AS src", "src AS dst"), landmark, max_hop).withColumnRenamed("hops", "to").join(away, "id", "full_outer")
+    return distances(_backwards(edges), landmark, max_hop).withColumnRenamed("hops", "to").join(away, "id", "full_outer")
+
+
+def landmark_trees(nodes: DataFrame, edges: DataFrame, landmarks: int, sweeps: int) -> DataFrame:
+    """landmark, id, to, from_ for the first ``landmarks`` ids, as far as ``sweeps`` hops."""
+    kind = "landmark long, id long, to int, from_ int"
+    out = nodes.sparkSession.createDataFrame([], kind)
+    for (root,) in nodes.select("id").orderBy("id").limit(landmarks).collect():  # a setting's number of them
+        out = out.unionByName(landmark_distance(edges, root, sweeps).select(F.lit(root).cast("long").alias("landmark"), "id", "to", "from_"))
+    return out
+
+
+def landmark_path(trees: DataFrame, edges: DataFrame, source: int, target: int, max_hop: int) -> list[int]:
+    """A path over the landmark with the fewest hops to and from it (ties: the smallest), cut after ``max_hop`` edges; it
+    need not be a shortest one. [] if no landmark joins the two."""
+    ends = trees.filter((F.col("id") == source) & F.col("to").isNotNull()).select("landmark", "to").join(trees.filter((F.col("id") == target) & F.col("from_").isNotNull()).select("landmark", "from_"), "landmark")
+    best = ends.orderBy(F.col("to") + F.col("from_"), "landmark").first()
+    if best is None:
+        return []
+    own = trees.filter(F.col("landmark") == best["landmark"])
+    there = _walk(edges, own.select("id", F.col("to").alias("hops")), source, best["to"])
+    back = _walk(_backwards(edges), own.select("id", F.col("from_").alias("hops")), target, best["from_"])
+    return (there + back[-2::-1])[: max_hop + 1]
 
 
 def create_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
@@ -125,6 +162,9 @@ class Presets:
     def remove(self, kind: str, node_query: dict, edge_query: dict) -> None:
         self._held.discard(self._key(kind, node_query, edge_query))
 
+    def all(self) -> list[tuple[str, dict, dict]]:
+        return [(kind, dict(nodes), dict(edges)) for kind, nodes, edges in sorted(self._held)]
+
     def check(self, kind: str, node_query: dict, edge_query: dict) -> None:
         if self._key(kind, node_query, edge_query) not in self._held:
             raise KeyError("unknown query")

@@ -12,6 +12,9 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from fluxloom.operators.similarity import of_all_labels
 
 MODEL = "feature string, label string, v1 double, v2 double"
 CLASSIFIERS = ("perceptron", "PA", "PA1", "PA2", "CW", "AROW", "NHERD")
@@ -93,11 +96,11 @@ class Classifier:
 class Regression:
     """Weights of one target; duplicates of a feature count each in the norm."""
 
-    def __init__(self, method: str, c: float = 1.0, sensitivity: float = 0.1, rate: float = 0.1):
+    def __init__(self, method: str, c: float = 1.0, sensitivity: float = 0.1, rate: float = 0.1, seen: tuple[float, float, float] = (0.0, 0.0, 0.0)):
         self.method, self.c, self.eps, self.rate = method, c, sensitivity, rate
         self.w: dict[str, float] = {}
         self.cov: dict[str, float] = {}
-        self.n = self.sum = self.sq = 0.0
+        self.n, self.sum, self.sq = seen  # targets so far: how many, their sum and the sum of their squares
 
     def estimate(self, x: dict[str, float]) -> float:
         return sum(v * self.w.get(f, 0.0) for f, v in x.items())
@@ -144,22 +147,47 @@ class Regression:
 
 def train(rows: DataFrame, make, shards: int = 1, start: DataFrame | None = None) -> DataFrame:
     """The weight table from rows (seq, target, features: map of doubles), folded in order of seq within each shard.
-    With ``start`` each shard goes on from that weight table."""
-
-    def fold(pdf: pd.DataFrame, held: pd.DataFrame | None = None) -> pd.DataFrame:
-        model = make()
-        if held is not None:
-            model.load(held)
-        for target, features in pdf.sort_values("seq")[["target", "features"]].itertuples(index=False):
-            model.train(target, dict(features))
-        return model.rows()
-
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(shards)))
-    if start is None:
-        made = dealt.groupBy("shard").applyInPandas(lambda key, pdf: fold(pdf).assign(shard=key[0]), MODEL + ", shard long")
-    else:
-        copies = start.select("feature", "label", "v1", "v2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-        made = dealt.groupBy("shard").cogroup(copies.groupBy("shard")).applyInPandas(lambda key, pdf, held: fold(pdf, held).assign(shard=key[0]), MODEL + ", shard long")
+    With ``start`` each shard goes on from that weight table.
+
+    A shard is sorted by Spark and streams through its model in batches; its rows are never held together.
+    """
+    shard = F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int")
+    target = rows.schema["target"].dataType.simpleString()
+    blank = lambda **types: [F.lit(None).cast(t).alias(n) for n, t in types.items()]
+    weights = {"feature": "string", "label": "string", "v1": "double", "v2": "double"}
+    feed = rows.select(shard.alias("shard"), F.lit(1).alias("kind"), F.col("seq").cast("long").alias("seq"), "target", "features", *blank(**weights))
+    if start is not None:
+        every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+        held = start.select(every, F.lit(0).alias("kind"), *blank(seq="long", target=target, features="map<string,double>"), *weights)
+        feed = feed.unionByName(held)
+
+    def fold(batches):
+        model, of, loaded = None, None, []
+
+        def ready():
+            if loaded:
+                model.load(pd.concat(loaded))
+                loaded.clear()
+
+        for pdf in batches:
+            for key, part in pdf.groupby("shard", sort=True):
+                if key != of:
+                    if model is not None:
+                        ready()
+                        yield model.rows().assign(shard=of)
+                    model, of = make(), key
+                old, new = part[part["kind"] == 0], part[part["kind"] == 1]
+                if len(old):
+                    loaded.append(old[list(weights)])
+                if len(new):
+                    ready()
+                for y, features in zip(new["target"], new["features"]):
+                    model.train(y, dict(features))
+        if model is not None:
+            ready()
+            yield model.rows().assign(shard=of)
+
+    made = feed.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "seq").mapInPandas(fold, MODEL + ", shard int")
     return mix(made, shards) if shards > 1 else made.drop("shard")
 
 
@@ -172,5 +200,24 @@ def mix(models: DataFrame, shards: int) -> DataFrame:
 def classify(features: DataFrame, model: DataFrame, known: DataFrame) -> DataFrame:
     """row_id, label, score for every known label, 0 without a common feature."""
     sums = features.join(model.select("feature", "label", "v1"), "feature").groupBy("row_id", "label").agg(F.sum(F.col("value") * F.col("v1")).alias("s"))
-    every = features.select("row_id").distinct().withColumn("one", F.lit(1)).join(known.select("label").distinct().withColumn("one", F.lit(1)), "one").drop("one")
-    return every.join(sums, ["row_id", "label"], "left").select("row_id", "label", F.coalesce("s", F.lit(0.0)).alias("score"))
+    return of_all_labels(features.select("row_id").distinct(), sums, known, "row_id")
+
+
+def largest_incorrect(scores: DataFrame, truth: DataFrame) -> DataFrame:
+    """row_id, label, score: the best label of each row other than its own (row_id, label); ties go to the smaller label."""
+    wrong = scores.join(truth.withColumnRenamed("label", "_own"), "row_id").filter("label <> _own")
+    return wrong.groupBy("row_id").agg(F.max("score").alias("score"), F.min_by("label", F.struct(-F.col("score"), "label")).alias("label")).select("row_id", "label", "score")
+
+
+def running_deviation(rows: DataFrame, by: str, order: list[str], value: str, span: int = 1 << 16) -> DataFrame:
+    """Adds deviation: of the values so far, as PA regressions see them, the row's own included. Rows are numbered in spans;
+    what lies in earlier spans is added as three sums, so that no key is one task's work."""
+    place = F.floor(F.col(order[0]).cast("long") / span)
+    x = F.col(value)
+    sums = rows.groupBy(by, place.alias("_p")).agg(F.count(x).alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q"))
+    earlier = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(by, "_p", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c + "b") for c in ("_n", "_s", "_q")])
+    own = Window.partitionBy(by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.withColumn("_p", place).withColumns({"_no": F.count(x).over(own), "_so": F.sum(x).over(own), "_qo": F.sum(x * x).over(own)}).join(before, [by, "_p"])
+    n, s_, q = F.col("_no") + F.col("_nb"), F.col("_so") + F.col("_sb"), F.col("_qo") + F.col("_qb")
+    return run.withColumn("deviation", F.sqrt(F.greatest(F.lit(0.0), q / n - (s_ / n) * (s_ / n)))).select(*rows.columns, "deviation")

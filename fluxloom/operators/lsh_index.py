@@ -107,4 +107,4 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, hashes: int = 4, tab
     a = asked.select(F.col("row_id").alias("query_id"), F.col("bits").alias("q_bits"), F.col("norm").alias("q_norm"))
     near = found.join(a, "query_id").join(indexed.select("row_id", "bits", "norm"), "row_id")
     near = near.select("query_id", "row_id", S.angle_score(bits).alias("score"))
-    return S.top_k(near.unionByName(S.signature_scores(indexed, few, bits, euclid=True)), k)
+    return S.top_k(near.unionByName(S.signature_top_k(indexed, few, k, bits, euclid=True).drop("rank")), k)

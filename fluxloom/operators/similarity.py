@@ -1,7 +1,9 @@
-"""Exact and hashed similarity search over sparse rows (row_id, feature, value).
+"""Exact and hashed similarity search over sparse rows (row_id, feature, value), dense rows (row_id, x) and signatures.
 
-Queries are a stated set; rows are the whole table. Dot products are an equi-join on the feature with a partial
-aggregation, the top k of each query a ranked window that Spark limits before its shuffle.
+Queries are a stated set; rows are the whole table. Dot products of sparse rows are an equi-join on the feature with a
+partial aggregation, the top k of each query a ranked window that Spark limits before its shuffle. Dense rows and
+signatures, which share all their features, are compared in pairs of blocks (``in_blocks``), each a task of bounded size
+that keeps k rows a query, so that pairs are never shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fluxloom.functions.rules import fnv1_64
@@ -41,19 +44,135 @@ def cosine_scores(rows: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def euclidean_scores(rows: DataFrame, queries: DataFrame, ignore_orthogonal: bool = False) -> DataFrame:
-    """Minus the distance; rows of norm 0 are left out; without ``ignore_orthogonal`` rows that share no feature too
-    (the stated queries, times all rows' norms)."""
+    """Minus the distance; rows of norm 0 are left out. With ``ignore_orthogonal`` so are rows that share no feature with
+    the query. Without, every query meets every row that is not 0 (in blocks), so take few queries, or dense_top_k."""
     pairs = dots(rows, queries)
     distance = lambda n, q, dot: -F.sqrt(F.greatest(F.lit(0.0), n * n + q * q - 2 * dot))
     if ignore_orthogonal:
         found = _with_norms(pairs, rows, queries).filter("norm <> 0")
     else:
-        qn = norms(queries).select(F.col("row_id").alias("query_id"), F.col("norm").alias("q_norm"))
-        every = norms(rows).filter("norm <> 0").withColumn("one", F.lit(1)).join(qn.withColumn("one", F.lit(1)), "one")
+        every = in_blocks(norms(rows).filter("norm <> 0"), norms(queries), None, lambda q, r: -np.add.outer(q["norm"].to_numpy(), r["norm"].to_numpy()))
+        every = every.select("query_id", "row_id").join(norms(rows), "row_id").join(norms(queries).select(F.col("row_id").alias("query_id"), F.col("norm").alias("q_norm")), "query_id")
         found = every.join(pairs, ["query_id", "row_id"], "left").withColumn("dot", F.coalesce("dot", F.lit(0.0)))
     return found.select("query_id", "row_id", distance(F.col("norm"), F.col("q_norm"), F.col("dot")).alias("score"))
 
 
+def in_blocks(rows: DataFrame, queries: DataFrame, k: int | None, score, ties: str = "desc", row_block: int = 8192, query_block: int = 2048, least: float | None = None, others_only: bool = False) -> DataFrame:
+    """query_id, row_id, score of each query's k best rows (None: all), or of those with a score of ``least`` at least.
+
+    ``rows`` and ``queries`` have row_id and the same further columns. Both are dealt into blocks; for each pair of blocks
+    ``score`` gets two frames and gives a matrix (nan: no pair), of which k a query stay, so that what is shuffled is each
+    row once for each block of queries, each query once for each block of rows, and k rows a query and block.
+    ``others_only`` leaves out a query's own row.
+    """
+    n, m = rows.count(), queries.count()
+    b, a = max(1, -(-n // row_block)), max(1, -(-m // query_block))
+    deal = lambda df, parts: df.withColumn("_own", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int"))
+    spread = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    names = rows.columns
+    left = deal(queries.select(*[F.col(c).alias(c) for c in names]), a).select(*names, F.col("_own").alias("_a"), spread(b).alias("_b"))
+    right = deal(rows, b).select(*names, spread(a).alias("_a"), F.col("_own").alias("_b"))
+    q_type, r_type = (df.schema["row_id"].dataType.simpleString() for df in (queries, rows))
+    ascending = ties == "asc"
+
+    def cell(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            r = r.sort_values("row_id", ascending=ascending, ignore_index=True)
+            ids = r["row_id"].to_numpy()
+            for at in range(0, len(q), 256):
+                part = q.iloc[at : at + 256].reset_index(drop=True)
+                own, s = part["row_id"].to_numpy(), np.asarray(score(part, r), float)
+                if others_only:
+                    s[own[:, None] == ids[None]] = np.nan
+                if least is not None:
+                    s[s < least] = np.nan
+                s = np.where(np.isnan(s), -np.inf, s)
+                if k is not None and k < len(ids):
+                    near = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                else:
+                    near = np.broadcast_to(np.arange(len(ids)), s.shape)
+                best = np.take_along_axis(s, near, 1)
+                row, col = np.nonzero(best > -np.inf)
+                out.append((own[row], ids[near[row, col]], best[row, col]))
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, object)] * 2 + [np.zeros(0)]
+        return pd.DataFrame({n: pd.Series(x, dtype=x.dtype) for n, x in zip(("query_id", "row_id", "score"), columns)})
+
+    found = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(cell, f"query_id {q_type}, row_id {r_type}, score double")
+    # both sides may come from one table: without a projection of its own Spark prunes one side's columns for the other's
+    return found.select("query_id", "row_id", F.col("score").alias("score")) if k is None else top_k(found, k, ties).drop("rank")
+
+
+def _dense(kind: str, ignore_orthogonal: bool):
+    def score(q: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
+        x, y = np.stack(q["x"].to_numpy()).astype(float), np.stack(r["x"].to_numpy()).astype(float)
+        dot, xx, yy = x @ y.T, (x * x).sum(1)[:, None], (y * y).sum(1)[None]
+        if kind == "cosine":
+            with np.errstate(all="ignore"):
+                s = np.clip(dot / np.sqrt(xx * yy), -1, 1)
+            s[(dot == 0) | (xx * yy == 0)] = np.nan
+            return s
+        s = -np.sqrt(np.maximum(xx + yy - 2 * dot, 0))
+        s[np.broadcast_to(yy == 0, s.shape) | ((dot == 0) & ignore_orthogonal)] = np.nan
+        return s
+
+    return score
+
+
+def dense_top_k(points: DataFrame, queries: DataFrame, k: int | None, kind: str = "cosine", ties: str = "desc", ignore_orthogonal: bool = False, least: float | None = None) -> DataFrame:
+    """query_id, row_id, score, rank of dense rows (row_id, x array): as cosine_scores and euclidean_scores with top_k."""
+    if kind not in ("cosine", "euclidean"):
+        raise ValueError(f"unknown distance {kind}")
+    found = in_blocks(points.select("row_id", "x"), queries, k, _dense(kind, ignore_orthogonal), ties, least=least)
+    return found if k is None else top_k(found, k, ties)
+
+
+def _signed(bits: int, euclid: bool):
+    def score(q: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
+        x, y = (np.stack(df["bits"].to_numpy()).astype(np.int64).view(np.uint64) for df in (q, r))
+        ham = np.zeros((len(x), len(y)), np.int64)
+        for word in range(x.shape[1]):
+            ham += np.bitwise_count(x[:, word, None] ^ y[None, :, word])
+        if not euclid:
+            return 1 - ham / bits
+        n, m = r["norm"].to_numpy(float)[None], q["norm"].to_numpy(float)[:, None]
+        return -np.where(ham == 0, np.abs(n - m), np.sqrt(np.maximum(n * n + m * m - 2 * n * m * np.cos(np.pi * ham / bits), 0)))
+
+    return score
+
+
+def signature_top_k(table: DataFrame, queries: DataFrame, k: int | None, bits: int = 64, euclid: bool = False, ties: str = "desc", others_only: bool = False) -> DataFrame:
+    """query_id, row_id, score, rank by signatures (row_id, bits, and norm if ``euclid``): similarity 1 - hamming / bits, or
+    minus the distance that the angle and the norms give."""
+    names = ["row_id", "bits", *(["norm"] if euclid else [])]
+    found = in_blocks(table.select(*names), queries.select(*names), k, _signed(bits, euclid), ties, others_only=others_only)
+    return found if k is None else top_k(found, k, ties)
+
+
+def cosine_distance(score: Column) -> Column:
+    """1 - similarity; 1 for a null one (a norm is 0, or no feature is shared)."""
+    return 1 - F.coalesce(score, F.lit(0.0))
+
+
+def combine(a: DataFrame, b: DataFrame, scale_a: float = 1.0, scale_b: float = 1.0) -> DataFrame:
+    """Sparse algebra by row and feature: scale_a * a + scale_b * b over the union of keys; entries of 0 are left out."""
+    both = a.select("row_id", "feature", (F.col("value") * scale_a).alias("value")).unionByName(b.select("row_id", "feature", (F.col("value") * scale_b).alias("value")))
+    return both.groupBy("row_id", "feature").agg(F.sum("value").alias("value")).filter("value <> 0")
+
+
+def pair_cosines(a: DataFrame, b: DataFrame) -> DataFrame:
+    """row_id, similarity of the rows of both tables that have the same id, 0 if a norm is 0."""
+    ends = norms(a).join(norms(b).withColumnRenamed("norm", "other"), "row_id")
+    dot = a.join(b.withColumnRenamed("value", "y"), ["row_id", "feature"]).groupBy("row_id").agg(F.sum(F.col("value") * F.col("y")).alias("dot"))
+    both = F.col("norm") * F.col("other")
+    return ends.join(dot, "row_id", "left").select("row_id", F.when(both == 0, 0.0).otherwise(F.coalesce("dot", F.lit(0.0)) / both).alias("similarity"))
+
+
+def largest_int_id(ids: DataFrame, column: str = "row_id") -> DataFrame:
+    """One row: the largest id that reads as a whole number; others are skipped."""
+    return ids.agg(F.max(F.expr(f"try_cast(`{column}` AS bigint)")).alias("id"))
+
+
 def top_k(scores: DataFrame, k: int, ties: str = "desc") -> DataFrame:
     """The k best of each query, ties by row id (``desc``: the larger first)."""
     tie = F.col("row_id").desc() if ties == "desc" else F.col("row_id").asc()
@@ -66,9 +185,14 @@ def at_least(scores: DataFrame, score: float) -> DataFrame:
 
 
 def top_rate(scores: DataFrame, rate: float, n_rows: int) -> DataFrame:
+    return top_k(scores, rate_k(rate, n_rows))
+
+
+def rate_k(rate: float, n_rows: int) -> int:
+    """How many rows a share of all is, rounded up."""
     if not 0 < rate <= 1:
         raise ValueError("rate must be in (0, 1]")
-    return top_k(scores, int(np.ceil(n_rows * rate)))
+    return int(np.ceil(n_rows * rate))
 
 
 def complete(similar: DataFrame, rows: DataFrame) -> DataFrame:
@@ -173,13 +297,8 @@ def angle_score(bits: int) -> Column:
 
 
 def signature_scores(table: DataFrame, queries: DataFrame, bits: int = 64, euclid: bool = False) -> DataFrame:
-    """Similarity 1 - hamming / bits of each stated query with all rows; ``euclid``: minus the distance that the angle
-    and the norms give."""
-    q = queries.select(F.col("row_id").alias("query_id"), F.col("bits").alias("q_bits"), *([F.col("norm").alias("q_norm")] if euclid else []))
-    pairs = table.withColumn("one", F.lit(1)).join(q.withColumn("one", F.lit(1)), "one").withColumn("ham", hamming(F.col("bits"), F.col("q_bits")))
-    if not euclid:
-        return pairs.select("query_id", "row_id", (1 - F.col("ham") / bits).alias("score"))
-    return pairs.select("query_id", "row_id", angle_score(bits).alias("score"))
+    """signature_top_k without a k: all rows of each of a few stated queries."""
+    return signature_top_k(table, queries, None, bits, euclid)
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, known: DataFrame, alpha: float, kind: str = "cosine") -> DataFrame:
@@ -187,8 +306,15 @@ def vote(neighbours: DataFrame, labels: DataFrame, known: DataFrame, alpha: floa
     ``neighbours``: query_id, row_id, score; ``labels``: row_id, label; ``known``: label."""
     distance = 1 - F.col("score") if kind == "cosine" else -F.col("score")
     sums = neighbours.join(labels, "row_id").groupBy("query_id", "label").agg(F.sum(F.exp(-alpha * distance)).alias("s"))
-    every = neighbours.select("query_id").distinct().withColumn("one", F.lit(1)).join(known.select("label").distinct().withColumn("one", F.lit(1)), "one").drop("one")
-    return every.join(sums, ["query_id", "label"], "left").select("query_id", "label", F.coalesce("s", F.lit(0.0)).alias("score"))
+    return of_all_labels(neighbours.select("query_id").distinct(), sums, known, "query_id")
+
+
+def of_all_labels(ids: DataFrame, sums: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """key, label, score of every id and known label: the sum s, or 0. Labels are classes, few, and part of the plan."""
+    names = sorted(r[0] for r in known.select("label").distinct().collect() if r[0] is not None)
+    kind = known.schema["label"].dataType
+    every = ids.select(key, F.explode(F.array(*[F.lit(x) for x in names]).cast(T.ArrayType(kind))).alias("label"))
+    return every.join(sums, [key, "label"], "left").select(key, "label", F.coalesce("s", F.lit(0.0)).alias("score"))
 
 
 def neighbour_mean(neighbours: DataFrame, targets: DataFrame, weight: str = "uniform", kind: str = "cosine") -> DataFrame:
@@ -203,42 +329,14 @@ def neighbour_mean(neighbours: DataFrame, targets: DataFrame, weight: str = "uni
     return near.groupBy("query_id").agg((F.sum(F.col("w") * F.col("target")) / F.sum("w")).alias("estimate"))
 
 
-def nearest_of_all(points: DataFrame, k: int, block_rows: int = 2048, queries: DataFrame | None = None) -> DataFrame:
+def nearest_of_all(points: DataFrame, k: int, block_rows: int = 8192, queries: DataFrame | None = None) -> DataFrame:
     """row_id, neighbour, distance: the k nearest other points of every point (row_id, x array<double>), exactly; or the k
-    nearest points of each of ``queries`` (row_id, x).
+    nearest points of each of ``queries`` (row_id, x)."""
 
-    Points are dealt into blocks; each pair of blocks is one task of bounded size, a matrix product that keeps k a row, so
-    that what is shuffled is the points once for each block and k rows for each point and block, never all pairs.
-    """
-    n = points.count()
-    blocks = max(1, -(-n // block_rows))
-    kind = points.schema["row_id"].dataType.simpleString()
-    dealt = points.select("row_id", "x", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int").alias("own"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = dealt if queries is None else queries.select("row_id", "x", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int").alias("own"))
-    left = asked.select("row_id", "x", F.col("own").alias("a"), others.alias("b"))
-    right = dealt.select("row_id", "x", others.alias("a"), F.col("own").alias("b"))
+    def score(q: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
+        x, y = np.stack(q["x"].to_numpy()), np.stack(r["x"].to_numpy())
+        return -np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
 
-    queries_are_points = queries is None
-
-    def cell(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"row_id": [], "neighbour": [], "distance": []})
-        r = r.sort_values("row_id")
-        ids, y = r["row_id"].to_numpy(), np.stack(r["x"].to_numpy())
-        out = []
-        for at in range(0, len(q), 512):
-            part = q.iloc[at : at + 512]
-            own, x = part["row_id"].to_numpy(), np.stack(part["x"].to_numpy())
-            d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
-            if queries_are_points:
-                d[own[:, None] == ids[None]] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            best = np.take_along_axis(d, near, 1)
-            row, col = np.nonzero(np.isfinite(best))
-            out.append(pd.DataFrame({"row_id": own[row], "neighbour": ids[near[row, col]], "distance": np.sqrt(best[row, col])}))
-        return pd.concat(out)
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(cell, f"row_id {kind}, neighbour {kind}, distance double")
-    w = Window.partitionBy("row_id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
+    points = points.select("row_id", "x")
+    found = in_blocks(points, points if queries is None else queries, k, score, "asc", block_rows, block_rows, others_only=queries is None)
+    return found.select(F.col("query_id").alias("row_id"), F.col("row_id").alias("neighbour"), (-F.col("score")).alias("distance"))

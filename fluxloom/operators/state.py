@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,15 +41,71 @@ def keep_random(keys: DataFrame, key: str, most: int, seed: int = 0) -> DataFram
     return keys.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key)).limit(most)
 
 
-def save_model(tables: dict[str, DataFrame], path: str) -> None:
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+def keep_random_but(touches: DataFrame, key: str, turn: str, now: int, most: int, seed: int = 0) -> DataFrame:
+    """At most ``most`` keys: those of the turn ``now`` first, of the others drawn ones."""
+    last = touches.groupBy(key).agg(F.max(turn).alias(turn))
+    return last.orderBy(F.col(turn) != now, F.xxhash64(F.lit(seed), F.lit(now), key)).limit(most).select(key)
 
 
-def load_model(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+def save_model(tables: dict[str, DataFrame], path: str, **tags: str) -> None:
+    """Tables below a new folder, then its tags; a folder without tags is no whole model, and one with them is not
+    written over."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+    marks = {**tags, **{f"table {name}": df.schema.simpleString() for name, df in tables.items()}}
+    spark.createDataFrame(sorted(marks.items()), "key string, value string").coalesce(1).write.parquet(f"{path}/_model/tags")
+
+
+def load_model(spark: SparkSession, path: str, names: list[str], **tags: str) -> dict[str, DataFrame]:
+    """The tables of a saved model, which must have the same tables and tags."""
+    found = {r.key: r.value for r in spark.read.parquet(f"{path}/_model/tags").collect()}
+    wrong = [f"{k} is {found.get(k)!r}, not {v!r}" for k, v in tags.items() if found.get(k) != v]
+    held = {k.removeprefix("table ") for k in found if k.startswith("table ")}
+    if held != set(names):
+        wrong.append(f"tables are {sorted(held)}, not {sorted(names)}")
+    if wrong:
+        raise ValueError(f"{path} holds another model: " + "; ".join(wrong))
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+def first_kept(*parts: DataFrame, key: str, tombstone: str) -> DataFrame:
+    """A merge in which the first part that has a key gives its row, and a tombstone in any part takes it away."""
+    every = None
+    for turn, part in enumerate(parts):
+        named = part.withColumn("_turn", F.lit(turn))
+        every = named if every is None else every.unionByName(named)
+    rest = [c for c in parts[0].columns if c != key]
+    best = every.groupBy(key).agg(F.min_by(F.struct(*rest), "_turn").alias("_r"), F.max(tombstone).alias("_gone"))
+    return best.filter("NOT _gone").select(key, "_r.*").select(*parts[0].columns).drop(tombstone)
+
+
+def update_rows(table: DataFrame, changes: DataFrame, key: str = "key", clock: str = "clock") -> DataFrame:
+    """Rows whose key is in ``changes`` take the columns given there, and a clock over the table's newest."""
+    now = (table.agg(F.max(clock)).first()[0] or 0) + 1
+    names = [c for c in changes.columns if c != key]
+    new = changes.select(key, F.struct(*names).alias("_new"))
+    keep = [F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.when(F.col("_new").isNotNull(), F.lit(now)).otherwise(F.col(c)).alias(c) if c == clock else F.col(c) for c in table.columns]
+    return table.join(new, key, "left").select(*keep)
+
+
+def exact_match(table: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """The rows whose key is asked for."""
+    return table.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def delete_rows(table: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    return table.join(keys.select(key), key, "left_anti").select(*table.columns)
+
+
+def merge_json(a: Column, b: Column) -> Column:
+    """One JSON object of two; where both have a key, the second's value stays. Values keep their types."""
+    kind = "map<string,variant>"
+    first, second = F.from_json(a, kind), F.from_json(b, kind)
+    only = F.map_filter(first, lambda k, v: ~F.array_contains(F.map_keys(second), k))
+    return F.to_json(F.map_concat(only, second))
+
+
 def status(**values: object) -> dict[str, str]:
     return {k: str(v) for k, v in values.items()}
 

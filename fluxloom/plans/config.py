@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from fluxloom.functions import plugins
 from fluxloom.functions import rules as R
-from fluxloom.operators.features import Converter, NumRule, StringRule
+from fluxloom.operators.features import BinaryRule, Converter, NumRule, StringRule
 
 
 class ConfigError(ValueError):
@@ -29,18 +29,18 @@ FLOAT_MAX = 3.4028234663852886e38
 
 #: Parameters of each service: default values and ranges.
 PARAMETERS: dict[str, dict[str, Param]] = {
-    "classifier": {"regularization_weight": Param(1.0, positive, "must be positive")},
-    "regression": {"sensitivity": Param(0.1, at_least(0), "must not be negative"), "regularization_weight": Param(FLOAT_MAX, positive, "must be positive"), "learning_rate": Param(0.1, positive, "must be positive"), "nearest_neighbor_num": Param(10, at_least(1), "must be at least 1"), "weight": Param("uniform", lambda v: v in ("uniform", "distance"), "must be uniform or distance")},
+    "classifier": {"regularization_weight": Param(1.0, positive, "must be positive"), "hash_num": Param(64, at_least(1), "must be at least 1")},
+    "regression": {"sensitivity": Param(0.1, at_least(0), "must not be negative"), "regularization_weight": Param(FLOAT_MAX, positive, "must be positive"), "learning_rate": Param(0.1, positive, "must be positive"), "nearest_neighbor_num": Param(10, at_least(1), "must be at least 1"), "weight": Param("uniform", lambda v: v in ("uniform", "distance"), "must be uniform or distance"), "hash_num": Param(64, at_least(1), "must be at least 1")},
     "nearest_neighbor": {"hash_num": Param(64, at_least(1), "must be at least 1")},
     "recommender": {"hash_num": Param(64, at_least(1), "must be at least 1"), "table_num": Param(4, at_least(1), "must be at least 1"), "bin_width": Param(100.0, positive, "must be positive"), "probe_num": Param(64, at_least(0), "must not be negative"), "seed": Param(1091), "ignore_orthogonal": Param(False)},
-    "anomaly": {"nearest_neighbor_num": Param(10, at_least(2), "must be at least 2"), "reverse_nearest_neighbor_num": Param(30, at_least(2), "must be at least 2"), "ignore_kth_same_point": Param(False)},
-    "clustering": {"k": Param(2, at_least(1), "must be at least 1"), "seed": Param(0), "eps": Param(2.0, positive, "must be positive"), "min_core_point": Param(1, at_least(1), "must be at least 1"), "distance": Param("euclidean", lambda v: v in ("euclidean", "cosine"), "must be euclidean or cosine"), "bucket_size": Param(10000, at_least(2), "must be at least 2"), "bucket_length": Param(2, at_least(2), "must be at least 2"), "compressed_bucket_size": Param(200, at_least(1), "must be at least 1"), "bicriteria_base_size": Param(10, at_least(1), "must be at least 1"), "forgetting_factor": Param(2.0, at_least(0), "must not be negative"), "forgetting_threshold": Param(0.05, lambda v: 0 <= v <= 1, "must be in [0, 1]")},
+    "anomaly": {"nearest_neighbor_num": Param(10, at_least(2), "must be at least 2"), "reverse_nearest_neighbor_num": Param(30, at_least(2), "must be at least 2"), "ignore_kth_same_point": Param(False), "hash_num": Param(64, at_least(1), "must be at least 1")},
+    "clustering": {"k": Param(2, at_least(1), "must be at least 1"), "seed": Param(0), "eps": Param(2.0, positive, "must be positive"), "min_core_point": Param(1, at_least(1), "must be at least 1"), "distance": Param("euclidean", lambda v: v in ("euclidean", "cosine"), "must be euclidean or cosine"), "bucket_size": Param(10000, at_least(2), "must be at least 2"), "bucket_length": Param(2, at_least(2), "must be at least 2"), "compressed_bucket_size": Param(200, at_least(1), "must be at least 1"), "compressor_method": Param("simple", lambda v: v in ("simple", "compressive"), "must be simple or compressive"), "forgetting_factor": Param(2.0, at_least(0), "must not be negative"), "forgetting_threshold": Param(0.05, lambda v: 0 <= v <= 1, "must be in [0, 1]")},
     "burst": {"window_batch_size": Param(5, positive, "must be positive"), "batch_interval": Param(10.0, positive, "must be positive"), "max_reuse_batch_num": Param(5, at_least(0), "must not be negative"), "costcut_threshold": Param(-1.0), "result_window_rotate_size": Param(5, positive, "must be positive")},
     "stat": {"window_size": Param(128, at_least(1), "must be at least 1")},
     "graph": {"damping_factor": Param(0.9, lambda v: 0 < v < 1, "must be in (0, 1)"), "landmark_num": Param(5, at_least(0), "must not be negative")},
     "bandit": {"assume_unrewarded": Param(False), "epsilon": Param(0.1, lambda v: 0 <= v <= 1, "must be in [0, 1]"), "decreasing_rate": Param(0.5, lambda v: 0 < v < 1, "must be in (0, 1)"), "tau": Param(0.05, positive, "must be positive"), "gamma": Param(0.1, lambda v: 0 < v <= 1, "must be in (0, 1]"), "seed": Param(0)},
     "weight": {},
-    "unlearner": {"max_size": Param(1, positive, "must be positive"), "sticky_pattern": Param(None), "seed": Param(0)},
+    "unlearner": {"method": Param("lru", lambda v: v in ("lru", "random"), "must be lru or random"), "max_size": Param(1, positive, "must be positive"), "sticky_pattern": Param(None), "seed": Param(0)},
 }
 
 
@@ -78,7 +78,7 @@ def _num_filter(kind: dict):
 def converter(config: dict) -> Converter:
     """A converter's JSON as a plan: types by name, rules in order. Unknown types are errors, all told at once."""
     errors: list[str] = []
-    types = {k: config.get(f"{k}_types", {}) for k in ("string_filter", "num_filter", "string", "num", "combination")}
+    types = {k: config.get(f"{k}_types", {}) for k in ("string_filter", "num_filter", "string", "num", "binary", "combination")}
 
     def typed(group: str, name: str, defaults: tuple[str, ...]) -> dict:
         if name in types[group]:
@@ -86,9 +86,9 @@ def converter(config: dict) -> Converter:
         if name in defaults:
             return {"method": name}
         errors.append(f".{group}_rules: unknown type {name!r}")
-        return {"method": "str" if group == "string" else "add", "value": 0}
+        return {"method": {"string": "str", "num": "num"}.get(group, "add"), "value": 0}
 
-    string_filters, num_filters, strings, nums, pairs = [], [], [], [], []
+    string_filters, num_filters, strings, nums, binaries, pairs = [], [], [], [], [], []
     for r in config.get("string_filter_rules", []):
         t = typed("string_filter", r["type"], ())
         f = plugins.resolve(t["function"]) if t["method"] == "dynamic" else (lambda v, t=t: R.regexp_filter(v, t.get("pattern", ""), t.get("replace", "")))
@@ -98,10 +98,21 @@ def converter(config: dict) -> Converter:
     for r in config.get("string_rules", []):
         t = typed("string", r["type"], ("str", "space"))
         options = {k: v for k, v in t.items() if k != "method"}
+        if t["method"] not in ("str", "space", "split", "ngram", "regexp", "dynamic"):
+            errors.append(f".string_types.{r['type']}.method: unknown method {t['method']!r}")
         strings.append(StringRule(r["type"], t["method"], r.get("sample_weight", "bin"), r.get("global_weight", "bin"), r.get("key", "*"), r.get("except"), options))
     for r in config.get("num_rules", []):
-        typed("num", r["type"], ("num", "log", "str"))
-        nums.append(NumRule(r["type"], r.get("key", "*"), r.get("except")))
+        t = typed("num", r["type"], ("num", "log", "str"))
+        made = t["method"] == "dynamic"
+        if not made and t["method"] not in ("num", "log", "str"):
+            errors.append(f".num_types.{r['type']}.method: unknown method {t['method']!r}")
+        nums.append(NumRule("num" if made else t["method"], r.get("key", "*"), r.get("except"), plugins.resolve(t["function"]) if made else None))
+    for r in config.get("binary_rules", []):
+        t = typed("binary", r["type"], ())
+        if t["method"] != "dynamic":
+            errors.append(f".binary_types.{r['type']}.method: only dynamic ones are known")
+        else:
+            binaries.append(BinaryRule(plugins.resolve(t["function"]), r.get("key", "*"), r.get("except")))
     for r in config.get("combination_rules", []):
         t = typed("combination", r["type"], ("add", "mul"))
         f, commutative = {"add": (lambda a, b: a + b, True), "mul": (lambda a, b: a * b, True)}.get(t["method"]) or (plugins.resolve(t["function"]), bool(t.get("commutative", False)))
@@ -111,4 +122,4 @@ def converter(config: dict) -> Converter:
         errors.append(".hash_max_size: must be positive")
     if errors:
         raise ConfigError(errors)
-    return Converter(strings, nums, string_filters, num_filters, pairs, size)
+    return Converter(strings, nums, string_filters, num_filters, pairs, size, binaries)

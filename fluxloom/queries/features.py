@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fluxloom import services as V
+from fluxloom.functions import plugins
 from fluxloom.functions import rules as R
+from fluxloom.lineage import scratch
+from fluxloom.operators import burst
 from fluxloom.operators import features as X
+from fluxloom.plans import config
 from fluxloom.queries.catalogue import Registry
 from fluxloom.sources.tables import rounded, table
 
@@ -19,6 +24,10 @@ def nums(spark, d):
     return X.melt(table(spark, d, "lineitem").withColumn("id", F.expr("l_orderkey * 10 + l_linenumber")), "id", COLUMNS)
 
 
+def words_of(d, spark):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.lit("text").alias("key"), F.col("text").alias("value"))
+
+
 def texts(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("row_id"), F.lit("text").alias("key"), F.col("text").alias("value"))
 
@@ -44,7 +53,7 @@ def p07(spark, d):
 
 @query("p11_keyword_containment", "SELECT doc_id, contains(text, 'the') AS hit FROM documents")
 def p11(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").contains("the").alias("hit"))
+    return table(spark, d, "documents").select("doc_id", burst.holds(F.col("text"), "the").alias("hit"))
 
 
 @query("f01_filter_regexp", "SELECT page_id AS row_id, md5(regexp_replace(html, '<[^>]*>', '', 'g')) AS h FROM pages")
@@ -123,10 +132,35 @@ def f18(spark, d):
     return rounded(X.Converter([rule]).convert(texts(spark, d), weights=bare), value=6)
 
 
-@query("f19_add_weight", "SELECT l_shipmode_id AS feature, max_by(w, seq) AS weight FROM (SELECT l_orderkey % 50 AS l_shipmode_id, l_quantity AS w, l_orderkey * 1000 + l_linenumber * 100 + l_quantity AS seq FROM lineitem) GROUP BY 1")
+@query("f19_add_weight", f"WITH c AS ({COUNTS}) SELECT row_id, 'text$' || t || '@space#bin/weight' AS feature, CASE WHEN length(t) > 3 THEN length(t) ELSE 1 END::DOUBLE AS value FROM c")
 def f19(spark, d):
-    t = table(spark, d, "lineitem").selectExpr("l_orderkey % 50 AS feature", "l_quantity AS w", "l_orderkey * 1000 + l_linenumber * 100 + l_quantity AS seq")
-    return t.groupBy("feature").agg(F.max_by("w", "seq").alias("weight"))
+    """Every token has weight 1; those of over three characters then get their length."""
+    weigh = V.Weight(spark, scratch(spark, "f19"), {"string_rules": [{"key": "*", "type": "space", "sample_weight": "bin", "global_weight": "weight"}]})
+    bare = X.string_features(texts(spark, d), "space", "space").select(F.regexp_replace("feature", "#[^#]*$", "").alias("feature")).distinct()
+    weigh.add_weight(bare.withColumn("weight", F.lit(1.0)))
+    length = F.char_length(F.regexp_extract("feature", "(?s)^text\\$(.*)@space$", 1))
+    weigh.add_weight(bare.withColumn("weight", length).filter("weight > 3"))
+    return weigh.calc_weight(texts(spark, d))
+
+
+@query("f17_bm25_of_stored_corpus", f"""WITH {DF}, l AS (SELECT row_id, sum(tf) AS len FROM c GROUP BY row_id), a AS (SELECT avg(len) AS al FROM l)
+  SELECT row_id, key || '$' || t || '@space#tf/bm25' AS feature, round(ln((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)), 6) AS value
+  FROM c JOIN df USING (t) JOIN l USING (row_id), n, a WHERE n - df <> df AND row_id % 20 = 0""")
+def f17b(spark, d):
+    """Records learnt in three parts; then those with ids divisible by 20 are weighed alone, with what is stored of all."""
+    weigh = V.Weight(spark, scratch(spark, "f17"), {"string_rules": [{"key": "*", "type": "space", "sample_weight": "tf", "global_weight": "bm25"}]})
+    for part in range(3):
+        weigh.update_statistics(texts(spark, d).filter(F.col("row_id") % 3 == part))
+    return rounded(weigh.calc_weight(texts(spark, d).filter("row_id % 20 = 0")), value=6)
+
+
+DOC_WORDS = COUNTS.replace(f"({TEXTS})", "(SELECT doc_id AS row_id, 'text' AS key, text AS value FROM documents)")
+
+
+@query("f15_global_idf_documents", f"WITH c AS ({DOC_WORDS}), df AS (SELECT t, count(*)::DOUBLE AS df FROM c GROUP BY t), n AS (SELECT count(*)::DOUBLE AS n FROM documents) SELECT row_id, count(*) AS n, round(sum(tf * ln((n + 1) / (df + 1))), 3) AS total FROM c JOIN df USING (t), n GROUP BY row_id")
+def f15b(spark, d):
+    made = X.Converter([X.StringRule("space", "space", "tf", "idf")]).convert(words_of(d, spark))
+    return rounded(made.groupBy("row_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")), total=3)
 
 
 @query("f20_document_frequency", f"WITH {DF} SELECT 'text$' || t || '@space#bin/idf' AS feature, df FROM df")
@@ -146,19 +180,53 @@ def f22(spark, d):
 
 
 def _combined(name, op, function):
-    sql = f"""WITH v AS (SELECT row_id, key || '@num' AS f, value FROM ({MELT}) WHERE value <> 0)
-      SELECT a.row_id, a.f || '&' || b.f || '/{name}' AS feature, round(a.value {op} b.value, 4) AS value FROM v a JOIN v b ON a.row_id = b.row_id AND a.f < b.f WHERE a.value {op} b.value <> 0"""
+    sql = f"""WITH l AS (SELECT row_number() OVER () AS row_id, {", ".join(COLUMNS)} FROM lineitem), v AS (SELECT row_id, key || '@num' AS f, value FROM l UNPIVOT (value FOR key IN ({", ".join(COLUMNS)})) WHERE value <> 0)
+      SELECT a.f || '&' || b.f || '/{name}' AS feature, count(*) AS n, round(sum(a.value {op} b.value), 0) AS total FROM v a JOIN v b ON a.row_id = b.row_id AND a.f < b.f WHERE a.value {op} b.value <> 0 GROUP BY 1"""
 
     @query(f"f23_combination_{name}", sql)
     def run(spark, d):
-        f = X.global_weight(X.num_features(nums(spark, d)), "bin").withColumn("pos", F.col("feature"))
-        return rounded(X.combinations(f, name, function), value=4)
+        """Pairs of features of each line of an order; lines have no key of their own."""
+        lines = X.melt(table(spark, d, "lineitem").withColumn("id", F.monotonically_increasing_id()), "id", COLUMNS)
+        f = X.global_weight(X.num_features(lines), "bin").withColumn("pos", F.col("feature"))
+        return rounded(X.combinations(f, name, function).groupBy("feature").agg(F.count("*").alias("n"), F.sum("value").alias("total")), total=0)
 
 
 _combined("add", "+", lambda a, b: a + b)
 _combined("mul", "*", lambda a, b: a * b)
 
 
+@query("f11_tokens_regexp_group", "SELECT c_custkey AS row_id, 'name$' || regexp_extract(c_name, '([A-Za-z]+)#0*([0-9]+)', 2) || '@number#bin/bin' AS feature, 1.0::DOUBLE AS value FROM customer")
+def f11b(spark, d):
+    rules = config.converter({"string_types": {"number": {"method": "regexp", "pattern": "([A-Za-z]+)#0*([0-9]+)", "group": "2"}}, "string_rules": [{"key": "*", "type": "number", "sample_weight": "bin", "global_weight": "bin"}]})
+    return rules.convert(table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.lit("name").alias("key"), F.col("c_name").alias("value")))
+
+
+plugins.register("pairs of letters", lambda value, weight="1": F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(value) - 1)), lambda i: F.struct(F.substring(value, i, F.lit(2)).alias("value"), (i * 0 + float(weight)).alias("score"))))
+plugins.register("sign and size", lambda key, value: F.array(F.struct(F.concat(key, F.lit("@sign")).alias("feature"), F.signum(value).alias("value")), F.struct(F.concat(key, F.lit("@size")).alias("feature"), F.abs(value).alias("value"))))
+plugins.register("bytes", lambda key, value: F.array(F.struct(F.concat(key, F.lit("@bytes")).alias("feature"), F.octet_length(value).cast("double").alias("value")), F.struct(F.concat(key, F.lit("@crc"), F.crc32(value)).alias("feature"), F.lit(1.0).alias("value"))))
+
+
+@query("x01_splitter_plugin", "SELECT n_nationkey AS row_id, 'name$' || t || '@two#tf/bin' AS feature, 0.5 * count(*) AS value FROM (SELECT n_nationkey, unnest([substr(n_name, i, 2) FOR i IN range(1, length(n_name))]) AS t FROM nation) GROUP BY ALL")
+def x01(spark, d):
+    rules = config.converter({"string_types": {"two": {"method": "dynamic", "function": "pairs of letters", "weight": "0.5"}}, "string_rules": [{"key": "*", "type": "two", "sample_weight": "tf", "global_weight": "bin"}]})
+    return rules.convert(table(spark, d, "nation").select(F.col("n_nationkey").alias("row_id"), F.lit("name").alias("key"), F.col("n_name").alias("value")))
+
+
+@query("x04_num_plugin", "SELECT c_custkey AS row_id, 'a@sign' AS feature, sign(c_acctbal)::DOUBLE AS value FROM customer UNION ALL SELECT c_custkey, 'a@size', abs(c_acctbal) FROM customer UNION ALL SELECT c_custkey, 'a@log', ln(greatest(1, c_acctbal)) FROM customer WHERE c_acctbal > 1")
+def x04(spark, d):
+    """A plugin, and a built-in type under a name of its own."""
+    rules = config.converter({"num_types": {"both": {"method": "dynamic", "function": "sign and size"}, "mylog": {"method": "log"}}, "num_rules": [{"key": "*", "type": "both"}, {"key": "*", "type": "mylog"}]})
+    found = rules.convert(nums=table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.lit("a").alias("key"), F.col("c_acctbal").alias("value")))
+    return found.filter("value <> 0 OR feature <> 'a@log'")
+
+
+@query("f27_binary_features", "SELECT page_id AS row_id, 'html@bytes' AS feature, strlen(html)::DOUBLE AS value FROM pages")
+def f27(spark, d):
+    rules = config.converter({"binary_types": {"bytes": {"method": "dynamic", "function": "bytes"}}, "binary_rules": [{"key": "html", "type": "bytes"}]})
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("row_id"), F.lit("html").alias("key"), F.col("html").cast("binary").alias("value"))
+    return rules.convert(binaries=rows).filter(F.col("feature") == "html@bytes")
+
+
 @query("f24_feature_hashing")
 def f24(spark, d):
     f = X.string_features(texts(spark, d), "space", "space", "tf")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from fluxloom.functions import strings
-from fluxloom.operators import anomaly, bandit, burst, clustering, graph, lsh_index, similarity as S, state
+from fluxloom.operators import bandit, burst, clustering, graph, lsh_index, similarity as S, state
 from fluxloom.queries import models as M
 from fluxloom.queries.catalogue import Registry
 from fluxloom.queries.similarity import asked, rows
@@ -48,7 +50,10 @@ def b04(spark, d):
 
 @query("b06_bursted_at")
 def b06(spark, d):
-    return burst.bursted_at(b04(spark, d), 3).agg(F.count("*").alias("n"))
+    found = b04(spark, d)
+    last = found.agg(F.max("batch")).first()[0]
+    every = [burst.bursted_at(found, b).withColumn("batch", F.lit(b)) for b in range(0, last + 1, max(1, last // 20))]
+    return reduce(lambda a, b: a.unionByName(b), every)
 
 
 @query("j12_window_overlap", f"WITH {WINDOWS} SELECT a.s AS a_start, b.s + 1 AS b_start, greatest(a.s, b.s + 1) AS begin, least(a.s, b.s + 1) + 5 AS \"end\" FROM w a JOIN w b ON abs(a.s - b.s - 1) < 5")
@@ -73,25 +78,11 @@ def r05(spark, d):
     return lsh_index.index(rows(spark, d)).select("row_id", "norm", F.size("buckets").alias("n_buckets"))
 
 
-@query("n06_query_by_id", "SELECT 20::BIGINT AS query_id, 20::BIGINT AS row_id, 1.0::DOUBLE AS score")
-def n06(spark, d):
-    """The nearest of a stored row's own signature is that row."""
-    signed = S.lsh_signatures(rows(spark, d)).select(F.col("row_id").cast("long").alias("row_id"), "bits")
-    return S.top_k(S.signature_scores(signed, signed.filter("row_id = 20")), 1, "asc").select("query_id", "row_id", "score")
-
-
 @query("n06_query_by_ids")
-def n06b(spark, d):
+def n06(spark, d):
     """The nearest ten of every id divisible by 20, by their own signatures."""
     signed = S.lsh_signatures(rows(spark, d)).select(F.col("row_id").cast("long").alias("row_id"), "bits")
-    return S.top_k(S.signature_scores(signed, signed.filter("row_id % 20 = 0")), 10, "asc").select("query_id", "row_id", "score")
-
-
-@query("l02_stored_scores")
-def l02(spark, d):
-    dense = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"))
-    near = S.nearest_of_all(dense, 11).select("row_id", "neighbour", "distance")
-    return anomaly.stored_scores(near.unionByName(dense.select("row_id", F.col("row_id").alias("neighbour"), F.lit(0.0).alias("distance"))), 10)
+    return S.signature_top_k(signed, signed.filter("row_id % 20 = 0"), 10, ties="asc").select("query_id", "row_id", "score")
 
 
 @query("k24_coreset")

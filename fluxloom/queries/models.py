@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fluxloom.operators import bandit, burst, clustering, graph, learners, state
+from fluxloom import services as V
+from fluxloom.lineage import scratch
+from fluxloom.operators import bandit, burst, clustering, features as X, graph, learners, state
 from fluxloom.queries.catalogue import Registry
 from fluxloom.sources import records
 from fluxloom.sources.tables import rounded, table
+from fluxloom.streaming import processors
 
 query = Registry()
 
@@ -36,16 +39,18 @@ def s04(spark, d):
     return c.withColumn("f", records.csv_fields(F.col("line"), 2)).select("c_custkey", F.col("f.c0").alias("name"), F.col("f.c1").alias("segment"))
 
 
-@query("s05_json_merge", "SELECT event_id, (props->>'$.k')::BIGINT AS k, event_type AS t FROM events")
+@query("s05_json_merge", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 7 ELSE (props->>'$.k')::BIGINT END AS k, event_type AS t FROM events")
 def s05(spark, d):
-    merged = F.to_json(F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("t"), F.col("event_type"))))
-    return table(spark, d, "events").select("event_id", merged.alias("j")).select("event_id", F.get_json_object("j", "$.k").cast("long").alias("k"), F.get_json_object("j", "$.t").alias("t"))
+    """Two objects of each event; of a key that both have the second's value stays."""
+    other = F.concat(F.lit('{"t":"'), F.col("event_type"), F.lit('"'), F.when(F.col("event_id") % 2 == 0, ',"k":7').otherwise(""), F.lit("}"))
+    return table(spark, d, "events").select("event_id", state.merge_json(F.col("props"), other).alias("j")).select("event_id", F.get_json_object("j", "$.k").cast("long").alias("k"), F.get_json_object("j", "$.t").alias("t"))
 
 
-@query("s10_status", "SELECT 'num_features' AS key, count(DISTINCT event_type)::VARCHAR AS value FROM events UNION ALL SELECT 'num_rows', count(*)::VARCHAR FROM events")
+@query("s10_status", "SELECT 'num_rows' AS key, count(*)::VARCHAR AS value FROM customer UNION ALL SELECT 'rows_version', '1'")
 def s10(spark, d):
-    n = table(spark, d, "events").agg(F.countDistinct("event_type").cast("string").alias("num_features"), F.count("*").cast("string").alias("num_rows"))
-    return n.unpivot([], ["num_features", "num_rows"], "key", "value")
+    held = V.Recommender(spark, scratch(spark, "s10"))
+    held.update_row(table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.lit("balance").alias("feature"), F.col("c_acctbal").alias("value")))
+    return spark.createDataFrame(sorted(held.get_status().items()), "key string, value string")
 
 
 @query("s13_html_encode", "SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS h FROM pages")
@@ -58,9 +63,17 @@ def s14(spark, d):
     return state.latest(table(spark, d, "orders").selectExpr("o_custkey AS key", "o_orderkey AS clock", "o_totalprice AS value"), "key", "clock")
 
 
-@query("s14_exact_match", "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 77")
+@query("s14_exact_match", "SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_custkey % 20 = 0")
 def s14b(spark, d):
-    return table(spark, d, "customer").filter("c_custkey = 77").select("c_custkey", "c_name")
+    held = table(spark, d, "customer").selectExpr("c_custkey AS key", "c_name AS name")
+    return state.exact_match(held, held.filter("key % 20 = 0"))
+
+
+@query("s14_update_delete", "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 101 ELSE o_orderkey % 100 + CASE WHEN o_orderkey % 100 = 0 THEN 100 ELSE 0 END END::BIGINT AS clock, CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS value FROM orders WHERE o_orderkey % 5 <> 0")
+def s14c(spark, d):
+    held = table(spark, d, "orders").selectExpr("o_orderkey AS key", "cast(if(o_orderkey % 100 = 0, 100, o_orderkey % 100) AS bigint) AS clock", "o_totalprice AS value")
+    changed = state.update_rows(held, held.filter("key % 3 = 0").selectExpr("key", "-value AS value"))
+    return state.delete_rows(changed, held.filter("key % 5 = 0"))
 
 
 @query("p09_property_predicate", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")
@@ -69,9 +82,12 @@ def p09(spark, d):
     return table(spark, d, "customer").filter(graph.has_properties(props, {"segment": "BUILDING", "nation": "3"})).select("c_custkey")
 
 
-@query("a06_labels_count", "SELECT quality AS label, count(*) AS n FROM labels GROUP BY quality")
+@query("a06_labels_count", "SELECT quality::VARCHAR AS label, count(*) AS n FROM labels GROUP BY ALL")
 def a06(spark, d):
-    return table(spark, d, "labels").groupBy(F.col("quality").alias("label")).agg(F.count("*").alias("n"))
+    known = V.Classifier(spark, scratch(spark, "a06"), "cosine")
+    rows = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("row_id"), F.col("quality").cast("string").alias("label"), F.col("doc_id").alias("seq"))
+    known.train(rows.select("row_id", F.lit("one").alias("feature"), F.lit(1.0).alias("value")), rows)
+    return known.get_labels()
 
 
 # bandits: players are users, arms are event types
@@ -93,6 +109,11 @@ def m03(spark, d):
     return bandit.greedy(arms(spark, d))
 
 
+@query("m03_epsilon_zero", f"WITH {ARMS} SELECT player, arm FROM x QUALIFY row_number() OVER (PARTITION BY player ORDER BY e DESC, arm) = 1")
+def m03c(spark, d):
+    return bandit.epsilon_greedy(arms(spark, d), 0.0)
+
+
 @query("m04_decreasing_epsilon", f"WITH {ARMS} SELECT player, round(least(1.0, 5 * count(*) * (ln(sum(n) + 1) / (sum(n) + 1)) / 0.81), 6)::DOUBLE AS epsilon FROM x GROUP BY player")
 def m04(spark, d):
     return rounded(bandit.decreasing_epsilon(arms(spark, d), 0.9), epsilon=6)
@@ -180,18 +201,29 @@ def h04b(spark, d):
     return graph.landmark_distance(net(spark, d)[1], 2, 4)
 
 
-@query("h01_remove_node", f"WITH {EDGES} SELECT src, dst FROM e WHERE src <> 3 AND dst <> 3")
+@query("h01_remove_node", "SELECT n_nationkey AS id FROM nation UNION ALL SELECT n_nationkey + 100 FROM nation WHERE n_nationkey % 3 <> 0")
 def h01(spark, d):
-    gone = spark.range(3, 4)
-    e = net(spark, d)[1]
-    return e.join(gone, e.src == gone.id, "left_anti").join(gone, F.col("dst") == F.col("id"), "left_anti")
+    """Nodes without edges go; those of the graph of nations stay."""
+    nodes, edges = net(spark, d)
+    more = nodes.unionByName(nodes.selectExpr("id + 100 AS id"))
+    return graph.remove_nodes(more, edges, nodes.filter("id % 3 = 0").selectExpr("id + 100 AS id"))
+
+
+@query("h04_ten_hops", f"WITH RECURSIVE {EDGES}, b(id, hops) AS (SELECT 2::BIGINT, 0 UNION SELECT dst, hops + 1 FROM b JOIN e ON src = id WHERE hops < 10) SELECT id, min(hops) AS hops FROM b GROUP BY id")
+def h04c(spark, d):
+    return graph.distances(net(spark, d)[1], 2, 10)
+
+
+@query("h04_landmark_trees", f"WITH RECURSIVE {EDGES}, b(root, id, hops) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0 FROM nation WHERE n_nationkey < 2 UNION SELECT root, dst, hops + 1 FROM b JOIN e ON src = id WHERE hops < 3), c(root, id, hops) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT, 0 FROM nation WHERE n_nationkey < 2 UNION SELECT root, src, hops + 1 FROM c JOIN e ON dst = id WHERE hops < 3) SELECT root AS landmark, id, min(b.hops) AS from_, min(c.hops) AS \"to\" FROM b FULL JOIN c USING (root, id) GROUP BY ALL")
+def h04d(spark, d):
+    return graph.landmark_trees(*net(spark, d), 2, 3)
 
 
 def points(spark, d):
-    return table(spark, d, "lineitem").filter("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("id")).agg(F.array(F.max("l_quantity"), F.max("l_discount") * 100).alias("x")).withColumn("weight", F.lit(1.0))
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array(F.max("l_quantity"), F.max("l_discount") * 100).alias("x")).withColumn("weight", F.lit(1.0))
 
 
-PTS = "p AS (SELECT l_orderkey AS id, max(l_quantity) AS a, max(l_discount) * 100 AS b FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)"
+PTS = "p AS (SELECT l_orderkey AS id, max(l_quantity) AS a, max(l_discount) * 100 AS b FROM lineitem GROUP BY 1)"
 CENTERS = [[10.0, 2.0], [25.0, 8.0], [40.0, 5.0]]
 NEAREST = f"{PTS}, m AS (SELECT id, a, b, list_position(l, list_min(l)) - 1 AS center FROM (SELECT *, [round((a - 10) * (a - 10) + (b - 2) * (b - 2), 9), round((a - 25) * (a - 25) + (b - 8) * (b - 8), 9), round((a - 40) * (a - 40) + (b - 5) * (b - 5), 9)] AS l FROM p))"
 
@@ -210,28 +242,55 @@ def a10(spark, d):
 
 @query("k20_kmeans")
 def k20(spark, d):
-    centers = clustering.kmeans(points(spark, d), 3, "id", rounds=10)
+    centers = clustering.kmeans(points(spark, d), 3, "id")
     return spark.createDataFrame([(k, c) for k, c in enumerate(centers)], "center int, x array<double>")
 
 
+@query("k20_lloyd_step", f"WITH {NEAREST} SELECT center, round(avg(a), 4) AS x0, round(avg(b), 4) AS x1 FROM m GROUP BY center")
+def k20b(spark, d):
+    """One step from given centers."""
+    p = points(spark, d).withColumn("x", F.transform("x", lambda v: F.round(v, 6)))
+    centers = clustering.kmeans(p, 3, "id", rounds=1, start=CENTERS)
+    return spark.createDataFrame([(k, round(x, 4), round(y, 4)) for k, (x, y) in enumerate(centers)], "center int, x0 double, x1 double")
+
+
+@query("j07_nearest_center_cosine", f"WITH {PTS}, q AS (SELECT id, [round(1 - (10 * a + 2 * b) / (sqrt(104) * sqrt(a * a + b * b)), 9), round(1 - (25 * a + 8 * b) / (sqrt(689) * sqrt(a * a + b * b)), 9), round(1 - (40 * a + 5 * b) / (sqrt(1625) * sqrt(a * a + b * b)), 9)] AS l FROM p) SELECT list_position(l, list_min(l)) - 1 AS center, count(*) AS n FROM q GROUP BY 1")
+def j07b(spark, d):
+    return clustering.assign(points(spark, d), CENTERS, kind="cosine").groupBy("center").agg(F.count("*").alias("n"))
+
+
 @query("k21_gmm")
 def k21(spark, d):
-    means, _ = clustering.gmm(points(spark, d), 2, "id", rounds=5)
+    means, _ = clustering.gmm(points(spark, d), 2, "id")
     return spark.createDataFrame([(k, m.tolist()) for k, m in enumerate(means)], "center int, mean array<double>")
 
 
-@query("k22_dbscan", """WITH RECURSIVE p AS (SELECT s_suppkey AS id, s_acctbal / 100 AS a, s_nationkey::DOUBLE AS b FROM supplier), g AS (SELECT q.id, r.id AS o FROM p q, p r WHERE sqrt((q.a - r.a) * (q.a - r.a) + (q.b - r.b) * (q.b - r.b)) < 6),
+def _dbscan(name, x, gap, eps, made, kind="euclidean"):
+    sql = f"""WITH RECURSIVE p AS (SELECT s_suppkey AS id, {x} FROM supplier), g AS (SELECT q.id, r.id AS o FROM p q, p r WHERE {gap} < {eps}),
   core AS (SELECT id FROM g GROUP BY id HAVING count(*) >= 4), l AS (SELECT g.id, g.o FROM g JOIN core USING (id) JOIN core c2 ON c2.id = o), t(id, o) AS (SELECT id, id FROM core UNION SELECT t.id, l.o FROM t JOIN l ON l.id = t.o),
-  c AS (SELECT id, min(o) AS cluster FROM t GROUP BY id), b AS (SELECT g.id, min(cluster) AS cluster FROM g JOIN c ON c.id = g.o GROUP BY g.id) SELECT id, cluster FROM b WHERE cluster IN (SELECT cluster FROM b GROUP BY cluster HAVING count(*) >= 4)""")
-def k22(spark, d):
-    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / 100, F.col("s_nationkey").cast("double")).alias("x"))
-    return clustering.dbscan(p, 6.0, 4)
+  c AS (SELECT id, min(o) AS cluster FROM t GROUP BY id), b AS (SELECT g.id, min(cluster) AS cluster FROM g JOIN c ON c.id = g.o GROUP BY g.id) SELECT id, cluster FROM b WHERE cluster IN (SELECT cluster FROM b GROUP BY cluster HAVING count(*) >= 4)"""
+
+    @query(name, sql)
+    def run(spark, d):
+        p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(*map(F.expr, made)).alias("x"))
+        return clustering.dbscan(p, eps, 4, kind=kind)
+
+
+BALANCE, NATION = "s_acctbal / 100", "cast(s_nationkey AS double)"
+_dbscan("k22_dbscan", "s_acctbal / 100 AS a, s_nationkey::DOUBLE AS b", "sqrt((q.a - r.a) * (q.a - r.a) + (q.b - r.b) * (q.b - r.b))", 6.0, [BALANCE, NATION])
+_dbscan("k22_dbscan_one_dimension", "s_acctbal / 100 AS a", "abs(q.a - r.a)", 0.5, [BALANCE])
+_dbscan("k22_dbscan_cosine", "s_acctbal / 100 AS a, s_nationkey + 1.0 AS b", "1 - (q.a * r.a + q.b * r.b) / (sqrt(q.a * q.a + q.b * q.b) * sqrt(r.a * r.a + r.b * r.b))", 0.0003, [BALANCE, NATION + " + 1D"], "cosine")
 
 
 # learners: quality and price
 def quality_rows(spark, d):
-    f = F.create_map(F.lit("symbols"), (F.char_length("text") - F.char_length(F.translate("text", "#*$%&|", ""))) / F.char_length("text") * 10, F.lit("bias"), F.lit(1.0))
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("seq"), F.col("quality").cast("string").alias("target"), f.alias("features"))
+    """Labelled documents with the features of a converter: language, length and share of signs."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    n = F.greatest(F.lit(1), F.char_length("text"))
+    nums = docs.select(F.col("doc_id").alias("row_id"), F.explode(F.create_map(F.lit("signs"), (n - F.char_length(F.translate("text", "#*$%&|", ""))) / n * 10, F.lit("length"), F.char_length("text").cast("double"))).alias("key", "value"))
+    made = X.Converter([X.StringRule("str")], [X.NumRule("num", "signs"), X.NumRule("log", "length")]).convert(docs.select(F.col("doc_id").alias("row_id"), F.lit("lang").alias("key"), F.col("lang").alias("value")), nums)
+    held = made.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("features"))
+    return docs.select(F.col("doc_id").alias("row_id"), F.col("quality").cast("string").alias("target")).join(held, "row_id").withColumnRenamed("row_id", "seq")
 
 
 def _learner(name, method, shards=1):
@@ -272,7 +331,19 @@ def c11(spark, d):
 
 @query("c12_delete_label", f"WITH {MODEL} SELECT feature, label FROM m WHERE label <> '1'")
 def c12(spark, d):
-    return model(spark).join(spark.range(1, 2).selectExpr("cast(id AS string) AS label"), "label", "left_anti").select("feature", "label")
+    held = V.Classifier(spark, scratch(spark, "c12"), "AROW")
+    held.put("weights", model(spark))
+    held.put("labels", model(spark).groupBy("label").agg(F.count("*").alias("n")))
+    held.delete_label("1")
+    return held.get("weights").select("feature", "label")
+
+
+@query("k10_largest_incorrect", f"WITH {MODEL}, f AS (SELECT vec_id AS row_id, label AS own, 'f' || (i - 1) AS feature, embedding[i]::DOUBLE AS value FROM embeddings, range(1, 65) t(i)), s AS (SELECT row_id, own, label, sum(value * v1) AS s FROM f JOIN m USING (feature) GROUP BY ALL) SELECT row_id, arg_max(label, s) AS label, round(max(s), 4) AS score FROM s WHERE label <> (own % 3)::VARCHAR GROUP BY row_id")
+def k10(spark, d):
+    from fluxloom.queries.similarity import rows
+
+    scores = learners.classify(rows(spark, d), model(spark), spark.range(3).selectExpr("cast(id AS string) AS label"))
+    return rounded(learners.largest_incorrect(scores, table(spark, d, "embeddings").selectExpr("vec_id AS row_id", "cast(label % 3 AS string) AS label")), score=4)
 
 
 @query("t02_linear_mix", "SELECT event_type AS feature, '+' AS label, round(sum(v) / 4, 4) AS v1, round(least(1, min(c)), 6) AS v2 FROM (SELECT event_type, user_id % 4 AS shard, sum(value) AS v, min(value) / 1000 AS c FROM events GROUP BY ALL) GROUP BY event_type")
@@ -303,16 +374,31 @@ def t15(spark, d):
     return state.keep_random(table(spark, d, "events"), "user_id", 25)
 
 
-@query("t11_tumbling_windows", "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("t11_tumbling_windows", "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
 def t11(spark, d):
-    w = table(spark, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    return w.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n")
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = processors.tumbling(e, "ts", "event_type", "value", "1 hour", "1 day")
+    return rounded(w.withColumn("start", F.unix_timestamp("start")), total=3)
 
 
-@query("w03_running_deviation", "SELECT event_id, round(stddev_pop(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 4) AS deviation FROM events")
+@query("w03_running_deviation", "SELECT event_id, round(stddev_pop(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 3) AS deviation FROM events")
 def w03(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, d, "events").select("event_id", F.round(F.stddev_pop("value").over(w), 4).alias("deviation"))
+    e = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return rounded(learners.running_deviation(e, "event_type", ["ts", "event_id"], "value").select("event_id", "deviation"), deviation=3)
+
+
+@query("t05_first_kept", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS v FROM customer WHERE c_custkey % 5 <> 0")
+def t05b(spark, d):
+    """Of outlier entries the first one stays, unless a tombstone comes from anywhere."""
+    c = table(spark, d, "customer").selectExpr("c_custkey AS id")
+    first, second = c.filter("id % 2 = 0").selectExpr("id", "'a' AS v", "false AS gone"), c.selectExpr("id", "'b' AS v", "id % 5 = 0 AS gone")
+    return state.first_kept(first, second, key="id", tombstone="gone")
+
+
+@query("t07_clustering_mix", "SELECT node, count(*) AS n, min(v) AS v FROM (SELECT c_nationkey % 3 AS node, c_custkey AS id, CASE WHEN c_nationkey % 3 = 1 THEN 'new' ELSE 'old' END AS v FROM customer) GROUP BY ALL")
+def t07(spark, d):
+    old = table(spark, d, "customer").selectExpr("c_nationkey % 3 AS node", "c_custkey AS id", "'old' AS v")
+    return clustering.mix_coresets(old, old.filter("node = 1").withColumn("v", F.lit("new"))).groupBy("node").agg(F.count("*").alias("n"), F.min("v").alias("v"))
 
 
 @query("z02_edit_distance", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, levenshtein(a.n_name, b.n_name) AS distance FROM nation a JOIN nation b USING (n_regionkey)")

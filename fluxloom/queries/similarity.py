@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fluxloom import services
+from fluxloom.lineage import scratch
 from fluxloom.operators import anomaly, similarity as S
 from fluxloom.queries.catalogue import Registry
 from fluxloom.sources.tables import rounded, table
@@ -30,12 +32,14 @@ def labels(spark, d):
     return table(spark, d, "embeddings").selectExpr("vec_id AS row_id", "label")
 
 
-def cosine(spark, d):
-    return S.cosine_scores(rows(spark, d), asked(spark, d))
+def dense(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"))
 
 
-def euclid(spark, d):
-    return S.euclidean_scores(rows(spark, d), asked(spark, d))
+def nearest(spark, d, kind, k, **more):
+    """query_id, row_id, score, rank (with a k) for the ids divisible by 20, against all rows."""
+    points = dense(spark, d)
+    return S.dense_top_k(points, points.filter("row_id % 20 = 0"), k, kind, **more)
 
 
 @query("f28_l2_norm", f"WITH {V} SELECT row_id, round(sqrt(list_dot_product(e, e)), 6) AS norm FROM v")
@@ -43,106 +47,116 @@ def f28(spark, d):
     return rounded(S.norms(rows(spark, d)), norm=6)
 
 
-@query("f29_pair_cosine", f"WITH {V} SELECT round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a, v b WHERE a.row_id = 3 AND b.row_id = 8")
-def f29(spark, d):
-    r = rows(spark, d)
-    return rounded(S.pair_cosine(r.filter("row_id = 3"), r.filter("row_id = 8")), similarity=6)
-
-
-def with_next(spark, d):
-    """Each row (a) with the row of the next id (b)."""
-    r = rows(spark, d)
-    return r.select(F.col("row_id"), "feature", F.col("value").alias("x")).join(r.select((F.col("row_id") - 1).alias("row_id"), "feature", F.col("value").alias("y")), ["row_id", "feature"])
+def next_rows(spark, d):
+    """Each row under the id before it."""
+    return rows(spark, d).withColumn("row_id", F.col("row_id") - 1)
 
 
-@query("f29_pair_cosines", f"WITH {V} SELECT a.row_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON b.row_id = a.row_id + 1")
-def f29b(spark, d):
-    xx, yy, xy = (F.sum(F.col(a) * F.col(b)) for a, b in ("xx", "yy", "xy"))
-    return rounded(with_next(spark, d).groupBy("row_id").agg(F.when((xx == 0) | (yy == 0), 0.0).otherwise(xy / F.sqrt(xx * yy)).alias("similarity")), similarity=6)
+@query("f29_pair_cosine", f"WITH {V} SELECT a.row_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON b.row_id = a.row_id + 1")
+def f29(spark, d):
+    return rounded(S.pair_cosines(rows(spark, d), next_rows(spark, d)), similarity=6)
 
 
-@query("f30_distances", f"{EUC} SELECT query_id, row_id, round(-score, 4) AS distance FROM s WHERE row_id <> query_id")
+@query("f30_distances", f"{EUC}{TOP} SELECT query_id, row_id, round(-score, 4) AS distance FROM t WHERE rank <= 11 AND row_id <> query_id")
 def f30(spark, d):
-    return euclid(spark, d).filter("row_id <> query_id").select("query_id", "row_id", F.round(-F.col("score"), 4).alias("distance"))
+    return nearest(spark, d, "euclidean", 11).filter("row_id <> query_id").select("query_id", "row_id", F.round(-F.col("score"), 4).alias("distance"))
 
 
-@query("f31_sparse_algebra", f"WITH {V} SELECT 'f' || (i - 1) AS feature, round(a.e[i] + 2 * b.e[i], 6) AS value FROM v a, v b, range(1, 65) t(i) WHERE a.row_id = 3 AND b.row_id = 8")
-def f31(spark, d):
-    r = rows(spark, d).filter("row_id IN (3, 8)").withColumn("value", F.expr("if(row_id = 8, 2, 1) * value"))
-    return r.groupBy("feature").agg(F.round(F.sum("value"), 6).alias("value"))
+@query("f30_cosine_distance", f"WITH {V} SELECT a.row_id, round(1 - list_cosine_similarity(a.e, b.e), 6) AS distance FROM v a JOIN v b ON b.row_id = a.row_id + 1")
+def f30b(spark, d):
+    pairs = S.pair_cosines(rows(spark, d), next_rows(spark, d))
+    return rounded(pairs.select("row_id", S.cosine_distance(F.col("similarity")).alias("distance")), distance=6)
 
 
-@query("f31_sparse_algebra_pairs", f"WITH {V} SELECT a.row_id, 'f' || (i - 1) AS feature, round(a.e[i] + 2 * b.e[i], 6) AS value FROM v a JOIN v b ON b.row_id = a.row_id + 1, range(1, 65) t(i)")
-def f31b(spark, d):
-    return with_next(spark, d).select("row_id", "feature", F.round(F.col("x") + 2 * F.col("y"), 6).alias("value"))
+@query("f31_sparse_algebra", f"WITH {V} SELECT a.row_id, 'f' || (i - 1) AS feature, round(a.e[i] + 2 * b.e[i], 6) AS value FROM v a JOIN v b ON b.row_id = a.row_id + 1, range(1, 65) t(i) WHERE a.e[i] + 2 * b.e[i] <> 0")
+def f31(spark, d):
+    r = rows(spark, d)
+    last = r.agg(F.max("row_id")).first()[0]
+    return rounded(S.combine(r.filter(F.col("row_id") < last), next_rows(spark, d).filter("row_id >= 0"), 1.0, 2.0), value=6)
 
 
 @query("k02_cosine_top_k", f"{COS}{TOP} SELECT query_id, row_id, rank, round(score, 6) AS score FROM t WHERE rank <= 10")
 def k02(spark, d):
-    return rounded(S.top_k(cosine(spark, d), 10).select("query_id", "row_id", F.col("rank").cast("long").alias("rank"), "score"), score=6)
+    return rounded(nearest(spark, d, "cosine", 10).select("query_id", "row_id", F.col("rank").cast("long").alias("rank"), "score"), score=6)
+
+
+@query("j02_sparse_cosine", f"{COS}{TOP} SELECT query_id, row_id, round(score, 6) AS score FROM t WHERE rank <= 10")
+def j02(spark, d):
+    """The same by the inverted index: a join on the feature, for sparse rows."""
+    return rounded(S.top_k(S.cosine_scores(rows(spark, d), asked(spark, d)), 10).select("query_id", "row_id", "score"), score=6)
 
 
 @query("k03_euclid_top_k", f"{EUC}{TOP} SELECT query_id, row_id, rank FROM t WHERE rank <= 10")
 def k03(spark, d):
-    return S.top_k(euclid(spark, d), 10).select("query_id", "row_id", F.col("rank").cast("long").alias("rank"))
+    return nearest(spark, d, "euclidean", 10).select("query_id", "row_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("k04_euclid_ignore_orthogonal", f"{EUC}{TOP} SELECT query_id, row_id, round(score, 4) AS score FROM t WHERE rank <= 5 AND row_id <> query_id")
 def k04(spark, d):
-    return rounded(S.top_k(S.euclidean_scores(rows(spark, d), asked(spark, d), True), 5).filter("row_id <> query_id").select("query_id", "row_id", "score"), score=4)
+    return rounded(nearest(spark, d, "euclidean", 5, ignore_orthogonal=True).filter("row_id <> query_id").select("query_id", "row_id", "score"), score=4)
 
 
 @query("k09_similar_rate", f"{COS}{TOP} SELECT query_id, row_id FROM t WHERE rank <= ceil((SELECT count(*) FROM embeddings) * 0.03)")
 def k09(spark, d):
-    return S.top_rate(cosine(spark, d), 0.03, table(spark, d, "embeddings").count()).select("query_id", "row_id")
+    return nearest(spark, d, "cosine", S.rate_k(0.03, table(spark, d, "embeddings").count())).select("query_id", "row_id")
 
 
 @query("p10_similar_score", f"{COS} SELECT query_id, row_id FROM s WHERE score >= 0.25")
 def p10(spark, d):
-    return S.at_least(cosine(spark, d), 0.25).select("query_id", "row_id")
+    return nearest(spark, d, "cosine", None, least=0.25).select("query_id", "row_id")
+
+
+def recommender(spark, d, name):
+    """A recommender that holds the embeddings, with features f0 to f63."""
+    held = services.Recommender(spark, scratch(spark, name))
+    held.update_row(rows(spark, d).withColumn("feature", F.concat("feature", F.lit("@num"))))
+    return held
 
 
-@query("p12_all_rows", "SELECT vec_id AS row_id FROM embeddings")
+@query("p12_all_rows", "SELECT vec_id::VARCHAR AS row_id FROM embeddings")
 def p12(spark, d):
-    return table(spark, d, "embeddings").selectExpr("vec_id AS row_id")
+    return recommender(spark, d, "p12").get_all_rows()
 
 
-@query("p13_decode_row", "SELECT 'f' || (i - 1) AS feature, round(embedding[i]::DOUBLE, 6) AS value FROM embeddings, range(1, 65) t(i) WHERE vec_id = 5")
+@query("p13_decode_row", "SELECT vec_id::VARCHAR AS row_id, 'f' || (i - 1) AS key, round(embedding[i]::DOUBLE, 6) AS num_value FROM embeddings, range(1, 65) t(i)")
 def p13(spark, d):
-    return rounded(rows(spark, d).filter("row_id = 5").select("feature", "value"), value=6)
+    held = recommender(spark, d, "p13")
+    return rounded(held.decode_row(held.get_all_rows()).select("row_id", "key", "num_value"), num_value=6)
 
 
-@query("p13_decode_rows", "SELECT vec_id AS row_id, 'f' || (i - 1) AS feature, round(embedding[i]::DOUBLE, 6) AS value FROM embeddings, range(1, 65) t(i)")
-def p13b(spark, d):
-    return rounded(rows(spark, d), value=6)
+@query("r09_clear_row", "SELECT vec_id::VARCHAR AS row_id FROM embeddings WHERE vec_id % 7 <> 0")
+def r09(spark, d):
+    held = recommender(spark, d, "r09")
+    held.clear_row(table(spark, d, "embeddings").filter("vec_id % 7 = 0").selectExpr("vec_id AS row_id"))
+    return held.get_all_rows()
 
 
 @query("a09_complete_row", f"{COS}{TOP}, m AS (SELECT t.query_id, i, avg(v.e[i]) AS value FROM t JOIN v USING (row_id), range(1, 65) g(i) WHERE rank <= 128 GROUP BY ALL) SELECT query_id, 'f' || (i - 1) AS feature, round(value, 5) AS value FROM m")
 def a09(spark, d):
-    return rounded(S.complete(S.top_k(cosine(spark, d), 128), rows(spark, d)), value=5)
+    return rounded(S.complete(nearest(spark, d, "cosine", 128), rows(spark, d)), value=5)
 
 
-def _vote(name, head, scored, kind, distance):
+def _vote(name, head, kind, distance):
     @query(name, f"{head}{TOP}, l AS (SELECT DISTINCT label FROM embeddings), q AS (SELECT DISTINCT query_id FROM t), n AS (SELECT query_id, label, sum(exp(-2 * ({distance}))) AS s FROM t WHERE rank <= 12 GROUP BY ALL) SELECT query_id, label, round(coalesce(s, 0), 5) AS score FROM q CROSS JOIN l LEFT JOIN n USING (query_id, label)")
     def run(spark, d):
         lab = labels(spark, d)
-        return rounded(S.vote(S.top_k(scored(spark, d), 12), lab, lab, 2.0, kind), score=5)
+        return rounded(S.vote(nearest(spark, d, kind, 12), lab, lab, 2.0, kind), score=5)
 
 
-_vote("c09_classify_cosine", COS, cosine, "cosine", "1 - score")
-_vote("c10_classify_euclidean", EUC, euclid, "euclidean", "-score")
+_vote("c09_classify_cosine", COS, "cosine", "1 - score")
+_vote("c10_classify_euclidean", EUC, "euclidean", "-score")
 
 
-def _mean(name, head, scored, kind, weight, sql):
+def _mean(name, head, kind, weight, sql):
     @query(name, f"{head}{TOP}, n AS (SELECT query_id, label::DOUBLE AS y, greatest({'1 - score' if kind == 'cosine' else '-score'}, 0) AS dist FROM t WHERE rank <= 10 AND row_id <> query_id) SELECT query_id, round({sql}, 4) AS estimate FROM n GROUP BY query_id")
     def run(spark, d):
-        near = S.top_k(scored(spark, d), 10).filter("row_id <> query_id")
+        near = nearest(spark, d, kind, 10).filter("row_id <> query_id")
         return rounded(S.neighbour_mean(near, labels(spark, d).selectExpr("row_id", "cast(label AS double) AS target"), weight, kind), estimate=4)
 
 
-_mean("g09_estimate_cosine", COS, cosine, "cosine", "uniform", "avg(y)")
-_mean("g09_estimate_cosine_distance", COS, cosine, "cosine", "distance", "sum(y / dist) / sum(1 / dist)")
-_mean("g10_estimate_euclidean", EUC, euclid, "euclidean", "uniform", "avg(y)")
+_mean("g09_estimate_cosine", COS, "cosine", "uniform", "avg(y)")
+_mean("g09_estimate_cosine_distance", COS, "cosine", "distance", "sum(y / dist) / sum(1 / dist)")
+_mean("g10_estimate_euclidean", EUC, "euclidean", "uniform", "avg(y)")
 
 SIGN = "g AS (SELECT vec_id AS row_id, list_sum([CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END FOR i IN range(1, 65)])::BIGINT AS ones, embedding AS e FROM embeddings)"
 
@@ -160,36 +174,88 @@ def _hamming(name, ties):
     @query(name, f"WITH {HAM} SELECT query_id, row_id, 1 - ham / 64 AS score FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ham, row_id {ties}) <= 10")
     def run(spark, d):
         s = signs(spark, d)
-        return S.top_k(S.signature_scores(s, s.filter("row_id % 20 = 0")), 10, ties).select("query_id", "row_id", "score")
+        return S.signature_top_k(s, s.filter("row_id % 20 = 0"), 10, ties=ties).select("query_id", "row_id", "score")
 
 
 _hamming("k05_hamming_top_k", "asc")
 _hamming("k06_bit_index_top_k", "desc")
 
 
-@query("k07_euclid_lsh_score", f"WITH {HAM} SELECT query_id, row_id, round(-CASE WHEN ham = 0 THEN abs(a - b) ELSE sqrt(greatest(0, a * a + b * b - 2 * a * b * cos(pi() * ham / 64))) END, 5) AS score FROM h")
+ANGLE = "-CASE WHEN ham = 0 THEN abs(a - b) ELSE sqrt(greatest(0, a * a + b * b - 2 * a * b * cos(pi() * ham / 64))) END"
+
+
+@query("k07_euclid_lsh_top_k", f"WITH {HAM} SELECT query_id, row_id, round({ANGLE}, 5) AS score FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {ANGLE} DESC, row_id DESC) <= 10")
 def k07(spark, d):
     s = signs(spark, d)
-    return rounded(S.signature_scores(s, s.filter("row_id % 20 = 0"), euclid=True), score=5)
+    return rounded(S.signature_top_k(s, s.filter("row_id % 20 = 0"), 10, euclid=True).select("query_id", "row_id", "score"), score=5)
 
 
 def _hashed(name, make, euclid_score=False):
     @query(name)
     def run(spark, d):
         s = make(rows(spark, d).withColumn("value", F.abs("value")) if make is S.minhash_signatures else rows(spark, d))
-        return S.top_k(S.signature_scores(s, s.filter("row_id % 20 = 0"), 64, euclid_score), 10).select("query_id", "row_id", "score")
+        return S.signature_top_k(s, s.filter("row_id % 20 = 0"), 10, 64, euclid_score).select("query_id", "row_id", "score")
 
 
 _hashed("n03_lsh_neighbours", S.lsh_signatures)
 _hashed("n04_minhash_neighbours", S.minhash_signatures)
 _hashed("n05_euclid_lsh_neighbours", S.lsh_signatures, True)
 
+# neighbours by signatures, as the nearest_neighbor methods of the services use them
+SIGNED = f"WITH {HAM}, t AS (SELECT h.*, label, row_number() OVER (PARTITION BY query_id ORDER BY ham, h.row_id) AS rank FROM h JOIN embeddings e ON e.vec_id = h.row_id)"
+
+
+def by_signature(spark, d, k):
+    s = signs(spark, d)
+    return S.signature_top_k(s, s.filter("row_id % 20 = 0"), k, ties="asc")
+
+
+@query("c08_classify_by_signature", f"{SIGNED}, l AS (SELECT DISTINCT label FROM embeddings), q AS (SELECT DISTINCT query_id FROM t), n AS (SELECT query_id, label, sum(exp(-2 * ham / 64)) AS s FROM t WHERE rank <= 12 GROUP BY ALL) SELECT query_id, label, round(coalesce(s, 0), 5) AS score FROM q CROSS JOIN l LEFT JOIN n USING (query_id, label)")
+def c08(spark, d):
+    lab = labels(spark, d)
+    return rounded(S.vote(by_signature(spark, d, 12), lab, lab, 2.0, "cosine"), score=5)
+
+
+@query("g08_estimate_by_signature", f"{SIGNED} SELECT query_id, round(avg(label::DOUBLE), 4) AS estimate FROM t WHERE rank <= 10 GROUP BY query_id")
+def g08(spark, d):
+    return rounded(S.neighbour_mean(by_signature(spark, d, 10), labels(spark, d).selectExpr("row_id", "cast(label AS double) AS target")), estimate=4)
+
+
+@query("r07_complete_by_signature", f"{SIGNED} SELECT query_id, 'f' || (i - 1) AS feature, round(avg(e.embedding[i]::DOUBLE), 5) AS value FROM t JOIN embeddings e ON e.vec_id = t.row_id, range(1, 65) g(i) WHERE rank <= 128 GROUP BY ALL")
+def r07(spark, d):
+    return rounded(S.complete(by_signature(spark, d, 128), rows(spark, d)), value=5)
+
+
+SIGNED_PAIRS = "WITH d AS (SELECT q.vec_id AS row_id, r.vec_id AS nb, list_sum(list_transform(range(1, 65), lambda i: ((q.embedding[i] > 0) <> (r.embedding[i] > 0))::INT)) / 64 AS dist FROM embeddings q, embeddings r)"
+STORED = """, w AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, nb) AS k FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, nb) AS k FROM d WHERE nb <> row_id),
+  kd AS (SELECT row_id, max(dist) AS kdist FROM w WHERE k <= 10 GROUP BY 1), lr AS (SELECT w.row_id, count(*) / sum(greatest(dist, kdist)) AS lrd FROM w JOIN kd ON kd.row_id = nb WHERE k <= 10 GROUP BY 1),
+  own AS (SELECT o.row_id, count(*) / sum(greatest(dist, kdist)) AS lrd FROM o JOIN kd ON kd.row_id = nb WHERE k <= 10 GROUP BY 1)
+  SELECT o.row_id, round(avg(lr.lrd) / any_value(own.lrd), 4) AS lof FROM o JOIN lr ON lr.row_id = nb JOIN own ON own.row_id = o.row_id WHERE k <= 10 GROUP BY 1"""
+
+
+def with_itself(spark, d, pairs):
+    """Each row is its own neighbour too, which counts for its k-distance."""
+    return pairs.select("row_id", "neighbour", "distance").unionByName(labels(spark, d).select("row_id", F.col("row_id").alias("neighbour"), F.lit(0.0).alias("distance")))
+
+
+@query("l07_outliers_by_signature", SIGNED_PAIRS + STORED)
+def l07(spark, d):
+    s = signs(spark, d)
+    near = S.signature_top_k(s, s, 11, ties="asc", others_only=True)
+    pairs = near.select(F.col("query_id").alias("row_id"), F.col("row_id").alias("neighbour"), (1 - F.col("score")).alias("distance"))
+    return rounded(anomaly.stored_scores(with_itself(spark, d, pairs), 10), lof=4)
+
+
+@query("l02_stored_scores", f"WITH {V}, d AS (SELECT a.row_id, b.row_id AS nb, CASE WHEN a.row_id = b.row_id THEN 0 ELSE sqrt(greatest(0, list_dot_product(a.e, a.e) + list_dot_product(b.e, b.e) - 2 * list_dot_product(a.e, b.e))) END AS dist FROM v a, v b){STORED}")
+def l02(spark, d):
+    return rounded(anomaly.stored_scores(with_itself(spark, d, S.nearest_of_all(dense(spark, d), 11)), 10), lof=4)
+
+
 NEAR = f"WITH {V}, d AS (SELECT a.row_id, b.row_id AS nb, sqrt(greatest(0, list_dot_product(a.e, a.e) + list_dot_product(b.e, b.e) - 2 * list_dot_product(a.e, b.e))) AS dist FROM v a, v b WHERE a.row_id <> b.row_id AND a.row_id < 200 AND b.row_id < 200), n AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, nb) AS k FROM d), kd AS (SELECT row_id, max(dist) AS kdist FROM n WHERE k <= 10 GROUP BY 1), lr AS (SELECT n.row_id, count(*) / sum(greatest(dist, kdist)) AS lrd FROM n JOIN kd ON kd.row_id = nb WHERE k <= 10 GROUP BY 1)"
 
 
 def _lof(spark, d):
-    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"))
-    pairs = S.nearest_of_all(points, 10)
+    pairs = S.nearest_of_all(dense(spark, d), 10)
     kd = anomaly.k_distance(pairs, 10)
     return pairs, kd, anomaly.local_density(pairs, kd, 10)
 
@@ -209,17 +275,17 @@ def l01(spark, d):
     return rounded(anomaly.scores(pairs.withColumnRenamed("row_id", "query_id"), kd, lrd, 10), lof=4)
 
 
-@query("l05_same_points", "SELECT l_quantity, l_discount, l_tax, count(*) AS n, count(*) - least(count(*), 5) AS ignored FROM lineitem GROUP BY ALL HAVING count(*) > 5")
+@query("l05_same_points", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) WHERE n <= 4")
 def l05(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_quantity", "l_discount", "l_tax").agg(F.count("*").alias("n")).withColumn("ignored", F.col("n") - F.least("n", F.lit(5))).filter("n > 5")
+    """Points come twice, one half of them first; of a point's rows k - 1 are taken, the stored ones counted."""
+    rows_ = table(spark, d, "events").select("event_id", F.array(F.col("user_id").cast("double"), F.crc32(F.col("event_type").cast("binary")).cast("double")).alias("x"))
+    middle = rows_.agg(F.max("event_id")).first()[0] // 2
+    first = anomaly.without_kth_same(rows_.limit(0), rows_.filter(F.col("event_id") <= middle), 5, order="event_id")
+    return first.unionByName(anomaly.without_kth_same(first, rows_.filter(F.col("event_id") > middle), 5, order="event_id")).select("event_id")
 
 
-@query("a13_max_int_id", "SELECT max(try_cast(regexp_replace(c_name, '[^0-9]', '', 'g') AS BIGINT)) AS id FROM customer")
+@query("a13_max_int_id", "SELECT max(try_cast(regexp_replace(c_name, '[^0-9]', '', 'g') AS BIGINT)) AS id FROM customer WHERE c_custkey % 2 = 0")
 def a13(spark, d):
-    return table(spark, d, "customer").agg(F.expr("max(try_cast(regexp_replace(c_name, '[^0-9]', '') AS bigint))").alias("id"))
-
-
-@query("r09_clear_row", "SELECT vec_id AS row_id FROM embeddings WHERE vec_id % 7 <> 0")
-def r09(spark, d):
-    e = table(spark, d, "embeddings").selectExpr("vec_id AS row_id")
-    return e.join(e.filter("row_id % 7 = 0"), "row_id", "left_anti")
+    """Of half the names only the digits are left; the others are no numbers."""
+    names = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.regexp_replace("c_name", "[^0-9]", "")).otherwise(F.col("c_name")).alias("id"))
+    return S.largest_int_id(names, "id")

@@ -160,7 +160,7 @@ def test_codes_and_settings(spark):
 def test_bucket_neighbours_recall(spark, sf):
     from fluxloom.queries import lifecycle, similarity
 
-    exact = S.top_k(similarity.euclid(spark, sf), 10).select("query_id", "row_id")
+    exact = similarity.nearest(spark, sf, "euclidean", 10).select("query_id", "row_id")
     got = lifecycle.k08(spark, sf)
     assert got.groupBy("query_id").count().filter("count <> 10").isEmpty()
     assert got.join(exact, ["query_id", "row_id"]).count() >= 0.9 * exact.count()

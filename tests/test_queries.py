@@ -9,7 +9,8 @@ QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equal_to_sql(against_sql, name):
-    against_sql(QUERIES[name], SQL[name])
+    # all texts have one key, so the mean length that bm25 joins is one row
+    against_sql(QUERIES[name], SQL[name], one_row=name.startswith("f17"))
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))

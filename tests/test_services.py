@@ -120,7 +120,8 @@ def test_graph_bandit_weight(spark, tmp_path):
     g.update_index()
     g.update_index()
     assert sum(r.score for r in g.get_centrality({}, {}).collect()) == pytest.approx(4)
-    assert g.get_shortest_path(1, 4, 3, {}, {}) == [1, 2, 3, 4] and g.get_shortest_path(1, 4, 2, {}, {}) == []
+    assert g.get_shortest_path(1, 4, 3, {}, {}) == [1, 2, 3, 4] and g.get_shortest_path(1, 4, 2, {}, {}) == [1, 2, 3]
+    assert g.get_shortest_path(1, 4, 3, {}, {}, exact=True) == [1, 2, 3, 4] and g.get_shortest_path(1, 4, 2, {}, {}, exact=True) == [] == g.get_shortest_path(4, 1, 3, {}, {})
     players = spark.createDataFrame([("p",), ("q",)], "player string")
     for method in ("epsilon_greedy", "epsilon_decreasing", "ucb1", "softmax", "exp3", "ts"):
         s = V.Bandit(spark, f"{tmp_path}/{method}", method)
