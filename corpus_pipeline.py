@@ -21,7 +21,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of documents whose fingerprints are linked, and of these one of each group of similar texts."""
+    """One of each group of documents whose fingerprints are linked, and of these one of each group of texts with a five-word
+    similarity of 0.8 or more, which fingerprints within 2 bits do not tell (README)."""
     return similar.one_of_each(simhash.one_of_each(docs))
 
 
@@ -47,9 +48,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents, each written and read again."""
+    """All stages over the table documents, each written and read again.
+
+    Null texts are empty texts to all stages and stay null; null ids come last where a smallest id stays and first where
+    the largest does; repeated rows are copies; columns of documents and any further ones, whatever their names, stay until
+    the last stage. An empty table gives no rows.
+    """
     ws = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = ws.save(stage(spark, docs, sf_dir), name)
+        if before:
+            ws.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
