@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple[str, ...] = ("stat", "features", "similarity", "models", "lifecycle")
+MODULES: tuple[str, ...] = ("stat", "features", "similarity", "models", "folds", "lifecycle", "numbers")
 
 
 class Registry:

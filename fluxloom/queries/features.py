@@ -246,6 +246,15 @@ def f26(spark, d):
     return rounded(made.groupBy("row_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")), total=4)
 
 
+@query("f00_converter", "SELECT count(*) AS n, sum(value)::BIGINT AS total FROM (SELECT row_id, k, g, 1 AS value FROM (SELECT i AS row_id, j AS k, unnest([substr(t, p, 3) FOR p IN range(1, 99)]) AS g FROM (SELECT i, j, substr(repeat(md5(i || '-' || j), 4), 1, 100) AS t FROM range(1000) a(i), range(100) b(j))) GROUP BY ALL)")
+def f00(spark, d):
+    """1,000 records of 100 keys with 100 characters each, as trigrams: a converter's throughput."""
+    held = spark.range(1000).selectExpr("id AS i", "explode(sequence(0L, 99L)) AS j")
+    rows = held.select(F.col("i").alias("row_id"), F.concat(F.lit("k"), "j").alias("key"), F.expr("substring(repeat(md5(cast(concat(i, '-', j) AS binary)), 4), 1, 100)").alias("value"))
+    made = X.Converter([X.StringRule("3", "ngram", "bin", "bin", options={"char_num": 3})]).convert(rows)
+    return made.agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("total"))
+
+
 @query("d03_sort_and_merge", "SELECT o_custkey AS row_id, o_orderpriority AS feature, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL")
 def d03(spark, d):
     return rounded(X.merge(table(spark, d, "orders").selectExpr("o_custkey AS row_id", "o_orderpriority AS feature", "o_totalprice AS value")), value=2)

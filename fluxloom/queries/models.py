@@ -299,20 +299,15 @@ def _learner(name, method, shards=1):
         return learners.train(quality_rows(spark, d), lambda: learners.Classifier(method), shards)
 
 
-for _k, _m in enumerate(learners.CLASSIFIERS, 1):
-    _learner(f"c0{_k}_train_{_m.lower()}", _m)
+_learner("c06_train_arow_documents", "AROW")
 _learner("t02_train_mixed", "AROW", 4)
 
 
-def _regression(name, method):
-    @query(name)
-    def run(spark, d):
-        rows = table(spark, d, "part").select(F.col("p_partkey").alias("seq"), (F.col("p_retailprice") / 1000).alias("target"), F.create_map(F.lit("size"), F.col("p_size") / 50, F.lit("bias"), F.lit(1.0)).alias("features"))
-        return learners.train(rows, lambda: learners.Regression(method))
-
+@query("g02_train_pa_parts")
+def g02(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("seq"), (F.col("p_retailprice") / 1000).alias("target"), F.create_map(F.lit("size"), F.col("p_size") / 50, F.lit("bias"), F.lit(1.0)).alias("features"))
+    return learners.train(rows, lambda: learners.Regression("PA"))
 
-for _k, _m in enumerate(("perceptron", "PA", "PA1", "PA2", "CW", "AROW", "NHERD"), 1):
-    _regression(f"g0{_k}_train_{_m.lower()}", _m)
 
 MODEL = "m AS (SELECT 'f' || i AS feature, j::VARCHAR AS label, (((i * 7 + j * 3) % 11) - 5)::DOUBLE AS v1 FROM range(64) a(i), range(3) b(j) WHERE (i + j) % 2 = 0)"
 

@@ -68,7 +68,7 @@ class Service:
     def update_statistics(self, strings: DataFrame | None = None, nums: DataFrame | None = None, binaries: DataFrame | None = None) -> None:
         """Counts records: how many, how many have each feature, and the lengths of groups."""
         parts = [f for _, f in self.converter.unweighted(strings, nums, binaries)]
-        every = reduce(DataFrame.unionByName, [f.select("row_id", "feature", "value", "group_key") for f in parts])
+        every = cut(reduce(DataFrame.unionByName, [f.select("row_id", "feature", "value", "group_key") for f in parts]))
         self.put("frequencies", state.add_up(self.get("frequencies").unionByName(X.document_frequency(every)), ["feature"], ["df"]))
         self.put("groups", state.add_up(self.get("groups").unionByName(X.group_lengths(every)), ["group_key"], ["freq", "total"]))
         counted = X.record_ids(strings, nums, binaries).agg(F.count("*").alias("n"))

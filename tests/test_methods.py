@@ -293,3 +293,21 @@ def test_versioned_rows_and_json(spark):
 
     assert json.loads(j.select(state.merge_json(F.col("p"), F.col("q"))).first()[0]) == {"a": "x", "b": {"c": [1, 2]}, "d": None}
     assert state.load_model and X.record_ids(t.select(F.col("key").alias("row_id")), None).count() == 3
+
+
+def test_numbers(spark):
+    from fluxloom.functions import numbers as N
+
+    one = lambda column: spark.range(1).select(column.alias("x")).first()[0]
+    half, third = N.ratio(F.lit(3), F.lit(-6)), N.ratio(F.lit(4), F.lit(12))
+    assert tuple(one(half)) == (-1, 2) and tuple(one(N.ratio_add(half, third))) == (-1, 6) and tuple(one(N.ratio_multiply(half, third))) == (-1, 6) and one(N.ratio(F.lit(1), F.lit(0))) is None
+    x, y = F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(2.0), F.lit(0.0))
+    assert one(N.cross(x, y)) == [0, 0, 2] and one(N.dot(x, y)) == 0 and one(N.length(y)) == 2 and one(N.scaled(y, 0.5)) == [0, 1, 0]
+    ids = spark.range(4000)
+    draws = ids.select(N.uniform(F.col("id"), 1).alias("u"), N.gaussian(F.col("id"), 2).alias("g"), N.drawn("gamma", 3.0)(F.col("id")).alias("m"), N.drawn("beta", 2.0, 2.0)(F.col("id")).alias("b"))
+    mean = draws.agg(*[F.avg(c) for c in "ugmb"], F.stddev("g")).first()
+    assert list(mean) == [pytest.approx(v, abs=0.15) for v in (0.5, 0, 3, 0.5, 1)]
+    assert N.sample(ids, 50, "id", 1).collect() == N.sample(ids.repartition(7), 50, "id", 1).collect() != N.sample(ids, 50, "id", 2).collect()
+    again = N.sample_again(ids.limit(3), 60, "id", 1)
+    assert again.count() == 60 and again.select("id").distinct().count() == 3
+    assert tuple(one(N.calendar(F.lit(86399)))) == (1970, 1, 1, 23, 59, 59)
