@@ -84,6 +84,37 @@ def suffix_array(texts: pd.Series) -> pd.Series:
     return pd.Series([build(t or "") for t in texts])
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def inverse_suffix_array(suffixes: pd.Series) -> pd.Series:
+    """The place of each suffix in their order."""
+    return pd.Series([np.argsort(np.asarray(s, int), kind="stable").tolist() for s in suffixes])
+
+
+def range_minimum(values: Column, first: Column | int, last: Column | int) -> Column:
+    """The place (from 0) of the least of the values from ``first`` to ``last``, the first of equal ones."""
+    first, last = (F.lit(x) if isinstance(x, int) else x for x in (first, last))
+    part = F.slice(values, first + 1, last - first + 1)
+    return first + F.array_position(part, F.array_min(part)).cast("int") - 1
+
+
+@F.pandas_udf("array<struct<re:double,im:double>>")
+def fft(x: pd.Series) -> pd.Series:
+    """The transform of arrays of real numbers."""
+    return pd.Series([[(float(c.real), float(c.imag)) for c in np.fft.fft(np.asarray(v, float))] for v in x])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def inverse_fft(x: pd.Series) -> pd.Series:
+    """The real part of the inverse transform."""
+    return pd.Series([np.fft.ifft(np.array([c["re"] + 1j * c["im"] for c in v])).real.tolist() for v in x])
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def fft2_magnitude(x: pd.Series) -> pd.Series:
+    """Magnitudes of the two-dimensional transform of arrays of rows."""
+    return pd.Series([np.abs(np.fft.fft2(np.stack([np.asarray(r, float) for r in v]))).tolist() for v in x])
+
+
 def contains_at(text: Column, pattern: str) -> Column:
     """0-based place of the first occurrence, -1 if none."""
     return F.instr(text, pattern) - 1
@@ -95,6 +126,16 @@ def gamma_code(n: Column) -> Column:
     return F.when(n >= 1, F.concat(F.repeat(F.lit("0"), F.length(b) - 1), b))
 
 
+def word_code(n: Column, length: int) -> Column:
+    """The ``length`` lowest bits of a number, the lowest first, as a string of 0 and 1."""
+    return F.reverse(F.lpad(F.substring(F.bin(n), -length, length), length, "0"))
+
+
+def byte_code(n: Column) -> Column:
+    """One byte as eight bits, the lowest first."""
+    return word_code(n.bitwiseAND(255), 8)
+
+
 def delta_code(n: Column) -> Column:
     """Elias' delta code of n >= 1: the gamma code of the length, then the bits below the leading one."""
     b = F.bin(n)

@@ -135,12 +135,13 @@ def create_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFram
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, node_query: dict[str, str] | None = None, edge_query: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges with the wanted properties, edges between such nodes only."""
+    """Nodes and edges with the wanted properties, edges between such nodes only; a node that is not in the table counts as
+    one with them."""
     held = nodes.filter(has_properties(F.col("props"), node_query)) if node_query else nodes
     kept = edges.filter(has_properties(F.col("props"), edge_query)) if edge_query else edges
     if node_query:
-        ids = held.select("id")
-        kept = kept.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
+        other = nodes.filter(~has_properties(F.col("props"), node_query)).select("id")
+        kept = kept.join(other, F.col("src") == F.col("id"), "left_anti").join(other, F.col("dst") == F.col("id"), "left_anti")
     return held, kept
 
 

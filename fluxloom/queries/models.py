@@ -53,11 +53,18 @@ def s10(spark, d):
     return spark.createDataFrame(sorted(held.get_status().items()), "key string, value string")
 
 
-@query("s13_html_encode", "SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS h FROM pages")
+@query("s13_html_encode", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#039;')) AS h FROM pages")
 def s13(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(records.html_encode(F.col("html"))).alias("h"))
 
 
+@query("s13_element", "SELECT n_nationkey, '<li class=\"n' || n_regionkey || '\"><b>' || n_name || '</b><br /></li>' AS markup FROM nation")
+def s13b(spark, d):
+    inner = records.html_element("b", {}, records.html_encode(F.col("n_name")))
+    item = records.html_element("li", {"class": F.concat(F.lit("n"), F.col("n_regionkey").cast("string"))}, inner, records.html_element("br", {}))
+    return table(spark, d, "nation").select("n_nationkey", item.alias("markup"))
+
+
 @query("s14_table_upsert", "SELECT o_custkey AS key, max(o_orderkey) AS clock, arg_max(o_totalprice, o_orderkey) AS value FROM orders GROUP BY o_custkey")
 def s14(spark, d):
     return state.latest(table(spark, d, "orders").selectExpr("o_custkey AS key", "o_orderkey AS clock", "o_totalprice AS value"), "key", "clock")

@@ -116,6 +116,16 @@ def csv_fields(line: Column, n: int) -> Column:
 
 
 def html_encode(text: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
+
+
+def html_element(name: str, attributes: dict[str, Column], *children: Column) -> Column:
+    """Markup of one element: attributes in order of their names, empty ones without a value; an element without children
+    closes itself. Children are markup: other elements, or encoded text."""
+    encoded = html_encode(F.lit(name))
+    given = [F.concat(F.lit(" "), html_encode(F.lit(k)), F.when(v == "", "").otherwise(F.concat(F.lit('="'), html_encode(v), F.lit('"')))) for k, v in sorted(attributes.items())]
+    if not children:
+        return F.concat(F.lit("<"), encoded, *given, F.lit(" />"))
+    return F.concat(F.lit("<"), encoded, *given, F.lit(">"), *children, F.lit("</"), encoded, F.lit(">"))

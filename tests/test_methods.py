@@ -311,3 +311,22 @@ def test_numbers(spark):
     again = N.sample_again(ids.limit(3), 60, "id", 1)
     assert again.count() == 60 and again.select("id").distinct().count() == 3
     assert tuple(one(N.calendar(F.lit(86399)))) == (1970, 1, 1, 23, 59, 59)
+
+
+def test_codes_transforms_and_markup(spark):
+    from fluxloom.functions import strings
+    from fluxloom.sources import records
+
+    one = lambda column: spark.range(1).select(column.alias("x")).first()[0]
+    assert one(strings.word_code(F.lit(6), 4)) == "0110" and one(strings.byte_code(F.lit(1))) == "10000000" and one(strings.word_code(F.lit(255), 4)) == "1111"
+    t = spark.createDataFrame([("banana",)], "t string").withColumn("s", strings.suffix_array("t"))
+    r = t.select("s", strings.inverse_suffix_array("s").alias("i")).first()
+    assert [r.s[k] for k in r.i] == list(range(6))
+    assert one(strings.range_minimum(F.array(*map(F.lit, [3, 1, 2, 1])), 1, 3)) == 1 and one(strings.range_minimum(F.array(*map(F.lit, [3, 1, 2, 1])), 2, 3)) == 3
+    x = spark.createDataFrame([([1.0, 2.0, 0.5, -1.0], [[1.0, 0.0], [0.0, 1.0]])], "x array<double>, y array<array<double>>")
+    back = x.select("x", strings.inverse_fft(strings.fft("x")).alias("b"), strings.fft2_magnitude("y").alias("m")).first()
+    assert back.b == pytest.approx(back.x) and np.array(back.m) == pytest.approx(np.abs(np.fft.fft2(np.eye(2))))
+    assert one(records.html_element("a", {"href": F.lit("x'y"), "b": F.lit("")}, records.html_encode(F.lit("<&")))) == '<a b href="x&#039;y">&lt;&amp;</a>'
+    nodes = spark.createDataFrame([(1, {"a": "x"}), (2, {"a": "y"})], "id long, props map<string,string>")
+    edges = spark.createDataFrame([(1, 9, {}), (1, 2, {}), (9, 8, {})], "src long, dst long, props map<string,string>")
+    assert sorted((r.src, r.dst) for r in graph.subgraph(nodes, edges, {"a": "x"})[1].collect()) == [(1, 9), (9, 8)]
