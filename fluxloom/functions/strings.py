@@ -97,16 +97,16 @@ def range_minimum(values: Column, first: Column | int, last: Column | int) -> Co
     return first + F.array_position(part, F.array_min(part)).cast("int") - 1
 
 
-@F.pandas_udf("array<struct<re:double,im:double>>")
+@F.pandas_udf("array<array<double>>")
 def fft(x: pd.Series) -> pd.Series:
-    """The transform of arrays of real numbers."""
-    return pd.Series([[(float(c.real), float(c.imag)) for c in np.fft.fft(np.asarray(v, float))] for v in x])
+    """The transform of arrays of real numbers, as pairs of a real and an imaginary part."""
+    return pd.Series([[[float(c.real), float(c.imag)] for c in np.fft.fft(np.asarray(v, float))] for v in x])
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def inverse_fft(x: pd.Series) -> pd.Series:
     """The real part of the inverse transform."""
-    return pd.Series([np.fft.ifft(np.array([c["re"] + 1j * c["im"] for c in v])).real.tolist() for v in x])
+    return pd.Series([np.fft.ifft(np.array([c[0] + 1j * c[1] for c in v])).real.tolist() for v in x])
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
