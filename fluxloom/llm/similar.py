@@ -2,8 +2,8 @@
 
 Rows that share a band's values share a bucket. First each row is compared with its buckets' first rows, which joins the
 copies of one text without pairing them with each other. Buckets that are not of one component then are gone through
-again: each row outside the first row's component is compared with all rows of the bucket, in cells of at most HOMES such
-rows, through which the bucket's rows stream. Sketches pick the pairs, exact sets decide, and a pair that is joined already
+again: each row outside the first row's component is compared with all rows of the bucket, in cells of at most about HOMES
+such rows and COPIES of the bucket's, each a task's work of its own. Sketches pick the pairs, exact sets decide, and a pair that is joined already
 is skipped. So no pair of a bucket is left out, whatever the bucket's size; two rows of similarity 0.8 share no bucket with
 a probability of 0.001, and their sketches differ too much with one of 0.0003.
 """
@@ -22,8 +22,8 @@ from fluxloom.llm.simhash import SEED, components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, VALUES = 14, 4
-#: Rows of a bucket that one cell holds while all of the bucket stream by.
-HOMES = 512
+#: Rows of a bucket that one cell holds, and rows that stream by.
+HOMES, COPIES = 512, 4096
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * VALUES)).astype(np.uint64)
 
 
@@ -91,9 +91,9 @@ def _sets(words: int):
 
 
 class _Cell:
-    """The homes of one bucket's part, and the components that are known in it."""
+    """The homes of one cell, and the components that are known in it."""
 
-    def __init__(self, key: tuple | None = None):
+    def __init__(self, key: list | None = None):
         self.key, self.row, self.root, self.sketch, self.hashes, self.over = key, [], [], [], [], {}
 
     def top(self, root: int) -> int:
@@ -103,7 +103,7 @@ class _Cell:
 
 
 def _cells(similarity: float):
-    """Over batches sorted by bucket and part, homes first: key, part, home, row, root, hashes, sketch."""
+    """Over batches sorted by cell (bucket, part, block), homes first: key, part, block, home, row, root, hashes, sketch."""
     # a count that a pair of this similarity reaches but with a chance of 0.0003
     n = BANDS * VALUES
     enough = similarity * n - 3.6 * np.sqrt(n * similarity * (1 - similarity))
@@ -114,23 +114,24 @@ def _cells(similarity: float):
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             nonlocal cell
             found: list[tuple[int, int]] = []
-            keys, parts, homes, rows, roots = (batch.column(k).to_pylist() for k in range(5))
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+            rows, roots = (batch.column(k).to_pylist() for k in (4, 5))
             at = 0
             while at < len(keys):
                 end = at + 1
-                while end < len(keys) and keys[end] == keys[at] and parts[end] == parts[at] and end - at < 256:
+                while end < len(keys) and keys[end] == keys[at] and end - at < 256:
                     end += 1
-                if cell.key != (keys[at], parts[at]):
-                    cell = _Cell((keys[at], parts[at]))
-                hashes = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(5).slice(at, end - at)]
-                sketches = np.array([np.frombuffer(x.as_py(), np.uint16) for x in batch.column(6).slice(at, end - at)])
-                for k in range(at, end):
-                    if homes[k]:
-                        cell.row.append(rows[k])
-                        cell.root.append(roots[k])
-                        cell.sketch.append(sketches[k - at])
-                        cell.hashes.append(hashes[k - at])
-                if cell.row:
+                *name, home = keys[at]
+                if cell.key != name:
+                    cell = _Cell(name)
+                hashes = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(6).slice(at, end - at)]
+                sketches = np.array([np.frombuffer(x.as_py(), np.uint16) for x in batch.column(7).slice(at, end - at)])
+                if home:
+                    cell.row += rows[at:end]
+                    cell.root += roots[at:end]
+                    cell.sketch += list(sketches)
+                    cell.hashes += hashes
+                elif cell.row:
                     held = np.array(cell.sketch)
                     agree = np.zeros((len(held), end - at), np.uint8)
                     for j in range(n):
@@ -156,7 +157,7 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
 
 
-def similar_rows(ws: Workspace, texts: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, homes_held: int = HOMES) -> DataFrame:
+def similar_rows(ws: Workspace, texts: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, homes_held: int = HOMES, copies_held: int = COPIES) -> DataFrame:
     """node, root (the smallest row that it is linked with) of each row but the roots, for texts (row long, text binary)."""
     proposed = ws.save(map_batches(texts, _proposed(words), "key long, row long"), "proposed")
     firsts = ws.save(proposed.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
@@ -177,17 +178,20 @@ def similar_rows(ws: Workspace, texts: DataFrame, words: int = SHINGLE, similari
     if cells.isEmpty():
         return roots
     sets = ws.save(map_batches(texts.join(cells.select("row").distinct(), "row", "left_semi"), _sets(words), "row long, hashes binary, sketch binary"), "sets")
-    many = ws.save(cells.filter("home").groupBy("key").agg(F.ceil(F.count("*") / homes_held).cast("int").alias("parts")), "parts")
-    dealt = cells.join(many, "key").withColumn("own", F.expr("pmod(xxhash64(row), parts)"))
-    dealt = dealt.select("key", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "row", "root", "home", "own")
-    dealt = dealt.select("key", "part", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"), "row", "root").join(sets, "row")
-    dealt = dealt.select("key", "part", "home", "row", "root", "hashes", "sketch").repartition("key", "part").sortWithinPartitions("key", "part", F.desc("home"))
+    many = cells.groupBy("key").agg(F.ceil(F.sum(F.col("home").cast("long")) / homes_held).cast("int").alias("parts"), F.ceil(F.count("*") / copies_held).cast("int").alias("blocks"))
+    dealt = cells.join(ws.save(many, "parts"), "key")
+    own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    homes = dealt.filter("home").select("key", own("parts").alias("part"), every("blocks").alias("block"), F.lit(True).alias("home"), "row", "root")
+    copies = dealt.select("key", every("parts").alias("part"), own("blocks").alias("block"), F.lit(False).alias("home"), "row", "root")
+    dealt = homes.unionByName(copies).join(sets, "row").select("key", "part", "block", "home", "row", "root", "hashes", "sketch")
+    dealt = dealt.repartition("key", "part", "block").sortWithinPartitions("key", "part", "block", F.desc("home"))
     further = ws.save(map_batches(dealt, _cells(similarity), "u long, v long"), "further")
     ws.drop("rooted", "open", "sets", "parts")
     return components(Workspace(ws.spark, "similar-further"), linked.unionByName(further))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float = SIMILARITY, homes_held: int = HOMES) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float = SIMILARITY, homes_held: int = HOMES, copies_held: int = COPIES) -> DataFrame:
     """One row of each component of similar texts, with all its columns, whatever their names: of the smallest id, a null
     id last, and of several with that id the first read.
 

@@ -493,8 +493,8 @@ def test_one_of_each_keeps_namesakes(spark):
     assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]
 
 
-@pytest.mark.parametrize("held", [512, 2])
-def test_similar_rows_lose_no_pair(spark, held):
+@pytest.mark.parametrize(("held", "streamed"), [(512, 4096), (2, 5)])
+def test_similar_rows_lose_no_pair(spark, held, streamed):
     """Crowded buckets of several components: chains of edits of a few texts, whose similarities lie around 0.8."""
     rng, texts = random.Random(12), []
     for _ in range(3):
@@ -507,7 +507,7 @@ def test_similar_rows_lose_no_pair(spark, held):
             if rng.random() < 0.2:
                 base = words
     texts += ["", None, "  ", "one two", "One  two", "x y"]
-    got = similar.similar_rows(common.Workspace(spark, "test"), spark.createDataFrame([(k, (t or "").encode()) for k, t in enumerate(texts)], "row long, text binary").repartition(3), homes_held=held)
+    got = similar.similar_rows(common.Workspace(spark, "test"), spark.createDataFrame([(k, (t or "").encode()) for k, t in enumerate(texts)], "row long, text binary").repartition(3), homes_held=held, copies_held=streamed)
     found = {r.node: r.root for r in got.collect()}
     root = jaccard_components(dict(enumerate(texts)))
     groups = lambda of: sorted(map(sorted, _grouped((k, of(k)) for k in range(len(texts)))))
