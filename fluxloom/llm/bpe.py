@@ -27,6 +27,8 @@ _NUMBER = "0-9²³¹¼½¾"
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 _FAR = re.compile("[^\x00-įı-ſ]")
 CACHED_WORDS = 450_000
+#: Of the encoder that stays in a worker beside other operators' stages.
+CACHED_BESIDE = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -152,7 +154,7 @@ class WordBpe:
 @functools.lru_cache(2)
 def encoder(path: str, by_library: bool = False) -> WordBpe:
     """One per worker process, with its cache of words. ``by_library``: the library merges words not met before."""
-    return WordBpe(path, by_library=by_library)
+    return WordBpe(path, CACHED_BESIDE if by_library else CACHED_WORDS, by_library)
 
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: Rows that a step works on at once where its arrays are larger than what it reads or writes.
+PIECE = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,16 +83,29 @@ def workers_find_us(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with a function built once per task by ``make`` (so that models load once)."""
+def give_back() -> None:
+    """Free memory of this process goes back to the system; Python workers wait for further tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, rows: int | None = None) -> DataFrame:
+    """mapInArrow with a function built once per task by ``make`` (so that models load once). With ``rows`` it gets a
+    batch's rows in order, at most so many at once, and what memory is free at the end goes back."""
     workers_find_us(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            out = step(batch)
-            if out is not None:
-                yield out
+            for at in range(0, max(1, batch.num_rows), rows or max(1, batch.num_rows)):
+                out = step(batch.slice(at, rows) if rows else batch)
+                if out is not None:
+                    yield out
+        if rows:
+            batch = out = step = None
+            give_back()
 
     return df.mapInArrow(run, schema)
 

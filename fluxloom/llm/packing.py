@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fluxloom.llm.bpe import encoder
-from fluxloom.llm.common import Workspace, id_type, map_batches
+from fluxloom.llm.common import PIECE, Workspace, id_type, map_batches
 
 LENGTH = 4096
 GRAIN = 8
@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, length:
         return step
 
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"cast(`{text_col}` AS string) AS text")
-    return map_batches(rows, make, f"doc_id {id_type(rows, 'doc_id')}, start long, length long, ids_crc32 long, doc_tokens long, class long")
+    return map_batches(rows, make, f"doc_id {id_type(rows, 'doc_id')}, start long, length long, ids_crc32 long, doc_tokens long, class long", PIECE)
 
 
 def best_pattern(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[float, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm.common import column, id_type, map_batches
+from fluxloom.llm.common import PIECE, column, id_type, map_batches
 
 MOST_LABELLED = 4000
 SHAPES, WORDS = 256, 512
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return step
 
-    rows = map_batches(joined.select("_doc", "_text", "_label"), make, f"id {id_type(docs, id_col)}, counts binary, label int").collect()
+    rows = map_batches(joined.select("_doc", "_text", "_label"), make, f"id {id_type(docs, id_col)}, counts binary, label int", PIECE).collect()
     rows = sorted(rows, key=lambda r: (str(r[0]), bytes(r[1]), r[2]))
     counts = np.array([np.frombuffer(r[1], np.float32) for r in rows], np.float32).reshape(-1, TERMS)
     return Voter(counts, np.array([r[2] for r in rows], np.float32))
@@ -164,6 +164,6 @@ def score(docs: DataFrame, voter: Voter, id_col: str = "doc_id", text_col: str =
         return step
 
     if keep:
-        return map_batches(docs, make, docs.schema)
+        return map_batches(docs, make, docs.schema, PIECE)
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"cast(`{text_col}` AS string) AS text")
-    return map_batches(rows, make, f"doc_id {id_type(rows, 'doc_id')}, held_out boolean, score double, predicted int")
+    return map_batches(rows, make, f"doc_id {id_type(rows, 'doc_id')}, held_out boolean, score double, predicted int", PIECE)

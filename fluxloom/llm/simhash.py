@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxloom.llm.common import Workspace, column, id_type, map_batches, unused
+from fluxloom.llm.common import PIECE, Workspace, column, id_type, map_batches, unused
 
 SHINGLE = 3
 THRESHOLD = 2
@@ -30,6 +30,8 @@ _BITS, _CHECK = 23, 11
 _GENERATOR = 0b101011100011  # of the Golay code: x^11+x^9+x^7+x^6+x^5+x+1
 #: Homes of one anchor that one task holds at a time.
 HOMES = 4096
+#: Pairs of fingerprints that are looked at in one go; all of a dense block may be links.
+PAIRS = 1 << 18
 
 
 def fingerprint(text: bytes, words: int = SHINGLE) -> int:
@@ -61,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return step
 
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"cast(cast(`{text_col}` AS string) AS binary) AS text")
-    return map_batches(rows, make, f"doc_id {id_type(rows, 'doc_id')}, fp long")
+    return map_batches(rows, make, f"doc_id {id_type(rows, 'doc_id')}, fp long", PIECE)
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -119,7 +121,7 @@ def _anchored(fps: DataFrame, threshold: int, homes_only: bool) -> DataFrame:
 
         return step
 
-    return map_batches(fps.select("fp"), make, "anchor long, fp long, home boolean")
+    return map_batches(fps.select("fp"), make, "anchor long, fp long, home boolean", PIECE)
 
 
 def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -135,20 +137,26 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _spanning(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links, each end with its root."""
+    ends, which = np.unique(np.concatenate([left, right]), return_inverse=True)
+    root = ends[_roots(len(ends), which[: len(left)], which[len(left) :])]
+    return ends[ends != root], root[ends != root]
+
+
 def _forest(homes: np.ndarray, copies: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of other fingerprints within the threshold, as a spanning forest of each block of copies."""
-    out = []
+    out, wide = [], min(1024, max(1, PAIRS // max(1, len(homes))))
     for k in range(0, len(copies), 1024):
-        part = copies[k : k + 1024]
-        h, c = np.nonzero(np.bitwise_count(homes[:, None] ^ part[None, :]) <= threshold)
-        apart = homes[h] != part[c]
-        if apart.any():
-            h, c = h[apart], c[apart]
-            touched, which_h = np.unique(h, return_inverse=True)
-            found, which_c = np.unique(c, return_inverse=True)
-            ends = np.concatenate([homes[touched], part[found]])
-            root = ends[_roots(len(ends), which_h, which_c + len(touched))]
-            out.append((ends[ends != root], root[ends != root]))
+        block = []
+        for j in range(k, min(k + 1024, len(copies)), wide):
+            part = copies[j : min(j + wide, k + 1024)]
+            h, c = np.nonzero(np.bitwise_count(homes[:, None] ^ part[None, :]) <= threshold)
+            apart = homes[h] != part[c]
+            if apart.any():
+                block.append(_spanning(homes[h[apart]], part[c[apart]]))
+        if block:
+            out.append(block[0] if len(block) == 1 else _spanning(*(np.concatenate(x) for x in zip(*block))))
     return out
 
 

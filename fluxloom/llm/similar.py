@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxloom.llm.common import Workspace, column, map_batches, unused
+from fluxloom.llm.common import PIECE, Workspace, column, map_batches, unused
 from fluxloom.llm.simhash import SEED, components
 
 SHINGLE = 5
@@ -159,7 +159,7 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def similar_rows(ws: Workspace, texts: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, homes_held: int = HOMES, copies_held: int = COPIES) -> DataFrame:
     """node, root (the smallest row that it is linked with) of each row but the roots, for texts (row long, text binary)."""
-    proposed = ws.save(map_batches(texts, _proposed(words), "key long, row long"), "proposed")
+    proposed = ws.save(map_batches(texts, _proposed(words), "key long, row long", PIECE), "proposed")
     firsts = ws.save(proposed.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
     members = ws.save(proposed.join(firsts, "key"), "members")
     ws.drop("proposed")
@@ -167,7 +167,7 @@ def similar_rows(ws: Workspace, texts: DataFrame, words: int = SHINGLE, similari
     one = ws.save(pairs.join(texts, "row").select("row", "first", F.col("text").alias("a")), "one")
     other = ws.save(texts.select(F.col("row").alias("first"), F.col("text").alias("b")).join(pairs.select("first").distinct(), "first", "left_semi"), "other")
     both = one.join(other, "first").select(F.col("row").alias("u"), F.col("first").alias("v"), "a", "b")
-    linked = ws.save(map_batches(both, _similar(words, similarity), "u long, v long"), "linked")
+    linked = ws.save(map_batches(both, _similar(words, similarity), "u long, v long", PIECE), "linked")
     ws.drop("one", "other", "pairs")
     roots = ws.save(components(ws, linked), "roots")
     # buckets of two rows are decided; of the others those that are of several components are gone through
@@ -177,7 +177,7 @@ def similar_rows(ws: Workspace, texts: DataFrame, words: int = SHINGLE, similari
     cells = ws.save(rooted.join(open_, "key").select("key", "row", "root", (F.col("root") != F.col("main")).alias("home")), "open")
     if cells.isEmpty():
         return roots
-    sets = ws.save(map_batches(texts.join(cells.select("row").distinct(), "row", "left_semi"), _sets(words), "row long, hashes binary, sketch binary"), "sets")
+    sets = ws.save(map_batches(texts.join(cells.select("row").distinct(), "row", "left_semi"), _sets(words), "row long, hashes binary, sketch binary", PIECE), "sets")
     many = cells.groupBy("key").agg(F.ceil(F.sum(F.col("home").cast("long")) / homes_held).cast("int").alias("parts"), F.ceil(F.count("*") / copies_held).cast("int").alias("blocks"))
     dealt = cells.join(ws.save(many, "parts"), "key")
     own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
@@ -186,7 +186,7 @@ def similar_rows(ws: Workspace, texts: DataFrame, words: int = SHINGLE, similari
     copies = dealt.select("key", every("parts").alias("part"), own("blocks").alias("block"), F.lit(False).alias("home"), "row", "root")
     dealt = homes.unionByName(copies).join(sets, "row").select("key", "part", "block", "home", "row", "root", "hashes", "sketch")
     dealt = dealt.repartition("key", "part", "block").sortWithinPartitions("key", "part", "block", F.desc("home"))
-    further = ws.save(map_batches(dealt, _cells(similarity), "u long, v long"), "further")
+    further = ws.save(map_batches(dealt, _cells(similarity), "u long, v long", PIECE), "further")
     ws.drop("rooted", "open", "sets", "parts")
     return components(Workspace(ws.spark, "similar-further"), linked.unionByName(further))
 

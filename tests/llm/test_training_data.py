@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -658,3 +659,43 @@ def test_deep_and_long_pages(spark):
     assert path[html_text._bucket("sidebar", html_text.PATH_DIMENSIONS)]
     a, b = (html_text.vectors(html_text.blocks("<p>" + "word " * 500 + last)) for last in ("alpha", "omega"))
     assert (a != b).any()
+
+
+def test_steps_get_few_rows(spark, monkeypatch):
+    """Neither the classifier's nor the near stage's arrays grow with the batches that Spark sends."""
+
+    def checked(df, make, schema, *rows):
+        def made():
+            step = make()
+
+            def run(batch):
+                if batch.num_rows > 1024 and "anchor" not in batch.schema.names:  # that step holds an anchor's rows alone
+                    raise ValueError(f"{batch.num_rows} rows at once for {schema}")
+                return step(batch)
+
+            return run
+
+        return common.map_batches(df, made, schema, *rows)
+
+    rng = random.Random(8)
+    rows = [(k, " ".join(str(rng.randint(0, 9999)) for _ in range(12))) for k in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for module in (quality_knn, simhash, similar):
+        monkeypatch.setattr(module, "map_batches", checked)
+    voter = quality_knn.Voter(np.zeros((0, quality_knn.TERMS), np.float32), np.zeros(0))
+    assert [(r.doc_id, r.score) for r in quality_knn.score(docs, voter).collect()] == [(k, 0.5) for k in range(2500)]
+    assert [tuple(r) for r in quality_knn.score(docs, voter, keep=True).collect()] == rows
+    kept = similar.one_of_each(simhash.one_of_each(docs.unionByName(docs).coalesce(1)))
+    assert sorted(map(tuple, kept.collect())) == rows
+
+
+def test_dense_anchors_take_bounded_memory():
+    """Where all homes are linked with all copies, the pairs are not held at once, and the forest joins all."""
+    homes, copies = np.arange(3000, dtype=np.uint64), np.arange(1, 2000, dtype=np.uint64)
+    tracemalloc.start()
+    found = simhash._forest(homes, copies, 12)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    u, v = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+    assert not simhash._roots(3000, u, v).any()
+    assert most < 60e6
