@@ -20,6 +20,18 @@ MODEL = "feature string, label string, v1 double, v2 double"
 CLASSIFIERS = ("perceptron", "PA", "PA1", "PA2", "CW", "AROW", "NHERD")
 
 
+def _over(a: float, b: float) -> float:
+    """a / b as processors and SQL divide: covariances of CW shrink by a factor a row and reach 0 after some hundred rows."""
+    if b:
+        return a / b
+    return math.nan if a == 0 or a != a else math.copysign(math.inf, a) * math.copysign(1.0, b)
+
+
+def _root(x: float) -> float:
+    """The square root, 0 for less than 0; nan stays."""
+    return 0.0 if x <= 0 else math.sqrt(x)
+
+
 class Classifier:
     """Weights (v1) and covariances (v2) by label and feature; train() takes rows in order."""
 
@@ -59,14 +71,14 @@ class Classifier:
         if self.method == "CW":
             b = 1 + 2 * c * margin
             root = b * b - 8 * c * (margin - c * var)
-            gamma = -b + math.sqrt(root) if root >= 0 else 0.0
+            gamma = 0.0 if root < 0 else -b + math.sqrt(root)
             if gamma <= 0 or var == 0:
                 return
-            gamma /= 4 * c * var
+            gamma = _over(gamma, 4 * c * var)
             self._add(sides, x, lambda label, f, v: gamma * cov(label, f) * v)
             for label, _ in sides:
                 for f, v in x.items():
-                    self.cov[label][f] = 1 / (1 / cov(label, f) + 2 * gamma * c * v * v)
+                    self.cov[label][f] = _over(1.0, _over(1.0, cov(label, f)) + 2 * gamma * c * v * v)
             return
         if margin >= 1:
             return
@@ -75,7 +87,7 @@ class Classifier:
         for label, _ in sides:
             for f, v in x.items():
                 k = cov(label, f)
-                self.cov[label][f] = k - beta * k * k * v * v if self.method == "AROW" else 1 / (1 / k + (2 * c + c * c * var) * v * v)
+                self.cov[label][f] = k - beta * k * k * v * v if self.method == "AROW" else _over(1.0, _over(1.0, k) + (2 * c + c * c * var) * v * v)
 
     def _add(self, sides, x, step) -> None:
         for label, sign in sides:
@@ -124,14 +136,14 @@ class Regression:
             return None
         if self.method == "CW":
             b = 1 - 2 * c * abs(e)
-            step = (-b + math.sqrt(max(0.0, b * b + 8 * c * (abs(e) + c * var)))) / (4 * c * var)
+            step = _over(-b + _root(b * b + 8 * c * (abs(e) + c * var)), 4 * c * var)
             more = 2 * step * c
         else:
             step, more = loss / (var + 1 / c), 2 * c + c * c * var
         self._add(x, lambda f, v: sign * step * cov(f) * v)
         for f, v in x.items():
             k = cov(f)
-            self.cov[f] = k - k * k * v * v / (var + 1 / c) if self.method == "AROW" else 1 / (1 / k + more * v * v)
+            self.cov[f] = k - k * k * v * v / (var + 1 / c) if self.method == "AROW" else _over(1.0, _over(1.0, k) + more * v * v)
         return None
 
     def _add(self, x, step) -> None:
@@ -188,6 +200,7 @@ def train(rows: DataFrame, make, shards: int = 1, start: DataFrame | None = None
             yield model.rows().assign(shard=of)
 
     made = feed.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "seq").mapInPandas(fold, MODEL + ", shard int")
+    made = made.withColumns({v: F.coalesce(v, F.lit(math.nan)) for v in ("v1", "v2")})  # pandas gives nan as null
     return mix(made, shards) if shards > 1 else made.drop("shard")
 
 
