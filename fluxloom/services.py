@@ -182,7 +182,7 @@ class Classifier(Service):
         if self.signed:
             near, kind = self.signed.nearest(rows, features, self.k), self.signed.kind
         else:
-            near, kind = S.top_k(S.cosine_scores(rows, features) if self.method == "cosine" else S.euclidean_scores(rows, features), self.k), self.method
+            near, kind = (S.cosine_scores(rows, features, self.k) if self.method == "cosine" else S.euclidean_scores(rows, features, k=self.k)), self.method
         votes = S.vote(near, rows.select("row_id", "label").distinct(), self.get("labels"), self.alpha, kind)
         return votes.withColumnRenamed("query_id", "row_id")
 
@@ -234,7 +234,7 @@ class Regression(Service):
             if self.signed:
                 near, kind = self.signed.nearest(rows, features, k), self.signed.kind
             else:
-                near, kind = S.top_k(S.cosine_scores(rows, features) if self.method == "cosine" else S.euclidean_scores(rows, features), k), self.method
+                near, kind = (S.cosine_scores(rows, features, k) if self.method == "cosine" else S.euclidean_scores(rows, features, k=k)), self.method
             found = S.neighbour_mean(near, rows.select("row_id", "target").distinct(), self.p["weight"], kind)
             return found.withColumnRenamed("query_id", "row_id")
         known = self.spark.createDataFrame([("+",)], "label string")
@@ -268,13 +268,13 @@ class Recommender(Service):
     def clear_row(self, ids: DataFrame) -> None:
         self.put("rows", self.get("rows").join(ids.select(F.col("row_id").cast("string")), "row_id", "left_anti"))
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """query_id, row_id, score."""
+    def scores(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """query_id, row_id, score; with a k the best of each query."""
         rows = self.get("rows")
         if self.method == "inverted_index":
-            return S.cosine_scores(rows, queries)
+            return S.cosine_scores(rows, queries, k)
         if self.method == "inverted_index_euclid":
-            return S.euclidean_scores(rows, queries, self.p["ignore_orthogonal"])
+            return S.euclidean_scores(rows, queries, self.p["ignore_orthogonal"], k)
         return self.signed.nearest(rows, queries, None)
 
     def similar_row_from_datum(self, queries: DataFrame, k: int) -> DataFrame:
@@ -283,7 +283,7 @@ class Recommender(Service):
             return lsh_index.neighbours(self.get("rows"), queries, k, 1 + p["hash_num"] // 16, p["table_num"], p["bin_width"], p["hash_num"], p["seed"], p["probe_num"])
         if self.signed:
             return self.signed.nearest(self.get("rows"), queries, k)
-        return S.top_k(self.scores(queries), k)
+        return S.top_k(self.scores(queries, k), k)
 
     def _stored(self, ids: DataFrame) -> DataFrame:
         return self.get("rows").join(ids.select(F.col("row_id").cast("string")), "row_id", "left_semi")
