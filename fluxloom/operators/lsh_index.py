@@ -7,9 +7,12 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxloom.lineage import cut
 from fluxloom.operators import similarity as S
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -75,36 +78,54 @@ def index(rows: DataFrame, hashes: int = 4, tables: int = 4, width: float = 1.0,
     return S.by_row(rows, sign, "bits array<bigint>, norm double, buckets array<struct<table:int,name:bigint>>")
 
 
-def candidates(indexed: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, row_id of rows in a bucket that the query looks into, once each: an equi-join on the bucket."""
-    table = indexed.select("row_id", F.explode("buckets").alias("b"))
-    queries = asked.select(F.col("row_id").alias("query_id"), F.explode("buckets").alias("b"))
-    return queries.join(table, "b").select("query_id", "row_id").distinct()
+class InBuckets(S.Scores):
+    """Scores of pairs of which the query looks into one of the row's buckets (columns b_table, b_name); others are none."""
 
+    def __init__(self, base: S.Scores):
+        self.base = base
 
-def exact_scores(rows: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """query_id, row_id, minus the distance of given pairs from their features."""
-    q = queries.select(F.col("row_id").alias("query_id"), "feature", F.col("value").alias("q"))
-    dots = pairs.join(q, "query_id").join(rows, ["row_id", "feature"]).groupBy("query_id", "row_id").agg(F.sum(F.col("value") * F.col("q")).alias("dot"))
-    qn = S.norms(queries).select(F.col("row_id").alias("query_id"), F.col("norm").alias("q_norm"))
-    every = pairs.join(dots, ["query_id", "row_id"], "left").join(S.norms(rows), "row_id").join(qn, "query_id")
-    n, m, dot = F.col("norm"), F.col("q_norm"), F.coalesce("dot", F.lit(0.0))
-    return every.select("query_id", "row_id", (-F.sqrt(F.greatest(F.lit(0.0), n * n + m * m - 2 * dot))).alias("score"))
+    def take(self, table: pa.Table) -> dict:
+        tables, names = (table[c].combine_chunks() for c in ("b_table", "b_name"))
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(tables).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return {"base": self.base.take(table), "first": first, "table": tables.flatten().to_numpy(), "name": names.flatten().to_numpy()}
+
+    def part(self, arrays: dict, lo: int, hi: int) -> dict:
+        a, b = arrays["first"][lo], arrays["first"][hi]
+        return {"base": self.base.part(arrays["base"], lo, hi), "first": arrays["first"][lo : hi + 1] - a, "table": arrays["table"][a:b], "name": arrays["name"][a:b]}
+
+    def of(self, q: dict, r: dict, wide: bool):
+        keys, slack, key, exact = self.base.of(q["base"], r["base"], wide)
+        seen = np.zeros(keys.shape, bool)
+        qi, ri = (np.repeat(np.arange(len(x["first"]) - 1), np.diff(x["first"])) for x in (q, r))
+        for t in np.unique(q["table"]):
+            asked, held = q["table"] == t, r["table"] == t
+            order = np.argsort(r["name"][held], kind="stable")
+            names, rows = r["name"][held][order], ri[held][order]
+            lo, hi = (np.searchsorted(names, q["name"][asked], side) for side in ("left", "right"))
+            for line, a, b in zip(qi[asked].tolist(), lo.tolist(), hi.tolist()):
+                seen[line, rows[a:b]] = True
+        keys[~seen] = -np.inf
+        return keys, slack, key, exact
+
+    def least_scores(self, keys: np.ndarray, key) -> np.ndarray:
+        return self.base.least_scores(keys, key)
 
 
 def neighbours(rows: DataFrame, queries: DataFrame, k: int, hashes: int = 4, tables: int = 4, width: float = 1.0, bits: int = 64, seed: int = 0, probes: int = 16, exact: bool = False) -> DataFrame:
     """query_id, row_id, score (minus the distance), rank. Queries that find fewer than k rows in their buckets are compared
     with all rows instead, so none gets fewer than there are. Distances are those of the signatures, or with ``exact`` of
-    the rows themselves."""
-    indexed, asked = index(rows, hashes, tables, width, bits, seed), index(queries, hashes, tables, width, bits, seed, probes)
-    found = candidates(indexed, asked)
+    the rows themselves. Pairs of a bucket are scored in the blocks of ``in_blocks`` and never listed."""
+    indexed, asked = cut(index(rows, hashes, tables, width, bits, seed)), cut(index(queries, hashes, tables, width, bits, seed, probes))
+    named = lambda df: df.select("row_id", "bits", "norm", F.col("buckets.table").alias("b_table"), F.col("buckets.name").alias("b_name"))
+    held, wanted, base = named(indexed), named(asked), S.Signed(bits, True)
+    if exact:
+        listed = lambda df, of: df.select("row_id", "b_table", "b_name").join(S.packed(of), "row_id")
+        held, wanted, base = listed(held, rows), listed(wanted, queries), S.Sparse("euclidean", zero_rows=True)
+    found = cut(S.in_blocks(held, wanted, k, InBuckets(base)))
     enough = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
-    found = found.join(enough, "query_id", "left_semi")
     few = asked.join(enough, F.col("row_id") == F.col("query_id"), "left_anti")
     if exact:
-        rest = S.euclidean_scores(rows, queries.join(few.select("row_id"), "row_id", "left_semi"))
-        return S.top_k(exact_scores(rows, queries, found).unionByName(rest), k)
-    a = asked.select(F.col("row_id").alias("query_id"), F.col("bits").alias("q_bits"), F.col("norm").alias("q_norm"))
-    near = found.join(a, "query_id").join(indexed.select("row_id", "bits", "norm"), "row_id")
-    near = near.select("query_id", "row_id", S.angle_score(bits).alias("score"))
-    return S.top_k(near.unionByName(S.signature_top_k(indexed, few, k, bits, euclid=True).drop("rank")), k)
+        rest = S.euclidean_scores(rows, queries.join(few.select("row_id"), "row_id", "left_semi"), k=k)
+    else:
+        rest = S.signature_top_k(indexed, few, k, bits, euclid=True).drop("rank")
+    return S.top_k(found.join(enough, "query_id", "left_semi").unionByName(rest), k)
