@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fluxloom import services
-from fluxloom.lineage import scratch
+from fluxloom.lineage import cut, scratch
 from fluxloom.operators import anomaly, similarity as S
 from fluxloom.queries.catalogue import Registry
 from fluxloom.sources.tables import rounded, table
@@ -234,8 +234,8 @@ STORED = """, w AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY di
 
 
 def with_itself(spark, d, pairs):
-    """Each row is its own neighbour too, which counts for its k-distance."""
-    return pairs.select("row_id", "neighbour", "distance").unionByName(labels(spark, d).select("row_id", F.col("row_id").alias("neighbour"), F.lit(0.0).alias("distance")))
+    """Each row is its own neighbour too, which counts for its k-distance. Written, since scores read it several times."""
+    return cut(pairs.select("row_id", "neighbour", "distance").unionByName(labels(spark, d).select("row_id", F.col("row_id").alias("neighbour"), F.lit(0.0).alias("distance"))))
 
 
 @query("l07_outliers_by_signature", SIGNED_PAIRS + STORED)
@@ -255,7 +255,7 @@ NEAR = f"WITH {V}, d AS (SELECT a.row_id, b.row_id AS nb, sqrt(greatest(0, list_
 
 
 def _lof(spark, d):
-    pairs = S.nearest_of_all(dense(spark, d), 10)
+    pairs = cut(S.nearest_of_all(dense(spark, d), 10))  # read several times
     kd = anomaly.k_distance(pairs, 10)
     return pairs, kd, anomaly.local_density(pairs, kd, 10)
 

@@ -102,3 +102,32 @@ def test_bucket_pairs_are_not_listed(spark):
     got = {(r.query_id, r.row_id): r.score for r in S.in_blocks(listed(index), listed(wanted), None, lsh_index.InBuckets(S.Sparse("euclidean", zero_rows=True))).collect()}
     want = {k: s for k, s in plain_scores(points, {q: points[q] for q in looked}, "euclidean").items() if looked[k[0]] & named[k[1]]}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want) and len(want) < 25 * 200
+
+
+@pytest.mark.parametrize("k", [3, 40, 700])
+@pytest.mark.parametrize("kind", ["euclidean", "cosine"])
+def test_kept_rows_of_blocks(k, kind):
+    """What a task keeps are exactly the k best, ties by the id, copies and rows near one another among them, in chunks."""
+    rng = np.random.default_rng(k)
+    x = np.concatenate([rng.normal(size=(300, 5)), rng.normal(size=(300, 5)) * 1e-4 + 7, np.ones((100, 5))]).round(6)
+    x[600:650] = x[:50]
+    score, ids = S.Dense(kind, zero_rows=True), np.arange(len(x))
+    work = S.Blocks(score, k, None, True, True, None, 0)
+    work.start(ids, score.take(pa.table({"x": x.tolist()})))
+    for at in range(0, len(x), 128):
+        assert not list(work.chunk(ids[at : at + 128], score.take(pa.table({"x": x[at : at + 128].tolist()}))))
+    q, r, s = (np.concatenate(c) for c in zip(*work.end()))
+    dot, xx = np.array([[np.einsum("i,i->", a, b) for b in x] for a in x]), np.einsum("ij,ij->i", x, x)
+    want = np.clip(dot / np.sqrt(np.outer(xx, xx)), -1, 1) if kind == "cosine" else -np.sqrt(np.maximum(xx[:, None] + xx[None] - 2 * dot, 0))
+    np.fill_diagonal(want, -np.inf)
+    for i in range(len(x)):
+        own = q == i
+        assert own.sum() == min(k, len(x) - 1) and np.allclose(np.sort(s[own])[::-1], np.sort(want[i])[::-1][: own.sum()], atol=1e-7)
+        assert len(set(r[own].tolist())) == own.sum() and np.allclose(want[i][r[own]], s[own], atol=1e-7)
+
+
+@pytest.mark.parametrize("name", ["l01_lof_scores", "l02_stored_scores", "l03_local_density", "l07_outliers_by_signature"])
+def test_pairs_are_compared_once(spark, sf, name):
+    """Scores read the neighbours several times; they are written, so the plan compares no pairs."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("MapInArrow", "MapInPandas", "CoGroups") if x in plan]
