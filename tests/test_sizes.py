@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from conftest import plain
-from fluxloom.operators import lsh_index, similarity as S
+from fluxloom.operators import clustering, lsh_index, similarity as S
 from fluxloom.queries import catalogue
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
@@ -131,3 +131,27 @@ def test_pairs_are_compared_once(spark, sf, name):
     """Scores read the neighbours several times; they are written, so the plan compares no pairs."""
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in ("MapInArrow", "MapInPandas", "CoGroups") if x in plan]
+
+
+def test_logarithms_are_sql_s_to_the_last_bit(copied):
+    got, want = copied("x04_num_plugin", "customer", "c_custkey", 1)
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["k22_dbscan", "k22_dbscan_one_dimension", "k22_dbscan_cosine"])
+def test_copies_of_points_make_no_pairs(spark, copied, monkeypatch, name):
+    """Thirty copies of each point: the pairs are those of different points, and clusters are as in SQL."""
+    made, real = [], clustering.region_pairs
+    monkeypatch.setattr(clustering, "region_pairs", lambda *a, **b: made.append(real(*a, **b)) or made[-1])
+    got, want = copied(name, "supplier", "s_suppkey", 30, "/root/testdata/sf0.001")
+    assert same(got, want) and got
+    assert made[0].count() <= 100
+
+
+def test_long_chains_take_two_steps(spark):
+    """A chain of 3,000 points is one cluster; rounds of least labels needed ever more plans in the driver."""
+    p = spark.range(3000).selectExpr("id", "array(cast(id AS double)) AS x")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    assert [tuple(r) for r in clustering.dbscan(p, 1.5, 3).groupBy("cluster").count().collect()] == [(1, 3000)]
+    assert jobs() - before < 40
