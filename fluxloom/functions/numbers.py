@@ -77,10 +77,13 @@ def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 def sample_again(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """``n`` rows drawn with replacement, column turn from 0: each turn's row is the one with the least hash of key and turn,
-    a partial aggregation of n values a partition."""
-    turns = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: F.struct(t.alias("turn"), F.xxhash64(F.lit(seed), t, F.col(key)).alias("h")))
-    won = rows.select(F.col(key), F.explode(turns).alias("t")).groupBy("t.turn").agg(F.min_by(key, F.struct("t.h", key)).alias(key))
-    return won.join(rows, key)
+    a partial aggregation of n numbers a partition."""
+    turns = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("turn")
+    drawn = rows.select(key, turns).select(key, "turn", F.xxhash64(F.lit(seed), "turn", key).alias("h"))
+    # numbers alone are summed up without a sort of n times the rows; the keys of the n least hashes are looked up then
+    least = F.broadcast(drawn.groupBy("turn").agg(F.min("h").alias("h")))
+    won = drawn.join(least, ["turn", "h"]).groupBy("turn").agg(F.min(key).alias(key))
+    return rows.join(F.broadcast(won), key).select("turn", *rows.columns)
 
 
 def calendar(seconds: Column) -> Column:
