@@ -138,25 +138,56 @@ def results(windows: DataFrame, settings: DataFrame, size: int, reuse: int = 0,
     """keyword, start, batch, d, r, weight of all ``size`` batches of each window, from windowed(). The first ``reuse``
     batches at most that a window shares with the keyword's window before keep that window's weights."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, before = [], {}
-        for start, own in pdf.groupby("start", sort=True):
-            at = np.arange(start, start + size)
-            full = own.set_index("batch")[["d", "r"]].reindex(at, fill_value=0)
-            kept = []
-            for b in at.tolist()[:reuse]:
-                if b not in before:
-                    break
-                kept.append(before[b])
-            weights = detect(full["d"].tolist(), full["r"].tolist(), float(pdf["scaling"].iloc[0]), float(pdf["gamma"].iloc[0]), kept, costcut)
-            before = dict(zip(at.tolist(), weights))
-            out.append(pd.DataFrame({"keyword": key[0], "start": start, "batch": at, "d": full["d"].to_numpy(), "r": full["r"].to_numpy(), "weight": weights}))
-        return pd.concat(out)
-
     kind = "keyword string, start long, batch long, d long, r long, weight double"
+
+    def weigh(pdf: pd.DataFrame, before: dict) -> dict:
+        """One window's rows as columns; ``before`` has the weights of the window before, and gets this one's."""
+        keyword, start = pdf["keyword"].iloc[0], int(pdf["start"].iloc[0])
+        d, r = np.zeros((2, size), np.int64)
+        at = pdf["batch"].to_numpy(np.int64) - start
+        held = (at >= 0) & (at < size)
+        d[at[held]], r[at[held]] = pdf["d"].to_numpy()[held], pdf["r"].to_numpy()[held]
+        kept = []
+        for b in range(start, start + min(reuse, size)):
+            if b not in before:
+                break
+            kept.append(before[b])
+        weights = detect(d.tolist(), r.tolist(), float(pdf["scaling"].iloc[0]), float(pdf["gamma"].iloc[0]), kept, costcut)
+        before.clear()
+        before.update(zip(range(start, start + size), weights))
+        return {"keyword": [keyword] * size, "start": [start] * size, "batch": list(range(start, start + size)), "d": d.tolist(), "r": r.tolist(), "weight": weights}
+
+    def run(batches):
+        """Windows stream by in order; one window and a thousand results are held."""
+        out, own, last, before = {n: [] for n in names}, [], None, {}
+
+        def close():
+            nonlocal own
+            if own:
+                for n, x in weigh(pd.concat(own), before).items():
+                    out[n].extend(x)
+            own = []
+
+        for pdf in batches:
+            place = pd.MultiIndex.from_frame(pdf[["keyword", "start"]])
+            edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(pdf) else []
+            for lo, hi in zip(edge, [*edge[1:], len(pdf)]):
+                if place[lo] != last:
+                    close()
+                    if last is None or place[lo][0] != last[0]:
+                        before.clear()
+                    last = place[lo]
+                own.append(pdf.iloc[lo:hi])
+                if len(out["keyword"]) >= 4096:
+                    yield pd.DataFrame(out)
+                    out = {n: [] for n in names}
+        close()
+        yield pd.DataFrame(out)
+
+    names = ["keyword", "start", "batch", "d", "r", "weight"]
     # without reuse the windows are independent, so a keyword's windows need not share a task
     keys = ["keyword"] if reuse else ["keyword", "start"]
-    return windows.join(settings, "keyword").groupBy(*keys).applyInPandas(run, kind)
+    return windows.join(settings, "keyword").repartition(*keys).sortWithinPartitions("keyword", "start").mapInPandas(run, kind)
 
 
 def bursted_at(found: DataFrame, batch: int) -> DataFrame:

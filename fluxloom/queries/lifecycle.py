@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from fluxloom.functions import strings
+from fluxloom.lineage import cut
 from fluxloom.operators import bandit, burst, clustering, graph, lsh_index, similarity as S, state
 from fluxloom.queries import models as M
 from fluxloom.queries.catalogue import Registry
@@ -50,7 +51,7 @@ def b04(spark, d):
 
 @query("b06_bursted_at")
 def b06(spark, d):
-    found = b04(spark, d)
+    found = cut(b04(spark, d))  # read for each batch asked for
     last = found.agg(F.max("batch")).first()[0]
     every = [burst.bursted_at(found, b).withColumn("batch", F.lit(b)) for b in range(0, last + 1, max(1, last // 20))]
     return reduce(lambda a, b: a.unionByName(b), every)
